@@ -24,11 +24,15 @@ def _slot(key: Column, j: int, slots: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(j)), F.lit(slots))
 
 
-def repeated_filter(keys: DataFrame, key: str, slots: int) -> DataFrame:
-    """(word, bits): the filter's 64-bit words that have a slot met at least twice. At most slots / 64 rows."""
+def slots_for(rows: int) -> int:
+    return min(MOST, max(LEAST, 1 << (16 * rows).bit_length()))
+
+
+def slot_filter(keys: DataFrame, key: str, slots: int, least: int = 2) -> DataFrame:
+    """(word, bits): the filter's 64-bit words that have a slot met at least so often. At most slots / 64 rows."""
     met = keys.select(F.explode(F.array(*[_slot(F.col(key), j, slots) for j in range(HASHES)])).alias("slot")).groupBy("slot").count()
     bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    return met.filter("count > 1").groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return met.filter(F.col("count") >= least).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
 def maybe_repeated(rows: DataFrame, key: str, marked: DataFrame, slots: int) -> DataFrame:
@@ -55,8 +59,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 def _decided(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame, int]:
     keys = materialize(df.select(F.col(id_col).alias("doc_id"), text_key(F.col(text)).alias("text_sha256")), "dedup")
     total = keys.count()
-    slots = min(MOST, max(LEAST, 1 << (16 * total).bit_length()))
-    marked = repeated_filter(keys, "text_sha256", slots)
+    slots = slots_for(total)
+    marked = slot_filter(keys, "text_sha256", slots)
     rows = maybe_repeated(keys, "text_sha256", marked, slots)
     alone = rows.filter("not _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256", "_maybe")
     shared = rows.filter("_maybe")

@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from conjunct.llm import exact_dedup, fingerprints, sharding
+from conjunct.llm import exact_dedup, fingerprints, near_dups, sharding
 from conjunct.llm.packing import pack
 from conjunct.llm.pieces import encode_digests
 from conjunct.llm.shared import table
 from conjunct.llm.token_counts import token_counts
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.jaccard_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,7 +42,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_exact_dedup, op5_token_counts, op7_sharding, op9_sentencepiece, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_exact_dedup, op5_token_counts, op7_sharding, op9_sentencepiece, op10_fingerprints)}
 
 #: SQL for the operators that SQL can express.
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL}
