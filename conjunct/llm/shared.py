@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conjunct.session import ship
+
 #: The name under which a text goes to Python; no column of a caller is called so.
 TEXT = "__conjunct_text"
 #: ASCII white space as the contracts name it, for Java and Python patterns alike.
@@ -78,6 +80,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
 
 
 def whole_text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most `rows` rows: texts are whole, so a batch of the usual 10,000 could be large."""
+    """Before texts go to Python: the workers get this package, and Arrow batches at most `rows` rows, for texts are whole."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
