@@ -83,6 +83,16 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     return rows.filter("not _maybe").unionByName(found).select(*df.columns)
 
 
+def without(df: DataFrame, id_col: str, dropped: DataFrame, dropped_col: str) -> DataFrame:
+    """The rows of df whose id isn't among the dropped ones (distinct, not null). Only rows that a filter of the dropped ids passes shuffle."""
+    slots = slots_for(dropped.count())
+    marked = slot_filter(dropped, dropped_col, slots, 1)
+    rows = maybe_repeated(df.withColumn("_key", F.col(id_col)), "_key", marked, slots)
+    maybe = rows.filter("_maybe")
+    left = maybe.join(dropped, maybe[id_col] == dropped[dropped_col], "left_anti")
+    return rows.filter("not _maybe").unionByName(left).select(*df.columns)
+
+
 SQL = r"""
 with t as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
