@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conjunct.llm import exact_dedup, fingerprints, language, near_dups, sharding, toxicity
+from conjunct.llm import exact_dedup, fingerprints, language, lm_scoring, near_dups, sharding, toxicity
 from conjunct.llm.packing import pack
 from conjunct.llm.pieces import encode_digests
 from conjunct.llm.shared import table
@@ -52,6 +52,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_digests(docs, "text", public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes")
@@ -61,7 +65,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_language_id, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_sharding, op9_sentencepiece, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_language_id, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_sharding, op8_lm_scoring, op9_sentencepiece, op10_fingerprints)}
 
 #: SQL for the operators that SQL can express.
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL}

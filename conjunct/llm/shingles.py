@@ -36,18 +36,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A hash of each word (run without ASCII white space) of UTF-8 text, A-Z lower-cased."""
+    return words_at(data)[0]
+
+
+def words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes(), and the byte at which each word starts."""
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ink = ~_BLANK[raw]
     edge = np.flatnonzero(np.diff(ink.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     start, stop = edge[::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), start
     up, down = _to(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
 
 
 def shingle_set(data: bytes, k: int) -> np.ndarray:
