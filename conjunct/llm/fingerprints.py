@@ -58,19 +58,21 @@ def likeness(a: str, b: str) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
-def with_next(df: DataFrame, order: str, carried: dict[str, str], rows_each: int = 500, most: int = 16_384) -> DataFrame:
+def with_next(df: DataFrame, order: str, carried: dict[str, str], ids: DataFrame | None = None, rows_each: int = 500, most: int = 16_384) -> DataFrame:
     """df with, under new names, columns of the row that follows by descending `order`; after the last comes the first.
 
     Rows are dealt into ranges of about rows_each ids (`most` ranges at most). The highest id of a range also goes, as a
     guest, to the range above, so that each range finds all its followers; no window spans the table. Nulls come last;
-    rows of equal order follow each other by their other columns' hash.
+    rows of equal order follow each other by their other columns' hash. ids has the same rows' `order`, where that is
+    cheaper to read than df.
     """
-    total = df.count()
+    ids = df if ids is None else ids
+    total = ids.count()
     if not total:
         return df.select("*", *[F.lit(None).cast(df.schema[c].dataType).alias(n) for c, n in carried.items()])
     ranges = min(most, max(1, total // rows_each))
     at = ", ".join(str((i + 1) / ranges) for i in range(ranges))
-    found = df.selectExpr(f"percentile_approx({order}, array({at}), {max(10_000, 10 * ranges)}) as p", f"max({order}) as m").first()
+    found = ids.selectExpr(f"percentile_approx({order}, array({at}), {max(10_000, 10 * ranges)}) as p", f"max({order}) as m").first()
     bounds = sorted({*(found["p"] or []), *([found["m"]] if found["m"] is not None else [])})
     held = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
     steps = F.array(*[F.lit(1 << s) for s in reversed(range(len(bounds).bit_length() or 1))])
@@ -100,7 +102,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text)).alias("text"))
     own = with_fingerprint(docs, "text", "_own", "_at", k, w)
-    pairs = with_next(own, "doc_id", {"text": "_next", "_own": "_theirs"}).withColumn("n_chars", F.length("text").cast("long"))
+    pairs = with_next(own, "doc_id", {"text": "_next", "_own": "_theirs"}, docs.select("doc_id")).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, int(n_chars - n_chars div 3)), substring(_next, 1, int(n_chars div 3)))")
     pairs = _held(pairs, "_edited", edited).drop("text", "_next")
     both = with_fingerprint(pairs, "_edited", "_new", "_new_at", k, w)
