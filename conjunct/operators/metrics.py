@@ -79,9 +79,10 @@ def structural_audit(active: DataFrame, truth: DataFrame) -> DataFrame:
 
 def five_seed(df: DataFrame, by: list[str], value: str, seeds: int = 5) -> DataFrame:
     """n, mean and sample SD; mean and SD only where each of the seeds is there exactly once with a value."""
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.countDistinct(F.when(F.col(value).isNotNull(), F.col("seed"))).alias("d"), F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"))
-    whole = (F.col("n") == seeds) & (F.col("d") == seeds)
-    return out.select(*by, "n", F.when(whole, F.col("m")).alias("mean"), F.when(whole, F.col("sd")).alias("sample_sd"))
+    seen = F.countDistinct(F.when(F.col(value).isNotNull(), F.col("seed")))
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), seen.alias("_seeds"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
+    whole = (F.col("n") == seeds) & (F.col("_seeds") == seeds)
+    return out.select(*by, "n", F.when(whole, F.col("_mean")).alias("mean"), F.when(whole, F.col("_sd")).alias("sample_sd"))
 
 
 def exclusion(df: DataFrame, by: list[str]) -> DataFrame:

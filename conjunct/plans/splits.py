@@ -12,7 +12,7 @@ def kfold(df: DataFrame, key: str, seed: int, folds: int = 3) -> DataFrame:
     keys = np.array([r[0] for r in df.select(key).distinct().orderBy(key).collect()])
     parts = np.array_split(np.random.default_rng(seed).permutation(len(keys)), folds)
     rows = [(keys[i].item(), f) for f, part in enumerate(parts) for i in part]
-    return df.join(df.sparkSession.createDataFrame(rows, df.select(key).schema.add("fold", "int")), key)
+    return df.join(df.sparkSession.createDataFrame(rows, df.select(key).schema.add("fold", "integer")), key)
 
 
 def group_split(df: DataFrame, group: str, seed: int, share: float = 0.1) -> DataFrame:

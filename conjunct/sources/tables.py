@@ -79,7 +79,7 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_miner_output(spark: SparkSession, path: str, n: int) -> DataFrame:
     """(itemset, support, tids) of a miner's records of two lines: `items (support)` and the transaction ids. Wrong records raise."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\n+$", ""), "\n")).alias("at", "line"))
     head = lines.filter("at % 2 = 0").select(F.expr("at div 2").alias("k"), F.col("line").alias("head"))
     tail = lines.filter("at % 2 = 1").select(F.expr("at div 2").alias("k"), F.col("line").alias("tail"))
     ints = lambda c: F.transform(F.filter(F.split(F.trim(c), " +"), lambda x: x != ""), lambda x: x.cast("int"))
