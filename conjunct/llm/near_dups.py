@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from conjunct.llm.components import components
 from conjunct.llm.exact_dedup import maybe_repeated, slot_filter, slots_for
@@ -35,7 +36,7 @@ SEEN = 500_000
 
 _BANDS = [1]
 while _BANDS[-1] < 1 << 40:
-    _BANDS.append(max(_BANDS[-1] + 1, int(_BANDS[-1] * 1.6)))
+    _BANDS.append(max(_BANDS[-1] + 1, int(_BANDS[-1] * 1.25)))
 
 
 def tiles(n: int, percent: int) -> list[int]:
@@ -50,7 +51,7 @@ def tiles(n: int, percent: int) -> list[int]:
 def ranges(band: int, percent: int) -> tuple[int, int]:
     """(number of ranges of a tile, how many of them may be empty in a set that sends no empty cells)."""
     differ = (100 - percent) * 2 * (_BANDS[band + 1] - 1) // (100 + percent)
-    spare = max(1, (differ + 1) // 6) if differ else 0
+    spare = max(1, (differ + 1) // 5) if differ else 0
     return differ + 1 + spare, spare
 
 
@@ -58,8 +59,13 @@ _EDGES: dict[int, np.ndarray] = {}
 
 
 def cells(found: np.ndarray, percent: int) -> np.ndarray:
-    """The cells of a sorted set, as 64-bit keys."""
-    out = []
+    """The cells of a sorted set: 64-bit keys whose low byte is the band (modulo 256)."""
+    return _cells(found, percent)[0]
+
+
+def _cells(found: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """cells(), and for each of the set's tiles how many cells it may leave out, times 256, plus the band's low byte."""
+    out, budgets = [], []
     sums = np.zeros(len(found) + 1, np.uint64)
     np.cumsum(mix(found ^ np.uint64(0xA0761D6478BD642F)), out=sums[1:])
     for band in tiles(len(found), percent):
@@ -72,8 +78,11 @@ def cells(found: np.ndarray, percent: int) -> np.ndarray:
         empty = at[1:] == at[:-1]
         number = np.arange(parts, dtype=np.uint64) + (np.uint64(band) << np.uint64(48))
         key = mix(mix(number + np.uint64(1)) + (sums[at[1:]] - sums[at[:-1]]))
-        out.append(key if empty.sum() > spare else key[~empty])
-    return np.concatenate(out)
+        key = (key & ~np.uint64(255)) | np.uint64(band & 255)
+        gaps = int(empty.sum())
+        out.append(key if gaps > spare else key[~empty])
+        budgets.append((0 if gaps > spare else spare - gaps) << 8 | band & 255)
+    return np.concatenate(out), budgets
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
@@ -106,12 +115,12 @@ def _longs(values, unsigned=True):
 
 
 def shingled(df: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, a, b, cells) of df(doc_id, text): a and b are a 128-bit identity of the set; cells is null for copies of a set that the task has sent."""
+    """(doc_id, n, a, b, cells, bits, budgets) of df(doc_id, text): a and b are a 128-bit identity of the set; cells, bits and budgets are null for copies of a set that the task has sent."""
 
     def run(batches):
         seen: set = set()
         for batch in batches:
-            n, a, b, own = [], [], [], []
+            n, a, b, own, bits, budgets = [], [], [], [], [], []
             for x in batch.column(1).to_pylist():
                 found = shingle_set((x or "").encode(), k)
                 ident = _identity(found)
@@ -120,59 +129,75 @@ def shingled(df: DataFrame, k: int, percent: int) -> DataFrame:
                 b.append(ident[1])
                 if not len(found) or (*ident, len(found)) in seen:
                     own.append(None)
+                    bits.append(None)
+                    budgets.append(None)
                     continue
                 if len(seen) < SEEN:
                     seen.add((*ident, len(found)))
-                own.append(cells(found, percent).view(np.int64))
-            arrays = [batch.column(0), pa.array(n, pa.int64()), _longs(a), _longs(b), pa.array(own, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "a", "b", "cells"])
+                keys, spared = _cells(found, percent)
+                own.append(keys.view(np.int64))
+                budgets.append(spared)
+                bits.append(bitmap(found).tobytes())
+            arrays = [batch.column(0), pa.array(n, pa.int64()), _longs(a), _longs(b), pa.array(own, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(budgets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "a", "b", "cells", "bits", "budgets"])
 
     whole_text_batches(df.sparkSession)
-    return df.select("doc_id", utf8(F.col("text"))).mapInArrow(run, "doc_id long, n long, a long, b long, cells array<bigint>")
+    return df.select("doc_id", utf8(F.col("text"))).mapInArrow(run, "doc_id long, n long, a long, b long, cells array<bigint>, bits binary, budgets array<bigint>")
+
 
+def _met(edges: bool):
+    """Of rows (cell, x) sorted by both: pairs of small cells as (a, b, false); of large cells (cell, x, true) for each set,
+    or, with edges, (first set, x, true) for each further one."""
 
-def _met(batches):
-    """Of (cell, a) sorted by both: pairs of small cells as (a, b, false); each further set of a large cell with its first as (a, b, true)."""
-    held: list[int] = []  # distinct sets of the cell at hand, CELL + 1 at most
-    cell, last = None, None
-    for batch in batches:
-        cs, xs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    def run(batches):
+        held: list[int] = []  # distinct sets of the cell at hand, CELL + 1 at most
+        cell, last = None, None
         first, second, large = [], [], []
 
+        def put(a, b, big):
+            first.append(a)
+            second.append(b)
+            large.append(big)
+
         def done():
             if 1 < len(held) <= CELL:
                 for i in range(len(held)):
                     for j in range(i):
-                        first.append(held[j])
-                        second.append(held[i])
-                        large.append(False)
-
-        # only rows next to one of the same cell matter; the batch's ends may continue elsewhere
-        same = cs[1:] == cs[:-1]
-        near = np.zeros(len(cs), bool)
-        near[1:] |= same
-        near[:-1] |= same
-        near[[0, -1]] = True
-        for c, x in zip(cs[near].tolist(), xs[near].tolist()):
-            if c != cell:
-                done()
-                held, cell, last = [x], c, x
-            elif x != last:
-                last = x
-                if len(held) <= CELL:
-                    held.append(x)
-                    if len(held) == CELL + 1:
-                        first += [held[0]] * CELL
-                        second += held[1:]
-                        large += [True] * CELL
-                else:
-                    first.append(held[0])
-                    second.append(x)
-                    large.append(True)
-        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(large, pa.bool_())], ["a", "b", "large"])
-    if 1 < len(held) <= CELL:
-        both = [(held[j], held[i]) for i in range(len(held)) for j in range(i)]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in both], pa.int64()), pa.array([p[1] for p in both], pa.int64()), pa.array([False] * len(both), pa.bool_())], ["a", "b", "large"])
+                        put(held[j], held[i], False)
+
+        def taken():
+            out = pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(large, pa.bool_())], ["a", "b", "large"])
+            first.clear()
+            second.clear()
+            large.clear()
+            return out
+
+        for batch in batches:
+            cs, xs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # only rows next to one of the same cell matter; the batch's ends may continue elsewhere
+            same = cs[1:] == cs[:-1]
+            near = np.zeros(len(cs), bool)
+            near[1:] |= same
+            near[:-1] |= same
+            near[[0, -1]] = True
+            for c, x in zip(cs[near].tolist(), xs[near].tolist()):
+                if c != cell:
+                    done()
+                    held, cell, last = [x], c, x
+                elif x != last:
+                    last = x
+                    if len(held) <= CELL:
+                        held.append(x)
+                        if len(held) == CELL + 1:
+                            for h in held[edges:]:
+                                put(held[0] if edges else c, h, True)
+                    else:
+                        put(held[0] if edges else c, x, True)
+            yield taken()
+        done()
+        yield taken()
+
+    return run
 
 
 def _identity(found: np.ndarray) -> tuple[int, int]:
@@ -299,26 +324,41 @@ def jaccard_classes(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ident = F.xxhash64("a", "b", "n")
     sets = materialize(full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).select(ident.alias("id"), "n", "least", "copies"), "sets")
     sent = full.filter("cells is not null").select(F.explode("cells").alias("cell"), ident.alias("a"))
-    met = sent.repartition("cell").sortWithinPartitions("cell", "a").mapInArrow(_met, "a long, b long, large boolean")
-    met = materialize(met.distinct(), "met")
-    families = components(met.filter("large").select("a", "b"))
+    met = sent.repartition("cell").sortWithinPartitions("cell", "a").mapInArrow(_met(False), "a long, b long, large boolean")
+    met = first_met = materialize(met.distinct(), "met")
+    # each set leaves out its largest cells, within its budget, by an order of cells that all sets share
+    hot = met.filter("large").select(F.col("a").alias("cell"), F.col("b").alias("x"))
+    crowds = materialize(hot.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "crowds")
+    budgets = full.filter("budgets is not null").select(ident.alias("x"), F.explode("budgets").alias("_b")).distinct()
+    budgets = budgets.select("x", F.expr("_b & 255").alias("band"), F.shiftright("_b", 8).alias("budget"))
+    held = hot.join(crowds, "cell").withColumn("band", F.expr("cell & 255")).join(budgets, ["x", "band"])
+    rank = F.row_number().over(Window.partitionBy("x", "band").orderBy(F.desc("m"), "cell"))
+    stay = held.withColumn("_rank", rank).filter("_rank > budget").select("cell", F.col("x").alias("a"))
+    again = stay.repartition("cell").sortWithinPartitions("cell", "a").mapInArrow(_met(True), "a long, b long, large boolean")
+    again = materialize(again.distinct(), "again")
+    families = components(again.filter("large").select("a", "b"))
+    met = met.filter("not large").unionByName(again.filter("not large")).distinct()
     pairs = met.filter("not large")
     one, two = (families.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in ("a", "b"))
     pairs = pairs.join(one, "a", "left").join(two, "b", "left").filter("_a is null or _b is null or _a != _b").select("a", "b")
     pairs = materialize(pairs, "pairs")
 
-    # the arrays of the sets that met any other: a bounded filter spares the shuffle of the other texts
-    wanted = pairs.select("a").union(pairs.select("b")).union(families.select("node")).distinct().withColumnRenamed("a", "id")
-    first = full.filter("cells is not null").select("doc_id", ident.alias("id")).groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialize(wanted.join(first, "id"), "wanted")
+    # pairs whose bitmaps allow it, and then the arrays of their sets and of the families' from the texts of those alone:
+    # a bounded filter spares the shuffle of the others
+    both = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    first = full.filter("cells is not null").select("doc_id", "n", "bits", ident.alias("id"))
+    bits = materialize(first.join(both, "id", "left_semi").select("id", "n", "bits").dropDuplicates(["id"]), "bits")
+    within = materialize(_checked(pairs, bits, "bits", percent), "within")
+    wanted = within.select("a").union(within.select("b")).union(families.select("node")).distinct().withColumnRenamed("a", "id")
+    wanted = materialize(first.select("doc_id", "id").join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    rows = materialize(found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, ident).otherwise(F.xxhash64("doc_id", F.lit(0))).alias("id")), "rows")
+    forget(spark, found.written_to)
     slots = slots_for(wanted.count())
     marked = slot_filter(wanted, "doc_id", slots, 1)
     near = maybe_repeated(docs.withColumn("_key", F.col("doc_id")), "_key", marked, slots).filter("_maybe").select("doc_id", "text")
     texts = near.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     arrays = _arrays(texts.select("text"), k).withColumn("id", ident).select("id", "n", "bits", "hashes")
     arrays = materialize(arrays.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "arrays")
-
-    within = materialize(_checked(pairs, arrays, "bits", percent), "within")
     links = materialize(_checked(within, arrays, "hashes", percent).select("a", "b"), "links")
     sizes = materialize(families.groupBy("label").count(), "sizes")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
@@ -340,11 +380,10 @@ def jaccard_classes(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     least = materialize(least, "least")
     known = labelled.join(least, "label").select("id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = materialize(known, "known")
-    rows = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, ident).otherwise(F.xxhash64("doc_id", F.lit(0))).alias("id"))
     out = rows.join(known, "id", "left")
     done = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
     done = materialize(done, "classes")
-    for t in (found, sets, met, families, pairs, wanted, arrays, within, links, sizes, inside, classes, labelled, least, known):
+    for t in (sets, first_met, crowds, again, families, pairs, bits, rows, wanted, arrays, within, links, sizes, inside, classes, labelled, least, known):
         if hasattr(t, "written_to"):
             forget(spark, t.written_to)
     return done

@@ -103,6 +103,12 @@ def test_every_similar_pair_shares_a_cell(percent):
         if not len(b) or not near_dups.reaches(len(a), len(b), common, percent):
             continue
         assert len(np.intersect1d(near_dups.cells(a, percent), near_dups.cells(b, percent)))
+        # and more of them in each shared tile than either may leave out
+        (x, bx), (y, by) = near_dups._cells(a, percent), near_dups._cells(b, percent)
+        shared = np.intersect1d(x, y)
+        spare = {e & 255: e >> 8 for e in bx}
+        other = {e & 255: e >> 8 for e in by}
+        assert any((shared & np.uint64(255) == band).sum() > max(spare[band], other[band]) for band in spare.keys() & other.keys())
         u, v = near_dups.bitmap(a), near_dups.bitmap(b)
         size = min(len(u), len(v))
         differ = int(np.bitwise_count(near_dups.folded(u, size) ^ near_dups.folded(v, size)).sum())
