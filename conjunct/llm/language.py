@@ -8,6 +8,7 @@ priors are smoothed towards their domain's, and those towards the corpus's.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from conjunct.llm.shared import TEXT, join_hot, materialize, utf8, whole_text_batches
-from conjunct.llm.units import CACHED_LENGTH
 
 UND = "und"
 ROWS = 1 << 14
@@ -25,6 +25,8 @@ ROWS = 1 << 14
 TRUST = 0.25
 #: Pseudo-counts with which a host follows its domain and a domain the corpus; and of the tables of declarations.
 HOST, DOMAIN, TABLE = 8.0, 32.0, 1.0
+#: Words that a worker remembers.
+WORDS = 700_000
 
 
 def grams(word: str) -> list[int]:
@@ -41,35 +43,56 @@ class Languages:
     """Log-likelihoods of words under each language, less that of the class `und` (all n-grams alike)."""
 
     def __init__(self, names: list[str], logs: np.ndarray):
-        self.names, self.logs = names, logs
+        self.names, self.logs = names, np.ascontiguousarray(logs, dtype=np.float64)
         self.at: dict[str, int] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.at.clear()
         self.at[""] = 0
-        self.values = np.zeros((1 << 16, len(self.names)))
+        self.values = np.zeros((1 << 16, len(self.names)), np.float32)
 
-    def index(self, word: str) -> int:
-        bare = letters(word[:CACHED_LENGTH]) if len(word) <= CACHED_LENGTH else letters(word)
-        i = len(self.at)
-        if i == len(self.values):
+    def _learn(self, words: list[str]) -> None:
+        """Mean n-gram log-likelihood ratio of each word to `und`, in one go; words without letters have 0."""
+        first = len(self.at)
+        while first + len(words) > len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        rows = grams(bare) if bare else []
-        self.values[i] = self.logs[rows].mean(axis=0) if rows else 0
-        self.at[word] = i
-        return i
+        rows, spots, sizes = [], [], []
+        for i, w in enumerate(words):
+            self.at[w] = first + i
+            if bare := letters(w):
+                own = grams(bare)
+                spots.append(first + i)
+                sizes.append(len(own))
+                rows += own
+        if rows:
+            ends = np.cumsum(sizes)
+            sums = np.add.reduceat(self.logs[rows], np.concatenate([[0], ends[:-1]]), axis=0)
+            self.values[spots] = sums / np.asarray(sizes)[:, None]
 
     def evidence(self, text: str | None) -> tuple[np.ndarray, int]:
         """Sum over the words of their mean n-gram log-likelihood ratio to `und`, and the number of words with letters."""
-        if len(self.at) > 500_000:
-            self._reset()
-        known, words = self.at, (text or "").lower().split()
-        idx = [known[w] if w in known else self.index(w) for w in words]
-        if not idx:
+        words = (text or "").lower().split()
+        if not words:
             return np.zeros(len(self.names)), 0
-        v = self.values[idx]
-        return v.sum(axis=0), int(v.any(axis=1).sum())
+        if len(self.at) > WORDS:
+            self._reset()
+        known = self.at
+        if new := set(words).difference(known):
+            self._learn(sorted(new))
+        v = self.values[list(map(known.__getitem__, words))]
+        return v.sum(axis=0, dtype=np.float64), int(v.any(axis=1).sum())
+
+
+_MODELS: dict[str, Languages] = {}
+
+
+def opened(mark: str, names: list[str], logs: np.ndarray) -> Languages:
+    """A model with its cache of words, kept in the Python worker for the tasks that follow; the latest model only."""
+    if mark not in _MODELS:
+        _MODELS.clear()
+        _MODELS[mark] = Languages(names, logs)
+    return _MODELS[mark]
 
 
 def learn(texts: list[str], langs: list[str]) -> Languages:
@@ -114,13 +137,14 @@ def identify(df: DataFrame, model: Languages, text: Column, declared: Column, su
     if not names:
         nothing = {"lang_id": F.lit(UND), "lang_confidence": F.lit(1.0), "lang_words": F.lit(0).cast("long"), "lang_text": F.lit(UND), "lang_rejected": F.lit(True)}
         return df.select(*[c for c in (df.columns if carry is None else carry) if c not in new]).withColumns(nothing)
-    shared = df.sparkSession.sparkContext.broadcast((names, model.logs))
+    mark = hashlib.sha256(repr(names).encode() + model.logs.tobytes()).hexdigest()
+    shared = df.sparkSession.sparkContext.broadcast((mark, names, model.logs))
     whole_text_batches(df.sparkSession)
     kept = [c for c in (df.columns if carry is None else carry) if c not in new]
     shown = df.select(utf8(text).alias(TEXT), *kept, declared.alias("_declared"), suffix.alias("_suffix"), host.alias("_host"), domain.alias("_domain"))
 
     def run(batches):
-        own = Languages(*shared.value)
+        own = opened(*shared.value)
         for b in batches:
             found = [own.evidence(x) for x in b.column(0).to_pylist()]
             cols = [pa.array([e.tolist() for e, _ in found], pa.list_(pa.float64())), pa.array([n for _, n in found], pa.int64())]
