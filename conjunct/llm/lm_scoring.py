@@ -18,7 +18,7 @@ from conjunct.llm.shingles import mix, words_at
 
 BACKOFF, MIN_COUNT = 0.4, 2
 #: Bytes of text of a chunk and of what a partition of the count tables serves.
-CHUNK, PARTITION = 4_000_000, 48_000_000
+CHUNK, PARTITION = 4_000_000, 24_000_000
 #: The key under which each chunk counts its words, so that its total is the corpus's.
 ALL = np.uint64(0)
 
@@ -49,6 +49,16 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: all first bytes, all second bytes and so on. High bytes are mostly zero and compress away."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _texts(t: pa.Table) -> list[str]:
     return t.column("text").to_pylist()
 
@@ -93,18 +103,18 @@ def stupid_backoff(df: DataFrame, backoff: float = BACKOFF, least: int = MIN_COU
             {
                 "part": pa.array(list(runs), pa.int32()),
                 "chunk": pa.array([t.column("chunk")[0].as_py()] * parts, pa.int32()),
-                "keys": pa.array([keys[at[p] : at[p + 1]].tobytes() for p in runs], pa.binary()),
-                "counts": pa.array([counts[at[p] : at[p + 1]].astype("<u4").tobytes() for p in runs], pa.binary()),
+                "keys": pa.array([planes(np.diff(keys[at[p] : at[p + 1]], prepend=np.uint64(0))) for p in runs], pa.binary()),
+                "counts": pa.array([planes(counts[at[p] : at[p + 1]].astype("<u4")) for p in runs], pa.binary()),
             }
         )
 
     def total(t: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()])
+        runs = [np.cumsum(from_planes(x, "<u8"), dtype=np.uint64) for x in t.column("keys").to_pylist()]
+        counts = np.concatenate([from_planes(x, "<u4") for x in t.column("counts").to_pylist()])
         _, back = np.unique(np.concatenate(runs), return_inverse=True)
         sums = np.bincount(back, weights=counts).astype("<u8")[back] if len(back) else np.zeros(0, "<u8")
         ends = np.cumsum([len(r) for r in runs])
-        found = [sums[e - len(r) : e].tobytes() for e, r in zip(ends, runs)]
+        found = [planes(sums[e - len(r) : e]) for e, r in zip(ends, runs)]
         return pa.table({"chunk": t.column("chunk"), "part": t.column("part"), "totals": pa.array(found, pa.binary())})
 
     def judge(mine: pa.Table, back: pa.Table) -> pa.Table:
@@ -113,7 +123,7 @@ def stupid_backoff(df: DataFrame, backoff: float = BACKOFF, least: int = MIN_COU
         keys, _ = _keys(one, two)
         order = np.argsort(back.column("part").to_numpy())
         runs = back.column("totals").to_pylist()
-        totals = np.concatenate([np.frombuffer(runs[i], "<u8") for i in order]) if runs else np.zeros(0)
+        totals = np.concatenate([from_planes(runs[i], "<u8") for i in order]) if runs else np.zeros(0)
         logs, off = scores(one, two, lambda k: totals[np.searchsorted(keys, k)], backoff, least)
         n = np.bincount(doc, minlength=len(texts))
         sums = np.bincount(doc, weights=logs, minlength=len(texts))
