@@ -756,14 +756,6 @@ def predict_linear_patterns(spark, sf_dir):
     return path.predict(w, 1.5, b.items, b.y).select("tid", F.round("mu", 6).alias("mu"))
 
 
-@query()
-def fit_path(spark, sf_dir):
-    """Solved and certified points at four tau over the closed dictionary of all baskets."""
-    b = Baskets(spark, sf_dir)
-    d = path.Dictionary(b.items, b.y, b.least, 3)
-    return path.as_frame(spark, path.fit_path(d, [1.0, 0.5, 0.2, 0.1]))
-
-
 @query()
 def kfold(spark, sf_dir):
     return splits.kfold(basket_response(spark, sf_dir), "tid", 42).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
