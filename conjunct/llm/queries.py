@@ -53,7 +53,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"))
+    return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"), order=lm_scoring.ORDER)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
