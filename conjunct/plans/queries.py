@@ -250,6 +250,13 @@ def contain_join(spark, sf_dir):
     return itemsets.contain_join(top, b.items).select(key().alias("p"), "tid")
 
 
+@query(f"{_ALL} select p, tid from pt")
+def contain_join_dictionary(spark, sf_dir):
+    """contain_join() of every frequent itemset, not of the 20 most frequent pairs alone."""
+    b = Baskets(spark, sf_dir)
+    return itemsets.contain_join(itemsets.supports(b.tids()), b.items).select(key().alias("p"), "tid")
+
+
 @query(f"with {_BI} select n.tid from bi n join bi r using (tid) where n.item = 'N:NATION_1' and r.item = 'R:REGION_1'")
 def oracle_matrix(spark, sf_dir):
     b = Baskets(spark, sf_dir)
@@ -571,6 +578,29 @@ def jaccard_agreement(spark, sf_dir):
     return m.filter("tp > 0").select("seed", F.round(F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("jaccard"))
 
 
+_PARTS = "act as (select distinct l_orderkey % 5 as seed, l_partkey as x from lineitem where l_returnflag = 'R'), tru as (select distinct l_orderkey % 5 as seed, l_partkey as x from lineitem where l_returnflag = 'A')"
+
+
+def selected_parts(spark, sf_dir):
+    """The parts of all lines of either flag by seed: there are as many parts as the input has, so the sets never fill up."""
+    li = read(spark, sf_dir, "lineitem").select(F.pmod("l_orderkey", F.lit(5)).alias("seed"), F.array("l_partkey").alias("itemset"), "l_returnflag")
+    return [li.filter(F.col("l_returnflag") == f).select("seed", "itemset").distinct() for f in ("R", "A")]
+
+
+@query(f"with {_PARTS}, j as (select coalesce(act.seed, tru.seed) as seed, act.x as a, tru.x as t from act full join tru on act.seed = tru.seed and act.x = tru.x), c as (select seed, count(case when a is not null and t is not null then 1 end) as tp, count(case when t is null then 1 end) as fp, count(case when a is null then 1 end) as fn from j group by 1) select seed, tp, fp, fn, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1 from c")
+def recovery_parts(spark, sf_dir):
+    """recovery() and prf() of whole item sets."""
+    m = metrics.recovery(*selected_parts(spark, sf_dir), ["seed"])
+    return m.select("seed", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"with {_PARTS}, a as (select seed, count(*) as n from act group by 1), t as (select seed, count(*) as n from tru group by 1), b as (select seed, count(*) as n from act join tru using (seed, x) group by 1) select a.seed, round(b.n / (a.n + t.n - b.n), 6) as jaccard from a join t using (seed) join b using (seed)")
+def jaccard_parts(spark, sf_dir):
+    """jaccard_agreement() of whole item sets."""
+    m = metrics.recovery(*selected_parts(spark, sf_dir), ["seed"])
+    return m.filter("tp > 0").select("seed", F.round(F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("jaccard"))
+
+
 _CNT = "cnt as (select o_orderpriority as arm, o_custkey % 10 as path, count(*) * 20 as nodes, count(*) as pruned_support, count(case when o_orderstatus = 'F' then 1 end) as pruned_canonical, 3 as pruned_v, count(case when o_orderstatus = 'O' then 1 end) as screened_u, 18 * count(*) as eligible, o_custkey % 10 as traversals from orders group by 1, 2)"
 
 
