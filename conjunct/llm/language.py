@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.window import Window
 
 from conjunct.llm.shared import TEXT, join_hot, materialize, utf8, whole_text_batches
 
@@ -110,16 +111,16 @@ def learn(texts: list[str], langs: list[str]) -> Languages:
 
 
 def train(docs: DataFrame, each: int = 400) -> Languages:
-    """Fit on a bounded sample: of each declared language (100 at most) the `each` rows of the least id hashes."""
+    """Fit on a bounded sample: of every declared language the `each` rows of the least id hashes."""
     held = docs.filter("lang is not null and text is not null and doc_id is not null")
-    names = [r["lang"] for r in held.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(100).collect()]
-    ids = None
-    for name in names:
-        own = held.filter(F.col("lang") == name).select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-        ids = own if ids is None else ids.unionByName(own)
-    if ids is None:
-        return learn([], [])
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).collect()  # 100 * each at most
+    ids = held.select("doc_id", "lang").distinct().withColumn("_hash", F.xxhash64("doc_id")).withColumn("_range", F.shiftright("_hash", 52))
+    # ranges of hashes up to the one in which a language reaches `each`; only their ids are ranked
+    sizes = ids.groupBy("lang", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("lang").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = sizes.withColumn("_before", before).filter(F.col("_before") < each).select("lang", "_range")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
+    ids = ids.join(F.broadcast(near), ["lang", "_range"]).withColumn("_place", place).filter(F.col("_place") <= each).select("doc_id", "lang")
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).collect()  # `each` of a language at most
     rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
     return learn([r["text"] for r in rows], [r["lang"] for r in rows])
 
@@ -157,29 +158,24 @@ def identify(df: DataFrame, model: Languages, text: Column, declared: Column, su
     rows = rows.withColumn("_best", F.when(top > 0, F.array_position("_text_logs", top).cast("int") - 1).otherwise(F.lit(size)))
     rows = materialize(rows, "language")
 
-    def table(key: str, pseudo: float) -> dict[str, list[float]]:
-        """log P(value | language) of the values of a declaration or suffix: the 200 most frequent and all others as one."""
-        said = rows.filter(F.col(key).isNotNull() & (F.col("_best") < size))
-        often = [r[key] for r in said.groupBy(key).count().orderBy(F.desc("count"), key).limit(200).collect()]
-        value = F.when(F.col(key).isin(often), F.col(key)).otherwise(F.lit("\0other")) if often else F.lit("\0other")
-        counted = said.groupBy(value.alias("v"), "_best").count().collect()
-        n = {v: np.full(size, pseudo) for v in [*often, "\0other"]}
-        for r in counted:
-            n[r["v"]][r["_best"]] += r["count"]
-        total = sum(n.values())
-        return {v: np.log(c / total).tolist() for v, c in n.items()}
-
-    def looked_up(key: str, logs: dict[str, list[float]]) -> Column:
-        lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
-        out = lit(logs["\0other"])
-        cases = F.create_map(*[x for v, l in logs.items() if v != "\0other" for x in (F.lit(v), lit(l))]) if len(logs) > 1 else None
-        found = F.coalesce(F.try_element_at(cases, F.col(key)), out) if cases is not None else out
-        return F.when(F.col(key).isNull(), lit([0.0] * size)).otherwise(found)
-
-    declared_logs, suffix_logs = table("_declared", TABLE), table("_suffix", TABLE)
+    counts = [F.sum((F.col("_best") == i).cast("double")).alias(f"n{i}") for i in range(size)]
+
+    def looked_up(left: DataFrame, key: str, name: str, pseudo: float, few: int = 2000) -> DataFrame:
+        """left with log P(value | language) of the declaration or suffix in key; nulls say nothing. Every value counts."""
+        values = materialize(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_with"), *counts), "values")
+        n = [F.col(f"n{i}") for i in range(size)]
+        heard = F.count_if(sum(n[1:], n[0]) > 0)
+        sums = values.agg(F.count(F.lit(1)).alias("values"), heard.alias("heard"), F.sum("_with").alias("with"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(size)]).first()
+        # one more value stands for those that no language explains
+        total = [(sums[f"n{i}"] or 0.0) + pseudo * (sums["heard"] + 1) for i in range(size)]
+        logs = values.select(key, "_with", F.array(*[F.ln((n[i] + pseudo) / total[i]) for i in range(size)]).alias(name))
+        nothing = F.array(*[F.lit(0.0)] * size)
+        if sums["values"] <= few:
+            return left.join(F.broadcast(logs.drop("_with")), key, "left").withColumn(name, F.coalesce(name, nothing))
+        said = join_hot(left.filter(F.col(key).isNotNull()), logs, key, "_with", sums["with"]).drop("_with")
+        return materialize(said.unionByName(left.filter(F.col(key).isNull()).withColumn(name, nothing)), "said")
 
     # priors: corpus, domain, host, each smoothed towards the one before
-    counts = [F.sum((F.col("_best") == i).cast("double")).alias(f"n{i}") for i in range(size)]
     corpus = rows.agg(F.count(F.lit(1)).alias("all"), *counts).first()
     total = corpus["all"]
     share = np.array([(corpus[f"n{i}"] or 0) + 1.0 for i in range(size)])
@@ -199,10 +195,11 @@ def identify(df: DataFrame, model: Languages, text: Column, declared: Column, su
     hosts = hosts.select(F.xxhash64("_host", "_domain").alias("_place"), "rows", host_prior.alias("_prior"))
     hosts = materialize(hosts.groupBy("_place").agg(F.sum("rows").alias("_rows"), F.max("_prior").alias("_prior")), "priors")
 
-    placed = rows.withColumn("_place", F.xxhash64("_host", "_domain"))
+    spoken = looked_up(looked_up(rows, "_declared", "_d", TABLE), "_suffix", "_s", TABLE)
+    placed = spoken.withColumn("_place", F.xxhash64("_host", "_domain"))
     with_host = join_hot(placed.filter("_host is not null"), hosts, "_place", "_rows", total)
     without = placed.filter("_host is null").withColumn("_rows", F.lit(0).cast("long")).withColumn("_prior", F.array(*[F.lit(float(x)) for x in share]))
-    fused = with_host.unionByName(without).withColumn("_d", looked_up("_declared", declared_logs)).withColumn("_s", looked_up("_suffix", suffix_logs))
+    fused = with_host.unionByName(without)
     logs = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.ln(F.get("_prior", i)) + F.get("_d", i) + F.get("_s", i) + TRUST * F.get("_text_logs", i))
     fused = fused.withColumn("_logs", F.explode_outer(F.array(logs)))
     most = F.array_max("_logs")

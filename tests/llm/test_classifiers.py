@@ -1,5 +1,6 @@
 """Language ID and toxicity: held-out accuracy, brute force of the fusion, odd rows."""
 
+import math
 import random
 import zlib
 
@@ -134,3 +135,33 @@ def test_scoring_is_the_network():
         pooled = [max((sum(e[i + o] @ f[o][:, k] for o in range(w))) for i in range(len(e) - w + 1)) for w, f in zip(toxicity.WIDTHS, model.filters) for k in range(toxicity.FILTERS)]
         z = np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.base
         assert model.scores([x])[0] == pytest.approx(1 / (1 + np.exp(-(model.scale * z + model.shift))), abs=1e-4)
+
+
+def test_every_declared_language_is_a_class(spark):
+    rows = [(i, chr(97 + i // 26) + chr(97 + i % 26) * 3, f"l{i:03}") for i in range(120)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == [f"l{i:03}" for i in range(120)]
+
+
+def test_sample_has_the_least_hashes(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"t{i}", "en" if i % 9 else "de") for i in range(3000)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "learn", lambda texts, langs: sorted(zip(langs, texts)))
+    want = [tuple(r) for n in ("de", "en") for r in df.filter(f"lang = '{n}'").orderBy(F.xxhash64("doc_id")).limit(40).select("lang", "text").collect()]
+    assert language.train(df, each=40) == sorted(want)
+
+
+@pytest.mark.parametrize("values", [260, 2100])
+def test_rare_suffixes_keep_their_evidence(spark, values):
+    model = language.learn(["der und die nicht haus", "the and house not with"], ["de", "en"])
+    rows = [(i, t, f"s{i:04}") for i in range(values) for t in ["the and house"] * (3 if i else 2)]
+    rows += [(values, "der und die", "zz")] * 2
+    df = spark.createDataFrame(rows, "id long, text string, suffix string")
+    none = F.lit(None).cast("string")
+    got = language.identify(df, model, F.col("text"), none, F.col("suffix"), none, none, carry=["id", "suffix"])
+    assert got.count() == len(rows)
+    found = {r.suffix: r.lang_confidence for r in got.collect()}
+    # zz speaks by its own two rows, not by those of all rare suffixes
+    n, de, en = values + 1, 2.0, 3.0 * values - 1
+    text = model.evidence("der und die")[0] * language.TRUST
+    logs = [math.log(s * (c + 1) / (t + n + 1)) + x for s, c, t, x in zip([(de + 1) / (de + en + 2), (en + 1) / (de + en + 2)], [2, 0], [de, en], text)]
+    assert found["zz"] == pytest.approx(1 / (1 + math.exp(-abs(logs[1] - logs[0]))), abs=2e-6)
