@@ -518,10 +518,6 @@ def objective(spark, sf_dir):
     return b.y.agg(F.round(F.sum(m - F.col("y") * F.ln(m)), 3).alias("objective"), F.round(F.lit(b.total).cast("double"), 6).alias("_t"), F.round(-F.sum(scalar.xlogy(m, m) - m), 3).alias("dual")).select("objective", F.round(F.ln(F.lit(b.total)) - F.ln(F.lit(float(b.n))), 6).alias("intercept"), "dual")
 
 
-QUERIES["profile_intercept"], SQL["profile_intercept"] = objective, SQL["objective"]
-QUERIES["dual_value"], SQL["dual_value"] = objective, SQL["objective"]
-
-
 @query(f"{_FULL} select round(max(greatest(abs(a) - 0.5 * lam, 0)) / any_value(n), 6) as kkt from sc, lm, ms")
 def kkt_residual(spark, sf_dir):
     b = Baskets(spark, sf_dir)
@@ -616,9 +612,6 @@ def path_totals(spark, sf_dir):
     return metrics.exclusion(counters(spark, sf_dir), ["arm", "path"]).withColumn("rate", F.round("rate", 6))
 
 
-QUERIES["fit_counters"], SQL["fit_counters"] = path_totals, SQL["path_totals"]
-
-
 @query(f"with {_CNT} select arm, sum(nodes)::bigint as nodes, sum(screened_u)::bigint as screened, round(sum(screened_u) / sum(nodes), 6) as rate from cnt group by 1")
 def summarize_pruning(spark, sf_dir):
     return counters(spark, sf_dir).groupBy("arm").agg(F.sum("nodes").alias("nodes"), F.sum("screened_u").alias("screened"), F.round(F.sum("screened_u") / F.sum("nodes"), 6).alias("rate"))
@@ -630,9 +623,6 @@ def five_seed_stats(spark, sf_dir):
     return metrics.five_seed(r, ["endpoint", "method"], "rmse").withColumns({"mean": F.round("mean", 7), "sample_sd": F.round("sample_sd", 6)})
 
 
-QUERIES["tables_rebuild"], SQL["tables_rebuild"] = five_seed_stats, SQL["five_seed_stats"]
-
-
 @query(f"with {_RUNS}, k as (select * from runs where seed <> 2 or method <> 'BUILDING'), e as (select distinct endpoint from runs), m as (select distinct method from runs) select e.endpoint, m.method, s.seed, k.rmse is null as missing from e, m, (select unnest([0, 1, 2, 3, 4]) as seed) s left join k on k.endpoint = e.endpoint and k.method = m.method and k.seed = s.seed")
 def seed_series(spark, sf_dir):
     r = runs(spark, sf_dir)
@@ -646,10 +636,6 @@ def level_stats(spark, sf_dir):
     return runs(spark, sf_dir).groupBy("method").agg(F.count(F.lit(1)).alias("planned"), F.count_if(F.col("rmse") > 150000).alias("verified"), F.round(F.avg("rmse"), 7).alias("mean"), F.round(F.coalesce(F.stddev_samp("rmse"), F.lit(0.0)), 6).alias("sd"))
 
 
-for _alias in ("group_stats", "summarize_counts", "mean_std", "agreement_summary"):
-    QUERIES[_alias], SQL[_alias] = level_stats, SQL["level_stats"]
-
-
 @query(f"with {_RUNS}, m as (select endpoint, method, avg(rmse) as v, count(distinct seed) as seeds from runs group by 1, 2) select endpoint, arg_min(method, v) as winner, round(min(v), 7) as best, max(seeds) as seeds from m group by 1")
 def pandas_groupby(spark, sf_dir):
     m = runs(spark, sf_dir).groupBy("endpoint", "method").agg(F.avg("rmse").alias("v"), F.countDistinct("seed").alias("seeds"))
@@ -668,9 +654,6 @@ def split_audit(spark, sf_dir):
     return read(spark, sf_dir, "orders").groupBy(F.pmod("o_orderkey", F.lit(3)).alias("fold"), F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-QUERIES["coverage_status"], SQL["coverage_status"] = split_audit, SQL["split_audit"]
-
-
 @query(f"with {_BI}, {_Y}, i as (select tid, count(*) as k from bi group by 1) select round(avg(y), 4) as mean, round(var_pop(y) / avg(y), 4) as dispersion, round(avg(case when y < 2 then 1.0 else 0 end), 6) as low_rate, round(exp(-avg(y) / 30), 6) as expected, round(avg(k), 4) as length from y join i using (tid)")
 def data_diagnosis(spark, sf_dir):
     k = basket_items(spark, sf_dir).groupBy("tid").agg(F.count(F.lit(1)).alias("k"))
@@ -714,9 +697,6 @@ def rank_top3_multi(spark, sf_dir):
     return selection.top_per_group(c, ["c_nationkey"], [F.desc(F.abs("c_acctbal")), "c_custkey"], 3).select("c_nationkey", "c_custkey", "place")
 
 
-QUERIES["rank_by_abs_coef"], SQL["rank_by_abs_coef"] = rank_top3_multi, SQL["rank_top3_multi"]
-
-
 @query(f"with {_GRID}, m as (select endpoint, point, avg(rmse) as m, count(*) as n from g group by 1, 2), b as (select endpoint, min(round(m, 9)) as r, sum(n) as n from m group by 1 having sum(n) = 21) select endpoint, min(point) as point, round(any_value(r), 7) as mean_rmse from b join m using (endpoint) where round(m.m, 9) = r group by 1")
 def cv_choice(spark, sf_dir):
     return selection.cv_choice(grid_scores(spark, sf_dir), ["endpoint"], 3, 7).withColumn("mean_rmse", F.round("mean_rmse", 7))
@@ -727,9 +707,6 @@ def one_se_select(spark, sf_dir):
     return selection.one_se(grid_scores(spark, sf_dir), ["endpoint"])
 
 
-QUERIES["compact_select"], SQL["compact_select"] = one_se_select, SQL["one_se_select"]
-
-
 @query(f"with {_GRID}, m as (select endpoint, point, avg(rmse) as v from g group by 1, 2), d as (select endpoint, point, v - lag(v) over (partition by endpoint order by point) as change from m) select endpoint, point, round(change, 7) as change, coalesce(change < -1000, false) as stop from d")
 def stop_rule(spark, sf_dir):
     m = grid_scores(spark, sf_dir).groupBy("endpoint", "point").agg(F.avg("rmse").alias("v"))

@@ -33,3 +33,11 @@ def test_dictionary_has_all_lengths(spark):
 def test_recovery_is_no_constant(spark):
     rows = QUERIES["recovery_parts"](spark, SF).collect()
     assert rows and all(0 < r.precision < 1 and 0 < r.recall < 1 for r in rows)
+
+
+def test_no_second_names():
+    names = {}
+    for name, f in QUERIES.items():
+        names.setdefault(f, []).append(name)
+    # the survey holds these two pairs for the same operator
+    assert sorted(n for n in names.values() if len(n) > 1) == [["enum_closed", "mine_closed_ext"], ["recovery", "prf"]]
