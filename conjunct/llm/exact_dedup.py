@@ -1,7 +1,10 @@
 """Exact deduplication by two passes over a Bloom filter of repeated hashes; DataFrame functions only.
 
-Pass one counts the slots that the hashes of all texts fall into and keeps a bit for each slot met more than once. Pass
-two tests every row: a row whose slots aren't all marked is alone and goes straight through; only the others shuffle.
+Pass one counts the slots that the hashes of all texts fall into, each task its own slots first, and keeps a bit for each
+slot met more than once. Pass two tests every row: a row whose slot isn't marked is alone and goes straight through; only
+the others shuffle. The filter has one hash function over SLOTS slots a row, however many rows there are, and is held
+sparsely: 64-bit words without a marked slot don't exist. So its size follows the repeated texts and not the table. It is
+broadcast if it has at most `most` words; a larger one is joined by shuffle, with the rows' ids and hashes, not their texts.
 """
 
 from __future__ import annotations
@@ -9,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from conjunct.llm.shared import BLANKS, join_hot, materialize, utf8
+from conjunct.llm.shared import BLANKS, boxed, join_hot, materialize, unboxed, utf8
 
-#: Slots of the filter: 16 for each row, within these bounds. The broadcast words are at most MOST / 64.
-LEAST, MOST, HASHES = 1 << 16, 1 << 27, 2
+#: Slots of the filter for each row (a text that is alone passes once in so many), and the least number of slots.
+SLOTS, LEAST = 1024, 1 << 20
+#: Words of the largest filter that is broadcast: 16 bytes each.
+MOST = 1 << 20
 
 
 def text_key(text: Column) -> Column:
@@ -20,48 +25,48 @@ def text_key(text: Column) -> Column:
     return F.sha2(F.regexp_replace(utf8(text), BLANKS, " "), 256)
 
 
-def _slot(key: Column, j: int, slots: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(j)), F.lit(slots))
+def _slot(key: Column, slots: int) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(slots - 1))
 
 
 def slots_for(rows: int) -> int:
-    return min(MOST, max(LEAST, 1 << (16 * rows).bit_length()))
+    """A power of two, 2**62 at most."""
+    return min(1 << 62, max(LEAST, 1 << (SLOTS * rows).bit_length()))
 
 
 def slot_filter(keys: DataFrame, key: str, slots: int, least: int = 2) -> DataFrame:
-    """(word, bits): the filter's 64-bit words that have a slot met at least so often. At most slots / 64 rows."""
-    met = keys.select(F.explode(F.array(*[_slot(F.col(key), j, slots) for j in range(HASHES)])).alias("slot")).groupBy("slot").count()
+    """(word, bits): the filter's 64-bit words that have a slot met at least so often, written to the shared folder."""
+    met = keys.groupBy(_slot(F.col(key), slots).alias("slot")).count()
     bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    return met.filter(F.col("count") >= least).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return materialize(met.filter(F.col("count") >= least).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")), "filter")
 
 
-def maybe_repeated(rows: DataFrame, key: str, marked: DataFrame, slots: int) -> DataFrame:
-    """rows with boolean _maybe: whether every slot of the row's key is marked."""
-    tests = []
-    for j in range(HASHES):
-        words = marked.select(F.col("word").alias(f"_word{j}"), F.col("bits").alias(f"_bits{j}"))
-        rows = rows.withColumn(f"_slot{j}", _slot(F.col(key), j, slots)).withColumn(f"_word{j}", F.shiftright(f"_slot{j}", 6)).join(F.broadcast(words), f"_word{j}", "left")
-        tests.append(f"(coalesce(_bits{j}, 0L) & shiftleft(1L, cast(_slot{j} & 63 as int))) != 0")
-    rows = rows.withColumn("_maybe", F.expr(" and ".join(tests)))
-    return rows.drop(*[f"_{n}{j}" for n in ("slot", "word", "bits") for j in range(HASHES)])
+def maybe_repeated(rows: DataFrame, key: str, marked: DataFrame, slots: int, most: int = MOST) -> DataFrame:
+    """rows with boolean _maybe: whether the slot of the row's key is marked. rows have no columns _slot, _word and bits."""
+    rows = rows.withColumn("_slot", _slot(F.col(key), slots)).withColumn("_word", F.shiftright("_slot", 6))
+    words = marked.select(F.col("word").alias("_word"), "bits")
+    rows = rows.join(F.broadcast(words) if marked.count() <= most else words, "_word", "left")
+    rows = rows.withColumn("_maybe", F.expr("(coalesce(bits, 0L) & shiftleft(1L, cast(_slot & 63 as int))) != 0"))
+    return rows.drop("_slot", "_word", "bits")
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """One row per row of df: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal texts (white space runs count as one space, null as empty) the smallest id is kept. Rows that
     repeat both id and text are reported each, all with the same kept. Null ids come after all others; a group of null
-    ids alone keeps them all. An empty table gives no rows; other columns of df are ignored.
+    ids alone keeps them all. Texts of any length are hashed whole. An empty table gives no rows; other columns of df,
+    whatever their names, are ignored.
     """
-    return _decided(df, id_col, text)[0].drop("_maybe")
+    return _decided(df, id_col, text, most)[0].drop("_maybe")
 
 
-def _decided(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame, int]:
+def _decided(df: DataFrame, id_col: str, text: str, most: int) -> tuple[DataFrame, DataFrame, int]:
     keys = materialize(df.select(F.col(id_col).alias("doc_id"), text_key(F.col(text)).alias("text_sha256")), "dedup")
     total = keys.count()
     slots = slots_for(total)
     marked = slot_filter(keys, "text_sha256", slots)
-    rows = maybe_repeated(keys, "text_sha256", marked, slots)
+    rows = maybe_repeated(keys, "text_sha256", marked, slots, most)
     alone = rows.filter("not _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256", "_maybe")
     shared = rows.filter("_maybe")
     groups = shared.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -70,27 +75,35 @@ def _decided(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFram
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "_maybe"), marked, slots
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """The rows of df that exact_groups keeps, with their columns; rows that repeat id and text leave one.
 
-    Rows that the filter passes are never shuffled; the others meet the list of kept ids.
+    Rows that the filter passes over are never shuffled (while the filter is broadcast); the others meet the list of kept
+    ids. Which of the rows that repeat id and text stays is not defined where their other columns differ.
     """
-    decided, marked, slots = _decided(df, id_col, text)
-    rows = maybe_repeated(df.withColumn("_key", text_key(F.col(text))), "_key", marked, slots)
-    kept = decided.filter("_maybe and kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    maybe = rows.filter("_maybe").dropDuplicates([id_col, "_key"])
-    found = maybe.join(kept, maybe[id_col].eqNullSafe(kept["_id"]) & (maybe["_key"] == kept["_sha"]), "left_semi")
-    return rows.filter("not _maybe").unionByName(found).select(*df.columns)
+    decided, marked, slots = _decided(df, id_col, text, most)
+    rows = maybe_repeated(boxed(df, None, _id=F.col(id_col), _key=text_key(F.col(text))), "_key", marked, slots, most)
+    kept = decided.filter("_maybe and kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha")).distinct()
+    maybe = rows.filter("_maybe").dropDuplicates(["_id", "_key"])
+    found = maybe.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_key") == F.col("_sha")), "left_semi")
+    return rows.filter("not _maybe").unionByName(found).select(*unboxed(df.columns))
 
 
-def without(df: DataFrame, id_col: str, dropped: DataFrame, dropped_col: str) -> DataFrame:
-    """The rows of df whose id isn't among the dropped ones (distinct, not null). Only rows that a filter of the dropped ids passes shuffle."""
+def without(df: DataFrame, keys: dict[str, Column], dropped: DataFrame, most: int = MOST) -> DataFrame:
+    """The rows of df whose keys (name -> expression) aren't among the rows of dropped, which has columns of these names.
+
+    Nulls equal nulls. Only rows that a filter of the dropped keys passes shuffle. Columns of df may have any names.
+    """
+    names = list(keys)
     slots = slots_for(dropped.count())
-    marked = slot_filter(dropped, dropped_col, slots, 1)
-    rows = maybe_repeated(df.withColumn("_key", F.col(id_col)), "_key", marked, slots)
+    hashed = dropped.select(F.xxhash64(*names).alias("_hash"))
+    marked = slot_filter(hashed, "_hash", slots, 1)
+    rows = boxed(df, None, **{f"_{n}": c for n, c in keys.items()})
+    rows = maybe_repeated(rows.withColumn("_hash", F.xxhash64(*[f"_{n}" for n in names])), "_hash", marked, slots, most)
     maybe = rows.filter("_maybe")
-    left = maybe.join(dropped, maybe[id_col] == dropped[dropped_col], "left_anti")
-    return rows.filter("not _maybe").unionByName(left).select(*df.columns)
+    same = [F.col(f"_{n}").eqNullSafe(F.col(n)) for n in names]
+    left = maybe.join(dropped, same, "left_anti")
+    return rows.filter("not _maybe").unionByName(left).select(*unboxed(df.columns))
 
 
 SQL = r"""

@@ -1,8 +1,12 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text's words (runs without ASCII white space) are hashed, every k words in a row give a hash, and of each window of w
-such hashes the least is chosen, the rightmost of equal ones. Any run of w + k - 1 words that two texts share thus gives
-both a common hash. Fingerprints keep the position of each chosen hash.
+Every k code points in a row give a hash, and of each window of w such hashes the least is chosen, the rightmost of equal
+ones. Any run of w + k - 1 code points that two texts share thus gives both a common hash. Fingerprints keep the position
+of each chosen hash.
+
+The hash is the cyclic polynomial, a rolling one: the exclusive or of the code points' own hashes, each turned by its
+distance from the gram's end. SQL functions can't carry a hash from one gram to the next; instead a gram's hash is rolled
+together from those of its two halves, which takes log2(k) passes over the text however long grams are.
 """
 
 from __future__ import annotations
@@ -11,9 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conjunct.llm.shared import BLANKS, utf8
+from conjunct.llm.shared import utf8
 
-K, W = 4, 12
+#: Code points of a gram (a power of two), grams of a window.
+K, W = 16, 32
+#: Low bits of a key that hold the position: more than an array can have. The high bits are the hash's own.
+PLACE = 28
+_NONE = "cast(array() as array<bigint>)"
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -21,30 +29,101 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode_outer(F.array(value)))
 
 
-def gram_hashes(words: Column, k: int) -> Column:
-    """Hash of each k words in a row; of all words where they are fewer; none of none."""
-    last = F.greatest(F.size(words) - k, F.lit(0))
-    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
-    return F.when(F.size(words) > 0, grams).otherwise(F.array().cast("array<bigint>"))
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _from(values: Column, start: Column | int) -> Column:
+    """The values from place `start` (0 is the first) on."""
+    return F.slice(values, F.lit(start) + 1 if isinstance(start, int) else start + 1, F.greatest(F.size(values), F.lit(1)))
+
+
+def _first(values: Column, n: Column) -> Column:
+    return F.slice(values, F.lit(1), F.greatest(n, F.lit(0)))
+
+
+def _turned(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+
+
+def point_hashes(text: Column) -> Column:
+    """A hash of each code point."""
+    return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.xxhash64(c))).otherwise(F.expr(_NONE))
+
+
+def rolled(points: Column, k: int) -> Column:
+    """Hash of each k points in a row; none of fewer."""
+    def doubled(step: int):
+        """From the hashes of `step` points those of twice as many."""
+        return lambda g: _first(F.zip_with(g, _from(g, step), lambda x, y: _turned(x, step).bitwiseXOR(y)), F.size(g) - step)
+
+    if k & (k - 1):
+        raise ValueError("k must be a power of two")
+    out, step = points, 1
+    while step < k:
+        out, step = _let(out, doubled(step)), 2 * step
+    return F.when(F.size(points) >= k, out).otherwise(F.expr(_NONE))
+
+
+def grams(points: Column, k: int) -> Column:
+    """rolled(), and the hash of all points where they are fewer than k but some."""
+    whole = F.array(F.xxhash64(points))
+    return F.when(F.size(points).between(1, k - 1), whole).otherwise(rolled(points, k))
 
 
-def chosen(grams: Column, w: int) -> Column:
-    """Positions that winnowing picks, ascending."""
+def keys(hashes: Column, first: Column) -> Column:
+    """Numbers in the order of hashes, later ones first where hashes are equal; `first` is the place of the first hash."""
+    last = (1 << PLACE) - 1
+    return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~last)).bitwiseOR((F.lit(last) - first - i).cast("long")))
 
-    def rightmost(start: Column) -> Column:
-        window = F.slice(grams, start + 1, w)
-        return start + F.least(F.lit(w), F.size(grams)) - F.array_position(F.reverse(window), F.array_min(window)).cast("int")
 
-    starts = F.sequence(F.lit(0), F.greatest(F.size(grams) - w, F.lit(0)))
-    return F.when(F.size(grams) > 0, F.array_distinct(F.transform(starts, rightmost))).otherwise(F.array().cast("array<int>"))
+def places(chosen: Column) -> Column:
+    """The places of keys, each once."""
+    last = (1 << PLACE) - 1
+    return F.transform(F.array_distinct(chosen), lambda x: (F.lit(last) - x.bitwiseAND(F.lit(last))).cast("int"))
+
+
+def windows(held: Column, w: int) -> Column:
+    """The least key of each w in a row; none of fewer."""
+    least = F.transform(F.sequence(F.lit(0), F.greatest(F.size(held) - w, F.lit(0))), lambda i: F.array_min(F.slice(held, i + 1, w)))
+    return F.when(F.size(held) >= w, least).otherwise(F.expr(_NONE))
+
+
+def _winnowed(held: Column, w: int) -> Column:
+    """windows(), and the least of all keys where they are fewer than w but some."""
+    return F.when(F.size(held).between(1, w - 1), F.array(F.array_min(held))).otherwise(windows(held, w))
 
 
 def with_fingerprint(df: DataFrame, text: str, hashes: str, positions: str, k: int = K, w: int = W) -> DataFrame:
-    """df with the chosen hashes and their positions, in two arrays of equal length. Null counts as empty."""
-    df = _held(df, "_words", F.transform(F.filter(F.split(utf8(F.col(text)), BLANKS), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    df = _held(df, "_grams", gram_hashes(F.col("_words"), k)).drop("_words")
-    df = _held(df, positions, chosen(F.col("_grams"), w))
-    return _held(df, hashes, F.transform(positions, lambda p: F.get("_grams", p))).drop("_grams")
+    """df with the chosen hashes and their positions, in two arrays of equal length. Null counts as empty.
+
+    df has no columns _points, _grams, _keys and _least, which the result has too, for edited texts to use.
+    """
+    df = _held(df, "_points", point_hashes(utf8(F.col(text))))
+    df = _held(df, "_grams", grams(F.col("_points"), k))
+    df = _held(df, "_keys", keys(F.col("_grams"), F.lit(0)))
+    df = _held(df, "_least", _winnowed(F.col("_keys"), w))
+    df = _held(df, positions, places(F.col("_least")))
+    return _held(df, hashes, F.transform(positions, lambda p: F.get("_grams", p)))
+
+
+def with_edited(df: DataFrame, tail: str, kept: Column, hashes: str, positions: str, k: int = K, w: int = W) -> DataFrame:
+    """with_fingerprint() of the text's first `kept` code points followed by the text in `tail`.
+
+    Grams and windows that lie within the kept part are those of the text itself, so only the others are computed.
+    """
+    df = _held(df, "_p", F.greatest(kept.cast("int") - (k - 1), F.lit(0)))  # grams that stay
+    ends = F.concat(F.slice("_points", F.col("_p") + 1, F.greatest(kept.cast("int") - F.col("_p"), F.lit(0))), point_hashes(F.col(tail)))
+    df = _held(df, "_ends", ends).drop("_points")
+    df = _held(df, "_new", F.when(F.col("_p") > 0, rolled(F.col("_ends"), k)).otherwise(grams(F.col("_ends"), k)))
+    df = df.withColumn("_q", F.greatest(F.col("_p") - (w - 1), F.lit(0)))  # windows that stay
+    # the keys from the first window that doesn't stay on
+    df = _held(df, "_rest", F.concat(F.slice("_keys", F.col("_q") + 1, F.col("_p") - F.col("_q")), keys(F.col("_new"), F.col("_p"))))
+    least = F.when(F.col("_q") > 0, F.concat(_first(F.col("_least"), F.col("_q")), windows(F.col("_rest"), w))).otherwise(_winnowed(F.col("_rest"), w))
+    df = _held(df, positions, places(least))
+    at = lambda i: F.when(i < F.col("_p"), F.get("_grams", i)).otherwise(F.get("_new", i - F.col("_p")))
+    return _held(df, hashes, F.transform(positions, at)).drop("_p", "_q", "_ends", "_new", "_rest", "_grams", "_keys", "_least")
 
 
 def as_text(hashes: str, positions: str) -> Column:
@@ -58,18 +137,21 @@ def likeness(a: str, b: str) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
-def with_next(df: DataFrame, order: str, carried: dict[str, str], ids: DataFrame | None = None, rows_each: int = 500, most: int = 16_384) -> DataFrame:
+def with_next(df: DataFrame, order: str, carried: dict[str, str], then=lambda df: (df, {}), rows_each: int = 500, most: int = 16_384) -> DataFrame:
     """df with, under new names, columns of the row that follows by descending `order`; after the last comes the first.
 
-    Rows are dealt into ranges of about rows_each ids (`most` ranges at most). The highest id of a range also goes, as a
-    guest, to the range above, so that each range finds all its followers; no window spans the table. Nulls come last;
-    rows of equal order follow each other by their other columns' hash. ids has the same rows' `order`, where that is
-    cheaper to read than df.
+    then(df) makes more columns of these, and names further ones to carry, from the same follower, without a new shuffle.
+
+    Rows are dealt into ranges of about rows_each ids (`most` ranges at most: with more rows the ranges, which spill,
+    become longer). The highest id of a range also goes, as a guest, to the range above, so that each range finds all its
+    followers; no window spans the table. Nulls come last; rows of equal order follow each other by their other columns'
+    hash.
     """
-    ids = df if ids is None else ids
+    ids = df.select(order)
     total = ids.count()
     if not total:
-        return df.select("*", *[F.lit(None).cast(df.schema[c].dataType).alias(n) for c, n in carried.items()])
+        df, more = then(df.select("*", *[F.lit(None).cast(df.schema[c].dataType).alias(n) for c, n in carried.items()]))
+        return df.select("*", *[F.lit(None).cast(df.schema[c].dataType).alias(n) for c, n in more.items()])
     ranges = min(most, max(1, total // rows_each))
     at = ", ".join(str((i + 1) / ranges) for i in range(ranges))
     found = ids.selectExpr(f"percentile_approx({order}, array({at}), {max(10_000, 10 * ranges)}) as p", f"max({order}) as m").first()
@@ -86,32 +168,42 @@ def with_next(df: DataFrame, order: str, carried: dict[str, str], ids: DataFrame
     wraps = (F.col("_guest") == 1) & (F.col("_r") == 0)
     seated = seated.withColumn("_wraps", wraps)
     tie = F.xxhash64(*[F.col(c) for c, t in df.dtypes if t in ("string", "bigint", "int") and c not in (order, "_range")])
-    by = Window.partitionBy("_r").orderBy("_wraps", F.desc_nulls_last(order), tie)
+    seated = seated.withColumn("_tie", tie)
+    by = Window.partitionBy("_r").orderBy("_wraps", F.desc_nulls_last(order), "_tie")
     for c, n in carried.items():
         seated = seated.withColumn(n, F.lead(c).over(by))
-    return seated.filter("_guest = 0").drop("_r", "_guest", "_wraps")
+    seated, more = then(seated)
+    for c, n in more.items():
+        seated = seated.withColumn(n, F.lead(c).over(by))
+    return seated.filter("_guest = 0").drop("_r", "_guest", "_wraps", "_tie")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, w: int = W) -> DataFrame:
     """One row per row of df: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last third of its code points replaced by as many from the start of the next document (by
-    descending id; after the last comes the first, so a lone document follows itself). Null texts count as empty, and a
-    text without words has an empty fingerprint, like another such text (1.0) and unlike all others (0.0). Rows of equal
-    id follow each other in some order fixed by their texts; null ids come last. Other columns of df are ignored.
+    descending id; after the last comes the first, so a lone document follows itself). Null texts count as empty; an
+    empty text has an empty fingerprint, like another such text (1.0) and unlike all others (0.0); one of fewer than k
+    code points has one hash, of all of them. Texts of any length are fingerprinted whole, in memory: about 100 bytes a
+    character in one task. Rows of equal id follow each other in some order fixed by their texts; null ids come last. An
+    empty table gives no rows; other columns of df, whatever their names, are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text)).alias("text"))
-    own = with_fingerprint(docs, "text", "_own", "_at", k, w)
-    pairs = with_next(own, "doc_id", {"text": "_next", "_own": "_theirs"}, docs.select("doc_id")).withColumn("n_chars", F.length("text").cast("long"))
-    edited = F.expr("concat(substring(text, 1, int(n_chars - n_chars div 3)), substring(_next, 1, int(n_chars div 3)))")
-    pairs = _held(pairs, "_edited", edited).drop("text", "_next")
-    both = with_fingerprint(pairs, "_edited", "_new", "_new_at", k, w)
-    return both.select(
+
+    def both(pairs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+        pairs = with_fingerprint(pairs, "text", "_own", "_at", k, w).withColumn("n_chars", F.length("text").cast("long"))
+        pairs = _held(pairs, "_tail", F.expr("substring(coalesce(_next, ''), 1, int(n_chars div 3))"))
+        pairs = _held(pairs, "edited_sha256", F.sha2(F.expr("concat(substring(text, 1, int(n_chars - n_chars div 3)), _tail)"), 256)).drop("text", "_next")
+        pairs = with_edited(pairs, "_tail", F.expr("n_chars - n_chars div 3"), "_edited", "_edited_at", k, w).drop("_tail")
+        return pairs, {"_own": "_theirs"}
+
+    rows = with_next(docs, "doc_id", {"text": "_next"}, both)
+    return rows.select(
         "doc_id",
         "n_chars",
-        F.sha2("_edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         as_text("_own", "_at").alias("fingerprint"),
-        as_text("_new", "_new_at").alias("edited_fingerprint"),
-        likeness("_own", "_new").alias("near_edited"),
+        as_text("_edited", "_edited_at").alias("edited_fingerprint"),
+        likeness("_own", "_edited").alias("near_edited"),
         likeness("_own", "_theirs").alias("near_next"),
     )

@@ -29,8 +29,12 @@ from conjunct.llm.exact_dedup import maybe_repeated, slot_filter, slots_for
 from conjunct.llm.shared import forget, materialize, utf8, whole_text_batches
 from conjunct.llm.shingles import mix, shingle_set
 
-#: Sets of a cell whose pairs are listed one by one; sets of a block of a family.
-CELL, BLOCK = 8, 96
+#: Sets of a cell whose pairs are listed one by one; sets of a family's least block; shingles of its largest one.
+CELL, BLOCK, LARGEST = 8, 96, 4_000_000
+#: A set of a family is copied to at most so many blocks, while blocks of that size stay within LARGEST.
+COPIES = 64
+#: Clashing names that are renamed in one round.
+CLASHES = 1000
 #: Set identities that a task remembers, so that copies in it send their cells once.
 SEEN = 500_000
 
@@ -115,14 +119,14 @@ def _longs(values, unsigned=True):
 
 
 def shingled(df: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, a, b, cells, bits, budgets) of df(doc_id, text): a and b are a 128-bit identity of the set; cells, bits and budgets are null for copies of a set that the task has sent."""
+    """(doc_id, text_key, n, a, b, cells, bits, budgets) of df(doc_id, text): text_key is a hash of the text, a and b are a 128-bit identity of the set; cells, bits and budgets are null for copies of a set that the task has sent."""
 
     def run(batches):
         seen: set = set()
         for batch in batches:
             n, a, b, own, bits, budgets = [], [], [], [], [], []
-            for x in batch.column(1).to_pylist():
-                found = shingle_set((x or "").encode(), k)
+            for x in batch.column(2):
+                found = shingle_set(x.as_py().encode(), k)
                 ident = _identity(found)
                 n.append(len(found))
                 a.append(ident[0])
@@ -138,11 +142,12 @@ def shingled(df: DataFrame, k: int, percent: int) -> DataFrame:
                 own.append(keys.view(np.int64))
                 budgets.append(spared)
                 bits.append(bitmap(found).tobytes())
-            arrays = [batch.column(0), pa.array(n, pa.int64()), _longs(a), _longs(b), pa.array(own, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(budgets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "a", "b", "cells", "bits", "budgets"])
+            arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), _longs(a), _longs(b), pa.array(own, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(budgets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n", "a", "b", "cells", "bits", "budgets"])
 
     whole_text_batches(df.sparkSession)
-    return df.select("doc_id", utf8(F.col("text"))).mapInArrow(run, "doc_id long, n long, a long, b long, cells array<bigint>, bits binary, budgets array<bigint>")
+    text = utf8(F.col("text"))
+    return df.select("doc_id", F.xxhash64(text), text).mapInArrow(run, "doc_id long, text_key long, n long, a long, b long, cells array<bigint>, bits binary, budgets array<bigint>")
 
 
 def _met(edges: bool):
@@ -306,23 +311,45 @@ def _block(percent: int):
     return run
 
 
+def names(sets: DataFrame):
+    """A 64-bit name for each set of sets(a, b, n), told apart by all three: their hash, or where hashes clash another one,
+    until no two sets share a name. Of 10**10 sets about three pairs clash."""
+    name, seed = F.xxhash64("a", "b", "n"), 0
+    while clash := [r[0] for r in sets.groupBy(name.alias("id")).count().filter("count > 1").limit(CLASHES).collect()]:
+        seed += 1
+        name = F.when(name.isin(clash), F.xxhash64("a", "b", "n", F.lit(seed))).otherwise(name)
+    return name
+
+
+def blocks_of(families: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(label, id, blocks) of families(node, label) and sizes(label, count, longest): in how many blocks a family is cut.
+
+    Blocks grow with the family, so that a set is copied to COPIES of them at most, but to no more than LARGEST shingles.
+    """
+    each = F.greatest(F.lit(1.0), F.least(F.greatest(F.col("count") / COPIES, F.lit(float(BLOCK))), F.floor(F.lit(LARGEST) / F.col("longest")).cast("double")))
+    return families.join(sizes, "label").select("label", F.col("node").alias("id"), F.ceil(F.col("count") / each).cast("int").alias("blocks"))
+
+
 def jaccard_classes(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for each row of df(doc_id, text).
+    """(doc_id, n_shingles, component_id, n_links, text_key, class_key) for each row of df(doc_id, text).
 
     Two documents link when 100 * shared shingles >= percent * shingles of either; component_id is the smallest doc_id
     reachable by links, n_links the number of documents that a document links with. Words are runs without ASCII white
     space, A-Z lower-cased; a text of fewer than k words has one shingle, and one without words (or null) has none and
     links with nothing. Copies are one set throughout and get their class at the end. Rows that repeat a doc_id are
     documents of their own that share the class of their text; null doc_ids are classed too, and a class of null ids
-    alone has a null component_id. An empty table gives no rows; other columns of df are ignored.
+    alone has a null component_id. An empty table gives no rows; other columns of df,
+    whatever their names, are ignored. Texts of any length are shingled whole. text_key is a hash of the row's text and
+    class_key a number that the rows of a class share (null without words): with them, rows of null or repeated ids can
+    be told apart.
     """
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     found = materialize(shingled(docs, k, percent), "shingled")
     full = found.filter("n > 0")
-    # one id for each set: 64 bits of both halves of its identity
-    ident = F.xxhash64("a", "b", "n")
-    sets = materialize(full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).select(ident.alias("id"), "n", "least", "copies"), "sets")
+    sets = materialize(full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "sets")
+    ident = names(sets)
+    written, sets = sets, sets.select(ident.alias("id"), "n", "least", "copies")
     sent = full.filter("cells is not null").select(F.explode("cells").alias("cell"), ident.alias("a"))
     met = sent.repartition("cell").sortWithinPartitions("cell", "a").mapInArrow(_met(False), "a long, b long, large boolean")
     met = first_met = materialize(met.distinct(), "met")
@@ -351,7 +378,7 @@ def jaccard_classes(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     within = materialize(_checked(pairs, bits, "bits", percent), "within")
     wanted = within.select("a").union(within.select("b")).union(families.select("node")).distinct().withColumnRenamed("a", "id")
     wanted = materialize(first.select("doc_id", "id").join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    rows = materialize(found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, ident).otherwise(F.xxhash64("doc_id", F.lit(0))).alias("id")), "rows")
+    rows = materialize(found.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, ident).otherwise(F.xxhash64("doc_id", F.lit(0))).alias("id")), "rows")
     forget(spark, found.written_to)
     slots = slots_for(wanted.count())
     marked = slot_filter(wanted, "doc_id", slots, 1)
@@ -360,10 +387,9 @@ def jaccard_classes(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     arrays = _arrays(texts.select("text"), k).withColumn("id", ident).select("id", "n", "bits", "hashes")
     arrays = materialize(arrays.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "arrays")
     links = materialize(_checked(within, arrays, "hashes", percent).select("a", "b"), "links")
-    sizes = materialize(families.groupBy("label").count(), "sizes")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    seats = families.join(sizes, "label").select("label", F.col("node").alias("id"), blocks.alias("blocks"))
-    seats = seats.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), "blocks").cast("int"))
+    longest = families.join(sets.select(F.col("id").alias("node"), "n"), "node").groupBy("label")
+    sizes = materialize(longest.agg(F.count(F.lit(1)).alias("count"), F.max("n").alias("longest")), "sizes")
+    seats = blocks_of(families, sizes).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), "blocks").cast("int"))
     held = seats.join(arrays, "id").join(sets.select("id", "copies"), "id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = held.withColumn("_o", other).withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o")).drop("_o", "blocks")
@@ -378,12 +404,12 @@ def jaccard_classes(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     labelled = materialize(labelled.join(counted, "id", "left"), "labelled")
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     least = materialize(least, "least")
-    known = labelled.join(least, "label").select("id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = labelled.join(least, "label").select("id", "component_id", F.col("label").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = materialize(known, "known")
     out = rows.join(known, "id", "left")
-    done = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    done = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), "text_key", F.when(F.col("n_shingles") > 0, F.col("class_key")).alias("class_key"))
     done = materialize(done, "classes")
-    for t in (sets, first_met, crowds, again, families, pairs, bits, rows, wanted, arrays, within, links, sizes, inside, classes, labelled, least, known):
+    for t in (written, first_met, crowds, again, families, pairs, bits, rows, wanted, arrays, within, links, sizes, inside, classes, labelled, least, known):
         if hasattr(t, "written_to"):
             forget(spark, t.written_to)
     return done

@@ -2,8 +2,10 @@
 
 Each task reads its documents in order. A document's full windows are cut off; the rest goes to the fill level that makes
 the sum of squared counts of partially filled windows least, the counts being held in an array by level. Documents may
-be cut, so windows that stay partly filled are merged by cutting: inside a task when too many are open and at its end,
-and across tasks for the single window that each task leaves. Padding is thus at most one window for each 256 tasks.
+be cut, so windows that stay partly filled at a task's end are merged by cutting, and so are, across tasks, the single
+windows that tasks leave. Padding is thus at most one window for each 256 tasks. A task that holds more open windows than
+fit in memory fills its fullest ones with pieces of its emptiest until half are left; the others keep their levels, and
+every document is placed by the sum of squares all along.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ class Window:
 class SumOfSquares:
     """The packer of one task. close(window, last) takes windows that are done."""
 
-    def __init__(self, size: int, close, max_open: int = 2048):
+    def __init__(self, size: int, close, max_open: int = 16_384):
         self.size, self.close, self.max_open = size, close, max_open
         self.count = np.zeros(size + 1, np.int64)  # open windows by level; level 0 is a new window, level size a full one
         self.at: list[list[Window]] = [[] for _ in range(size + 1)]
@@ -95,7 +97,7 @@ class SumOfSquares:
             w.put(doc, start, ids[4 * start :], total)
             self._keep(w)
             if self.open > self.max_open:
-                self.merge()
+                self.merge(self.max_open // 2)
 
     def _keep(self, w: Window) -> None:
         if w.fill == self.size:
@@ -105,24 +107,25 @@ class SumOfSquares:
             self.count[w.fill] += 1
             self.open += 1
 
-    def merge(self) -> Window | None:
-        """Fill the fullest windows with pieces cut from the emptiest; at most one stays open."""
+    def merge(self, leave: int) -> None:
+        """Fill the fullest windows with pieces cut from the emptiest until at most `leave` are open."""
         left = deque(w for level in self.at for w in level)
         self.at, self.open = [[] for _ in range(self.size + 1)], 0
         self.count[:] = 0
-        last = fill_up(left, self.size, lambda w: self.close(w, False))
-        if last:
-            self._keep(last)
-        return last
+        fill_up(left, self.size, lambda w: self.close(w, False), leave)
+        for w in left:
+            self._keep(w)
 
     def finish(self) -> None:
-        if last := self.merge():
-            self.close(last, True)
+        self.merge(1)
+        for level in self.at:
+            for w in level:
+                self.close(w, True)
 
 
-def fill_up(windows: deque, size: int, close) -> Window | None:
-    """Merge windows, the emptiest first in the deque, by cutting pieces; what is left over is one window at most."""
-    while len(windows) > 1:
+def fill_up(windows: deque, size: int, close, leave: int = 1) -> None:
+    """Close windows, the fullest first, with pieces cut from the emptiest (first in the deque), until at most `leave` are left."""
+    while len(windows) > leave:
         w = windows.pop()
         while w.fill < size and windows:
             source = windows[0]
@@ -135,9 +138,9 @@ def fill_up(windows: deque, size: int, close) -> Window | None:
             if not source.pieces:
                 windows.popleft()
         if w.fill < size:
-            return w
+            windows.append(w)
+            return
         close(w)
-    return windows.pop() if windows else None
 
 
 def _rows(w: Window, sequence: int, size: int, tail: bool):
@@ -155,7 +158,8 @@ def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tails
     """Pieces of df(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and padded_length.
 
     Null and empty texts are the end id alone; repeated rows and equal doc_ids are packed each by themselves; a null
-    doc_id stays null; other columns of df are ignored; an empty table has no pieces. padded_length is size, or the
+    doc_id stays null; texts of any length are packed whole; other columns of df, whatever their names, are ignored; an
+    empty table has no pieces. padded_length is size, or the
     sequence's own length where that is a power of two. What a task packs depends on its rows alone, so a task that runs
     again gives the same rows; tails go by the number of the task that left them.
     """
@@ -200,8 +204,9 @@ def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tails
             rows.extend(_rows(w, base + done, size, False))
             done += 1
 
-        if last := fill_up(left, size, close):
-            close(last)
+        fill_up(left, size, close)
+        for w in left:
+            close(w)
         import pandas as pd
 
         out = pd.DataFrame(rows, columns=_NAMES)

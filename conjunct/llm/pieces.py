@@ -11,13 +11,15 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from conjunct.llm.shared import TEXT, whole_text_batches
+from conjunct.llm.shared import boxed, unboxed, whole_text_batches
 from conjunct.llm.units import cache, opened, slices
 
 SPACE = "▁"
@@ -81,8 +83,11 @@ class Pieces:
             return bytes([int(_BYTE.match(p.piece)[1], 16)])
         return None if p.type == p.UNKNOWN else b"" if p.type == p.CONTROL else p.piece.encode()
 
-    def normalize(self, text: str) -> tuple[bytes, list[int]]:
-        """Normalised bytes, and for each the offset of its source byte, then the length of the source."""
+    def normalize(self, text: str, first: bool = True) -> tuple[bytes, list[int]]:
+        """Normalised bytes, and for each the offset of its source byte, then the length of the source.
+
+        first: whether the text's start is that of a whole text, which may get a blank before it.
+        """
         data, space = text.encode(), SPACE.encode() if self.escape else b" "
         out, source = bytearray(), []
 
@@ -107,7 +112,7 @@ class Pieces:
                 steps.pop(0)
         if not steps:
             return b"", [len(data)]
-        if self.dummy and not self.suffix:
+        if first and self.dummy and not self.suffix:
             put(space, steps[0][0])
         blank = self.squeeze
         for at, new in steps:
@@ -123,41 +128,48 @@ class Pieces:
             put(space, len(data))
         return bytes(out), [*source, len(data)]
 
-    def encode(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, from, to) for each piece; from and to are byte offsets in the original text."""
-        normal, source = self.normalize(text)
+    def _projected(self, text: str, ids: list[int], first: bool) -> tuple[list[tuple[int, int]], bytes]:
+        """Byte span in the source of each piece of its normalised form, by the alignment of normalize(); the normalised bytes."""
+        normal, source = self.normalize(text, first)
         out, at = [], 0
-        ids = self.sp.encode(text)
         surfaces = [self.surface[i] for i in ids]
         if None in surfaces:  # unknown characters stand for themselves
-            surfaces = [p.encode() for p in self.sp.encode(text, out_type=str)]
-        for i, surface in zip(ids, surfaces, strict=True):
+            surfaces = [p.encode() for p in self.sp.encode(text if first else text[1:], out_type=str)]
+        for surface in surfaces:
             if normal[at : at + len(surface)] != surface:
                 raise ValueError(f"piece {surface!r} is not at byte {at} of the normalised text")
-            out.append((i, source[at], source[at + len(surface)]))
+            out.append((source[at], source[at + len(surface)]))
             at += len(surface)
         if at != len(normal):
             raise ValueError(f"pieces end at byte {at} of {len(normal)}")
-        return out
+        return out, normal
+
+    def encode(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, from, to) for each piece; from and to are byte offsets in the original text."""
+        ids = self.sp.encode(text)
+        return [(i, a, b) for i, (a, b) in zip(ids, self._projected(text, ids, True)[0], strict=True)]
 
-    def units(self, texts: list[str]) -> list[tuple[bytes, bytes, int]]:
-        """For each unit: its ids in decimal, each after a blank; its bytes decoded; how many source bytes its pieces span."""
+    def units(self, texts: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+        """For each unit, with the blank before it: its ids in decimal, each after a blank; its bytes decoded; its pieces'
+        spans (32-bit from, to) counted from that blank."""
         out = []
         for text, ids in zip(texts, self.sp.encode(texts, num_threads=1), strict=True):
-            normal = (SPACE + text).encode()  # what normalize() makes of a unit: the map is empty here
-            joined = b"".join([self.surface[i] or b"" for i in ids])
-            if joined != normal:
-                raise ValueError(f"the pieces of {text!r} are not its normalised bytes")
-            out.append((b"".join([b" %d" % i for i in ids]), joined.replace(SPACE.encode(), b" "), len(text.encode())))
+            spans, normal = self._projected(" " + text, ids, False)
+            out.append((b"".join([b" %d" % i for i in ids]), normal.replace(SPACE.encode(), b" "), np.asarray(spans, "<i4").tobytes()))
         return out
 
-    def digest(self, text: str) -> tuple[int, str, str, int]:
-        """Ids with an end id, decoded text and spanned bytes of one whole text, without units."""
+    def digest(self, text: str) -> tuple[int, str, str, int, int]:
+        """Ids with an end id, decoded text and spans of one whole text, without units."""
         pieces = self.encode(text)
         ids = [i for i, _, _ in pieces]
         decoded = self.sp.decode([*ids, self.end])
-        spanned = sum(b - a for _, a, b in pieces)
-        return len(ids) + 1, hashlib.sha256(" ".join(map(str, [*ids, self.end])).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), spanned
+        spans = np.asarray([p[1:] for p in pieces], "<i4").reshape(-1, 2)
+        return len(ids) + 1, hashlib.sha256(" ".join(map(str, [*ids, self.end])).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *_told(spans)
+
+
+def _told(spans: np.ndarray) -> tuple[int, int]:
+    """Source bytes that pieces span, and crc32 of the spans as 32-bit little-endian numbers."""
+    return int((spans[:, 1] - spans[:, 0]).sum(dtype=np.int64)), zlib.crc32(np.ascontiguousarray(spans, "<i4").tobytes())
 
 
 _MODELS: dict[str, Pieces] = {}
@@ -169,7 +181,7 @@ def model(path: str) -> Pieces:
     return _MODELS[path]
 
 
-def digests(texts: list[str | None], path: str) -> list[tuple[int, str, str, int]]:
+def digests(texts: list[str | None], path: str) -> list[tuple[int, str, str, int, int]]:
     """digest() of each text, by units where the model allows it."""
     m, out = model(path), []
     known = cache(("pieces", path), m.units)
@@ -188,45 +200,54 @@ def digests(texts: list[str | None], path: str) -> list[tuple[int, str, str, int
             got = list(map(known.__getitem__, c))
             ids = b"".join([g[0] for g in got]) + end
             decoded = b"".join([g[1] for g in got])[1:]
-            out.append((ids.count(b" "), hashlib.sha256(ids[1:]).hexdigest(), hashlib.sha256(decoded).hexdigest(), sum([g[2] for g in got]) + len(c) - 1))
+            # a unit's spans move by the place of its blank; the first unit has none, so its first piece starts at 0
+            spans = np.frombuffer(b"".join([g[2] for g in got]), "<i4").reshape(-1, 2)
+            blank = np.cumsum([0, *[len(g[1]) for g in got[:-1]]]) - 1
+            spans = np.maximum(spans + np.repeat(blank, [len(g[2]) >> 3 for g in got])[:, None], 0)
+            out.append((ids.count(b" "), hashlib.sha256(ids[1:]).hexdigest(), hashlib.sha256(decoded).hexdigest(), *_told(spans)))
     return out
 
 
 def encode_texts(df: DataFrame, text: str, path: str) -> DataFrame:
     """df with ids array<int>, starts and ends array<int> (byte offsets of each piece in the original text) and decoded string.
 
-    No begin or end id. Null and empty texts have empty arrays; other columns stay, those of the new names are replaced.
+    No begin or end id. Null and empty texts have empty arrays; texts of any length are encoded whole; repeated rows are
+    encoded each; an empty table gives no rows. Columns of df may have any names, those of the new names are replaced.
     """
-    names = ("ids", "starts", "ends", "decoded")
-    whole_text_batches(df.sparkSession)
-    kept = df.select(F.col(text).alias(TEXT), *[c for c in df.columns if c not in names])
-    schema = kept.drop(TEXT).schema.add("ids", INTS).add("starts", INTS).add("ends", INTS).add("decoded", "string")
 
-    def run(batches):
+    def rows(texts):
         m = model(path)
-        for b in batches:
-            rows = [m.encode(x or "") for x in b.column(0).to_pylist()]
-            cols = [pa.array([[p[k] for p in r] for r in rows], pa.list_(pa.int32())) for k in range(3)]
-            cols.append(pa.array([m.sp.decode([p[0] for p in r]) for r in rows], pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], [*b.schema.names[1:], *names])
+        found = [m.encode(x or "") for x in texts]
+        return [*([[p[k] for p in r] for r in found] for k in range(3)), [m.sp.decode([p[0] for p in r]) for r in found]]
 
-    return kept.mapInArrow(run, schema)
+    ints = pa.list_(pa.int32())
+    return _with(df, text, rows, {"ids": (INTS, ints), "starts": (INTS, ints), "ends": (INTS, ints), "decoded": ("string", pa.string())})
 
 
 def encode_digests(df: DataFrame, text: str, path: str) -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256 of its texts with an end id, and spanned_bytes (source bytes that pieces span).
+    """df with n_tokens, ids_sha256 and decoded_sha256 of its texts with an end id, spanned_bytes (source bytes that pieces
+    span) and spans_crc32 (of each piece's from and to, little-endian 32-bit).
 
-    Null and empty texts have the end id alone. Repeated rows are encoded each; columns of the new names are replaced.
+    Null and empty texts have the end id alone; texts of any length are encoded whole; repeated rows are encoded each; an
+    empty table gives no rows. Columns of df may have any names, those of the new names are replaced.
     """
-    names = ("n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes")
+    rows = lambda texts: [list(c) for c in zip(*digests(texts, path))]
+    longs, strings = ("long", pa.int64()), ("string", pa.string())
+    return _with(df, text, rows, {"n_tokens": longs, "ids_sha256": strings, "decoded_sha256": strings, "spanned_bytes": longs, "spans_crc32": longs})
+
+
+def _with(df: DataFrame, text: str, rows, new: dict[str, tuple]) -> DataFrame:
+    """df with new columns (name -> types for Spark and Arrow), whose values rows(texts) gives column by column."""
     whole_text_batches(df.sparkSession)
-    kept = df.select(F.col(text).alias(TEXT), *[c for c in df.columns if c not in names])
-    schema = kept.drop(TEXT).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("spanned_bytes", "long")
+    kept = boxed(df, None, text=F.col(f"`{text}`")).select("text", "row")
+    schema = kept.drop("text").schema
+    for name, (kind, _) in new.items():
+        schema = schema.add(name, kind)
 
     def run(batches):
         for b in batches:
-            rows = digests(b.column(0).to_pylist(), path)
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], [*b.schema.names[1:], *names])
+            found = rows(b.column(0).to_pylist()) if b.num_rows else [[]] * len(new)
+            cols = [pa.array(c, t) for c, (_, t) in zip(found, new.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), *cols], ["row", *new])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).select(*unboxed(df.columns, tuple(new)), *new)

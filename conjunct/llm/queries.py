@@ -14,7 +14,7 @@ from conjunct.llm.token_counts import token_counts
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.jaccard_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return near_dups.jaccard_classes(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_digests(docs, "text", public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes")
+    return encode_digests(docs, "text", public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes", "spans_crc32")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and Spark runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="conjunct-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -64,6 +67,19 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def boxed(df: DataFrame, columns: list[str] | None = None, **own: Column) -> DataFrame:
+    """df's columns (all, or those named) in one struct `row`, beside the operator's own columns: so no names clash."""
+    names = df.columns if columns is None else columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(True).alias("none"))
+    return df.select(row.alias("row"), *[c.alias(n) for n, c in own.items()])
+
+
+def unboxed(names: list[str], without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of a boxed row again, but for those that an operator replaces (names differ by more than case)."""
+    gone = {n.lower() for n in without}
+    return [F.col("row").getField(c).alias(c) for c in names if c.lower() not in gone]
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = 2000) -> DataFrame:
     """Inner join on a key that is unique in right, safe for keys that hold a large part of left.
 

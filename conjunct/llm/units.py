@@ -12,9 +12,8 @@ import re
 CACHE_ENTRIES = 1_000_000
 #: Longer units are encoded each time they occur, so that a cache entry stays small.
 CACHED_LENGTH = 96
-#: A blank between blanks: a byte-level pre-tokenizer may take it into either neighbour.
-INNER_BLANK = re.compile(r"\s \s")
 
+_BLANK = re.compile(r"\s")
 _OPEN: dict[str, object] = {}
 
 
@@ -41,9 +40,10 @@ def opened(kind: str, path: str):
 class UnitCache(dict):
     """unit -> value, filled by `encode` (a list of units to a list of values)."""
 
-    def __init__(self, encode, frequent: dict | None = None, entries: int = CACHE_ENTRIES):
-        super().__init__(frequent or {})
-        self.encode, self.frequent, self.entries = encode, frequent or {}, entries
+    def __init__(self, encode, entries: int = CACHE_ENTRIES):
+        super().__init__()
+        self.encode, self.entries = encode, entries
+        self.mark, self.frequent = None, {}
 
     def learn(self, units) -> None:
         """Encode what is missing, in one call."""
@@ -63,17 +63,27 @@ class UnitCache(dict):
 _CACHES: dict[object, UnitCache] = {}
 
 
-def cache(key, encode, frequent: dict | None = None) -> UnitCache:
-    """One cache for each key in a Python worker; tasks that follow find it filled."""
+def cache(key, encode, mark=None, frequent=dict) -> UnitCache:
+    """One cache for each key in a Python worker; tasks that follow find it filled. frequent() gives the entries that stay
+    in it, and is called when the mark is new."""
     if key not in _CACHES:
         _CACHES[key] = UnitCache(encode)
     found = _CACHES[key]
-    if frequent and found.frequent is not frequent:
-        found.frequent = frequent
-        found.update(frequent)
+    if mark is not None and found.mark != mark:
+        found.mark, found.frequent = mark, frequent()
+        found.update(found.frequent)
     return found
 
 
+def runs(text: str, chars: int = 500_000):
+    """A text in pieces of about `chars` characters, cut at white space only."""
+    start = 0
+    while len(text) - start > chars and (blank := _BLANK.search(text, start + chars)):
+        yield text[start : blank.start()]
+        start = blank.end()
+    yield text[start:]
+
+
 def slices(texts: list[str | None], chars: int = 1_000_000):
     """(from, to) of runs of texts of about `chars` characters, so that what is held of split texts stays bounded."""
     start = size = 0

@@ -62,7 +62,7 @@ def test_pages(spark, docs):
     rows = [(i, f"https://u@a{i % 5}.site{i % 2}.org:80/x?y", page.format(text(r, "bb", 20))) for i in range(40)]
     rows += [(100, None, None), (101, "no address", "<p>1 2 3 &amp; 4</p>"), (102, "http://h/", "<html lang=''>" + text(r, "cc", 30))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_host", F.lit("clash")).withColumn("lang_id", F.lit(1))
-    out = {r.page_id: r for r in language.identify_pages(df.drop("_host"), model).collect()}
+    out = {r.page_id: r for r in language.identify_pages(df, model).collect()}
     assert len(out) == 43 and all(out[i].lang_id == "bb" and not out[i].lang_rejected for i in range(40))
     assert out[100].lang_rejected and out[101].lang_rejected and out[102].lang_id == "cc"
 
@@ -143,11 +143,69 @@ def test_every_declared_language_is_a_class(spark):
     assert model.names == [f"l{i:03}" for i in range(120)]
 
 
-def test_sample_has_the_least_hashes(spark, monkeypatch):
+def test_sample_has_the_least_hashes(spark):
     df = spark.createDataFrame([(i, f"t{i}", "en" if i % 9 else "de") for i in range(3000)], "doc_id long, text string, lang string")
-    monkeypatch.setattr(language, "learn", lambda texts, langs: sorted(zip(langs, texts)))
-    want = [tuple(r) for n in ("de", "en") for r in df.filter(f"lang = '{n}'").orderBy(F.xxhash64("doc_id")).limit(40).select("lang", "text").collect()]
-    assert language.train(df, each=40) == sorted(want)
+    df = df.union(df.filter("doc_id < 500").selectExpr("doc_id", "'s' || text", "lang"))  # a repeated id: its least text
+    want = [(n, min("s" + r.text, r.text) if r.doc_id < 500 else r.text) for n in ("de", "en") for r in df.filter(f"lang = '{n}'").filter("text like 't%'").orderBy(F.xxhash64("doc_id")).limit(40).collect()]
+    assert sorted((r.lang, r.text) for r in language.sample(df, 40, 10).collect()) == sorted(want)
+    with pytest.raises(ValueError):
+        language.sample(df, 40, 1)
+
+
+def test_training_is_that_of_the_sample(spark, docs):
+    rows = language.sample(docs, 40, 10).collect()
+    model, want = language.train(docs, each=40), language.learn([r.text for r in rows], [r.lang for r in rows])
+    assert model.names == want.names and np.allclose(model.logs, want.logs)
+
+
+def test_long_words_and_texts():
+    """What is read a piece at a time has the evidence of the whole."""
+    model = language.learn(["der und die nicht haus", "the and house not with"], ["de", "en"])
+    word = "undhausthewith" * 3000
+    bare = language.grams(language.letters(word))
+    assert model.evidence(word)[0] == pytest.approx(model.logs[bare].mean(axis=0)) and model.evidence(word)[1] == 1
+    words = ["haus", "the", "und" * 200, "."] * 100_000
+    got, n = model.evidence(" ".join(words))
+    assert n == 300_000 and got == pytest.approx(sum(model.evidence(w)[0] for w in words[:4]) * 100_000, rel=1e-4)
+    assert list("".join(language.runs("ab cd  ef", 3))) == list("abcd ef") and list(language.runs("", 3)) == [""]
+
+
+@pytest.mark.parametrize("name", ["_host", "_declared", "_words", "_place", "_suffix", "_domain", "_text_logs", "_best", "_prior", "_rows", "_logs", "_d", "_s", "row", "text_", "TEXT2", "score", "lang_id", "a.b", "threshold"])
+def test_clashing_names(spark, docs, name):
+    """An extra column of any name changes nothing and comes back, but for the names that are replaced."""
+    model = language.learn(["der und die nicht haus", "the and house not with"], ["de", "en"])
+    df = docs.filter("doc_id < 20").withColumn(name, F.lit("mine"))
+    out = language.identify_documents(df, model).collect()
+    want = language.identify_documents(docs.filter("doc_id < 20"), model).collect()
+    new = ["doc_id", "lang_id", "lang_confidence", "lang_words", "lang_text", "lang_rejected"]
+    assert sorted([r[c] for c in new] for r in out) == sorted([r[c] for c in new] for r in want)
+    assert name == "lang_id" or all(r[name] == "mine" for r in out)
+    rows = toxic_rows(100, 3)
+    small = toxicity.fit([r[1] for r in rows], [r[4] for r in rows], [r[2] for r in rows], least_steps=5)
+    out = toxicity.score(df, small).collect()
+    assert len(out) == 20 and (name in ("score", "threshold") or all(r[name] == "mine" for r in out))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = toxic_rows(300, 6)
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], 1, r[4]) for r in rows], "doc_id long, quality int, toxic int")
+    every = toxicity.sample(docs, labels, 1000, 1 << 40).collect()
+    assert {r.doc_id for r in every} == {i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2}
+    few = toxicity.sample(docs, labels, 1000, 3000).collect()
+    for t in (0, 1):
+        own = sum(len(r.text.encode()) for r in few if r.toxic == t)
+        assert 0 < own <= 3000
+    assert len(toxicity.sample(docs, labels, 5, 1 << 40).collect()) == 10
+
+
+def test_blocks_of_places(monkeypatch):
+    """Filters that slide in small blocks find what they find in one go."""
+    rows = toxic_rows(120, 8)
+    model = toxicity.fit([r[1] for r in rows], [r[4] for r in rows], [r[2] for r in rows], least_steps=10)
+    want = model.scores([r[1] for r in rows] + ["", "x"])
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    assert np.allclose(model.scores([r[1] for r in rows] + ["", "x"]), want)
 
 
 @pytest.mark.parametrize("values", [260, 2100])

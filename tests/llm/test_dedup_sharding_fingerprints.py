@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from conjunct.llm import exact_dedup, fingerprints, sharding
 
@@ -61,6 +62,38 @@ def test_filter_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan.split("== Physical Plan ==")[-1])
 
 
+@pytest.mark.parametrize("name", ["_key", "_maybe", "_word0", "_word", "_slot", "bits", "_id", "_sha", "row", "kept", "text_sha256", "a.b"])
+def test_clashing_names(spark, name):
+    rows = corpus(60)
+    df = spark.createDataFrame([(i, t, "mine") for i, t in rows], f"doc_id long, text string, `{name}` string")
+    best = {}
+    for i, t in rows:
+        best[normal(t)] = min(i, best.get(normal(t), i))
+    got = exact_dedup.drop_copies(df).collect()
+    assert sorted(r.doc_id for r in got) == sorted(best.values()) and all(r[name] == "mine" for r in got)
+    assert sum(r.kept for r in exact_dedup.exact_groups(df).collect()) == len(best)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_large_filters_are_joined(spark, most):
+    """A filter above the limit of a broadcast gives the same rows by a shuffle."""
+    rows = corpus()
+    df = frame(spark, rows)
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(df, most=most).collect()) == sorted(r.doc_id for r in exact_dedup.drop_copies(df).collect())
+    got = exact_dedup.exact_groups(df, most=most)
+    assert sum(r.kept for r in got.collect()) == len({normal(t) for _, t in rows})
+
+
+def test_few_lone_texts_pass_the_filter(spark):
+    """At any number of rows: one in SLOTS, about."""
+    keys = spark.range(20_000).selectExpr("sha2(cast(id as string), 256) as k")
+    keys = keys.union(keys.limit(10))
+    slots = exact_dedup.slots_for(20_010)
+    marked = exact_dedup.slot_filter(keys, "k", slots)
+    assert 20 <= exact_dedup.maybe_repeated(keys, "k", marked, slots).filter("_maybe").count() <= 20 + 20_010 / 200
+    assert exact_dedup.slots_for(10**12) >= exact_dedup.SLOTS * 10**12
+
+
 def arcs(rows, places):
     out = defaultdict(list)
     for row, place in rows:
@@ -123,22 +156,68 @@ def test_sharding_of_nulls_and_nothing(spark):
     assert sharding.shard_rows(frame(spark, [(1, "a")]).filter("doc_id < 0")).count() == 0
 
 
+def own_hashes(t, k):
+    """Hashes of a text's grams, gram by gram: the cyclic polynomial over xxHash64 (seed 42) of the code points."""
+    point = [xxhash.xxh64_intdigest(c.encode(), 42) for c in t]
+    turn = lambda x, n: (x << n | x >> 64 - n) & (1 << 64) - 1 if n else x
+    out = []
+    for i in range(len(t) - k + 1):
+        h = 0
+        for j in range(k):
+            h ^= turn(point[i + j], k - 1 - j)
+        out.append(h)
+    return out
+
+
+def winnowed(t, k, w):
+    """(position, hash) of the least hash of each window by its high bits, the rightmost of equal ones."""
+    grams = own_hashes(t, k)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    high = [signed(h) >> fingerprints.PLACE for h in grams]
+    starts = range(max(1, len(grams) - w + 1)) if grams else []
+    at = sorted({max(range(s, min(s + w, len(grams))), key=lambda i: (-high[i], i)) for s in starts})
+    return [(i, grams[i]) for i in at]
+
+
+def shown(row):
+    return [(int(p), int(h, 16)) for h, p in (x.split("@") for x in row.split(",") if x)]
+
+
 def test_fingerprints(spark):
-    rows = corpus(120)
+    """Each fingerprint and likeness from hashes made here, not by the code under test."""
+    rows = corpus(120) + [(7000 + i, t) for i, t in enumerate(["日本語" * 40, "x" * 15, "y" * 16, "é" * 47, "ab" * 24, "😀z" * 50, "short"])]
     got = {r.doc_id: r for r in fingerprints.fingerprints(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
     order = sorted(rows, reverse=True)
-    own = {}
-    for i, t in rows:
-        own[i] = {int(x.split("@")[0], 16) for x in got[i].fingerprint.split(",") if x}
+    k, w = fingerprints.K, fingerprints.W
     for (i, t), (j, u) in zip(order, order[1:] + order[:1]):
         t, u, r = t or "", u or "", got[i]
         m = len(t) // 3
         edited = t[: len(t) - m] + u[:m]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest(), i
-        new = {int(x.split("@")[0], 16) for x in r.edited_fingerprint.split(",") if x}
-        like = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
-        assert r.near_edited == pytest.approx(like(own[i], new)) and r.near_next == pytest.approx(like(own[i], own[j]))
-    assert got[5000].fingerprint == got[5001].fingerprint == got[6000].fingerprint != ""
+        own, new, theirs = shown(r.fingerprint), shown(r.edited_fingerprint), shown(got[j].fingerprint)
+        if len(t) >= k:
+            assert own == winnowed(t, k, w), i
+        else:
+            assert [p for p, _ in own] == [0] * bool(t)
+        if len(edited) >= k:
+            assert new == winnowed(edited, k, w), i
+        like = lambda a, b: 2 * len({h for _, h in a} & {h for _, h in b}) / (len({h for _, h in a}) + len({h for _, h in b})) if a or b else 1.0
+        assert r.near_edited == pytest.approx(like(own, new)) and r.near_next == pytest.approx(like(own, theirs))
+    assert got[5000].fingerprint == got[5001].fingerprint != "" and got[6001].fingerprint == got[6002].fingerprint == ""
+
+
+def test_shared_runs_give_a_common_hash(spark):
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    k, w = 8, 12
+    rows = []
+    for i in range(60):
+        run = noise(w + k - 1)
+        rows += [(2 * i, noise(r.randrange(0, 80)) + run + noise(r.randrange(0, 80))), (2 * i + 1, noise(r.randrange(0, 80)) + run)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: set(x.h) for x in fingerprints.with_fingerprint(df, "text", "h", "p", k, w).collect()}
+    assert all(got[2 * i] & got[2 * i + 1] for i in range(60))
 
 
 def test_winnowing(spark):
@@ -149,7 +228,7 @@ def test_winnowing(spark):
     some = fingerprints.with_fingerprint(df, "text", "h", "p", 4, 6).orderBy("doc_id").collect()
     for every, few in zip(all_of, some):
         grams = every.h
-        want = sorted({max(range(s, s + min(6, len(grams))), key=lambda i: (-grams[i], i)) for s in range(max(1, len(grams) - 5))}) if grams else []
+        want = sorted({max(range(s, s + min(6, len(grams))), key=lambda i: (-(grams[i] >> fingerprints.PLACE), i)) for s in range(max(1, len(grams) - 5))}) if grams else []
         assert few.p == want and few.h == [grams[p] for p in want]
         assert every.p == list(range(len(grams)))
 

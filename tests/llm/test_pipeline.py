@@ -5,6 +5,7 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from conjunct.llm import exact_dedup
 from tests.llm.test_classifiers import text, toxic_rows
@@ -68,4 +69,40 @@ def test_run(spark, sf_dir):
 def test_without(spark):
     df = spark.createDataFrame([(i, "x") for i in [*range(50), None]], "doc_id long, _id string")
     dropped = spark.createDataFrame([(i,) for i in range(0, 50, 3)], "gone long")
-    assert {r.doc_id for r in exact_dedup.without(df, "doc_id", dropped, "gone").collect()} == {None, *(i for i in range(50) if i % 3)}
+    keep = {None, *(i for i in range(50) if i % 3)}
+    for most in (0, 1 << 20):  # the filter joined by shuffle, and broadcast
+        assert {r.doc_id for r in exact_dedup.without(df, {"gone": df["doc_id"]}, dropped, most).collect()} == keep
+
+
+def test_near_copies_of_null_and_repeated_ids(spark, sf_dir):
+    """Ids don't tell rows apart: one row of each class stays, and a clean text that shares an id with a copy does too."""
+    r = random.Random(4)
+    base, other, clean = (text(r, "aa", 100) for _ in range(3))
+    rows = [(5, base), (7, base + " x"), (7, clean), (None, base + " y"), (None, other), (None, other + " z"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in rows], SCHEMA)
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_copies(spark, docs, sf_dir).collect()]
+    assert (5, base) in got and (7, clean) in got and (9, None) in got and (9, "") in got
+    assert len(got) == 5 and sum(i is None and t.startswith(other) for i, t in got) == 1
+
+
+def test_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < -5")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0, name
+
+
+@pytest.mark.parametrize("stage", ["language_id", "toxicity", "exact_dedup", "near_duplicates", "packing"])
+def test_clashing_names(spark, sf_dir, stage):
+    """Extra columns with names that operators use themselves stay as they are, and change nothing else."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60 or doc_id >= 1000 or doc_id is null")
+    names = ["_key", "_maybe", "_word0", "_word", "_slot", "bits", "_hash", "row", "_id", "_host", "_declared", "_words", "_place", "_text_logs", "score", "threshold", "rejected", "lang_id", "cells", "n", "a", "b", "text_key", "sequence_id", "start", "id", "x.y"]
+    more = docs
+    for i, n in enumerate(names):
+        more = more.withColumn(n, F.lit(i))
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out, want = run(spark, more, sf_dir), run(spark, docs, sf_dir)
+    key = "doc_id" if stage != "packing" else "start"
+    got = out.collect()
+    assert sorted(str((r.doc_id, r[key])) for r in got) == sorted(str((r.doc_id, r[key])) for r in want.collect())
+    if stage != "packing":
+        assert out.columns == more.columns and all(r[n] == i for r in got for i, n in enumerate(names))
