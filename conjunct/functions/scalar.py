@@ -51,31 +51,33 @@ def mass_bound(positive: Column, negative: Column, s: Column, radius: float, n:
     return F.greatest(positive, negative) + radius * subtree_norm(s, n)
 
 
-def two_ball_bound(a1: Column, a2: Column, s: Column, r1: float, r2: float, distance2: float, n: int) -> Column:
-    """The largest |z'a| of any a in the intersection of two balls whose centres are sqrt(distance2) apart."""
-    norm, gap = centered_norm(s, n), distance2**0.5
-    one, two = F.abs(a1) + r1 * norm, F.abs(a2) + r2 * norm
-    if gap + r1 <= r2:
-        best = one
-    elif gap + r2 <= r1:
-        best = two
-    elif gap == 0:
-        best = F.least(one, two)
-    elif gap > r1 + r2:
-        best = one
-    else:
-        t = (r1 * r1 - r2 * r2 + distance2) / (2 * distance2)
-        rho = max(0.0, r1 * r1 - t * t * distance2) ** 0.5
-        q = a2 - a1
-        side = F.sqrt(F.greatest(norm * norm - q * q / distance2, F.lit(0.0)))
-
-        def of(sign: float) -> Column:
-            ratio = F.try_divide(sign * q, norm)
-            inside = F.when(r1 * r1 + distance2 - 2 * r1 * ratio <= r2 * r2, sign * a1 + r1 * norm)
-            return inside.when(r2 * r2 + distance2 + 2 * r2 * ratio <= r1 * r1, sign * a2 + r2 * norm).otherwise(sign * (a1 + t * q) + rho * side)
-
-        best = F.greatest(of(1.0), of(-1.0), F.lit(0.0))
-    return F.when(norm == 0, F.greatest(F.abs(a1), F.abs(a2))).otherwise(best)
+def two_ball_bound(a1: Column, a2: Column, s: Column, r1: float, r2: float, distance2: float, n: int, pad: bool = True) -> Column:
+    """The largest |z'a| of any a in both of two balls, with the round-off pad (pad=False: without).
+
+    a1 and a2 are z's products with the centres, which are sqrt(distance2) apart. Geometry: where the best point of one
+    ball alone lies in the other ball, it is the answer; else the answer lies on the circle where the spheres meet, whose
+    centre divides the way from the first to the second centre at `cut` and whose radius is `rim`. Balls that don't meet,
+    or that have one centre, are bounded by the better of the two alone, which is never too small.
+    """
+    norm, apart = centered_norm(s, n), distance2**0.5
+    alone = F.least(F.abs(a1) + r1 * norm, F.abs(a2) + r2 * norm)
+    if apart and apart <= r1 + r2:
+        cut = 0.5 + (r1 * r1 - r2 * r2) / (2 * distance2)
+        rim = max(0.0, r1 * r1 - (cut * apart) ** 2) ** 0.5
+        along = (a2 - a1) / apart  # z's part in the direction of the second centre
+        across = F.sqrt(F.greatest(norm * norm - along * along, F.lit(0.0)))
+
+        def towards(sign: int) -> Column:
+            """The most of sign * z'a."""
+            lean = F.try_divide(sign * along, norm)
+            first_in_second = r1 * r1 - 2 * r1 * apart * lean + distance2 <= r2 * r2
+            second_in_first = r2 * r2 + 2 * r2 * apart * lean + distance2 <= r1 * r1
+            on_rim = sign * (a1 + cut * (a2 - a1)) + rim * across
+            return F.when(~first_in_second & ~second_in_first, on_rim).when(second_in_first & ~first_in_second, sign * a2 + r2 * norm).otherwise(sign * a1 + r1 * norm)
+
+        met = F.greatest(towards(1), towards(-1), F.lit(0.0))
+        alone = F.when(norm > 0, met).otherwise(F.greatest(F.abs(a1), F.abs(a2)))
+    return alone + roundoff_pad(alone) if pad else alone
 
 
 def present(token: Column) -> Column:

@@ -34,29 +34,108 @@ def frequent_items(item_tid: DataFrame, least: int) -> DataFrame:
     return item_tid.groupBy("item").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least)
 
 
-def pattern_tids(item_tid: DataFrame, least: int, max_len: int) -> DataFrame:
-    """(itemset, tid) of every frequent itemset of at most max_len items, level by level.
+#: Sets of a level that are broadcast at most; their number doesn't grow with the rows, for each has a share of them.
+FEW = 100_000
+
+
+def encoded(item_tid: DataFrame, least: int) -> tuple[DataFrame, list]:
+    """(tid, items) with items as sorted numbers, and the frequent items in order: number i is the i-th of them.
+
+    Items under the support are left out. At most (items of a row) / (share of the support) items are frequent, so their
+    names fit on the driver whatever the number of rows.
+    """
+    names = sorted(r["item"] for r in frequent_items(item_tid, least).select("item").collect())
+    kind = item_tid.schema["item"].dataType
+    numbers = item_tid.sparkSession.createDataFrame(list(enumerate(names)), f"number int, item {kind.simpleString()}")
+    return item_tid.join(F.broadcast(numbers), "item").groupBy("tid").agg(F.array_sort(F.collect_set("number")).alias("items")), names
+
+
+def grown(rows: DataFrame, kept: list[tuple[DataFrame, bool]]) -> DataFrame:
+    """rows(items, ...) with itemset, one row for each set that is one item longer than the kept levels.
 
-    A level joins the frequent sets below it with the frequent items of the same transaction that come after their last
-    item, so a set is made once; sets under the support are dropped before the next level.
+    Each row grows its own sets by items after their last one; sets whose shorter ones aren't kept are not made. No row
+    leaves its task.
     """
-    ones = item_tid.join(frequent_items(item_tid, least).select("item"), "item", "left_semi").select("tid", "item")
-    level = ones.select(F.array("item").alias("itemset"), "tid")
-    out = level
-    for k in range(2, max_len + 1):
-        grown = level.join(ones, "tid").filter(F.col("item") > F.element_at("itemset", -1)).select(F.concat("itemset", F.array("item")).alias("itemset"), "tid")
-        kept = grown.groupBy("itemset").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("itemset")
-        level = grown.join(kept, "itemset", "left_semi")
-        out = out.unionByName(level)
+    values = [c for c in rows.columns if c != "items"]
+    level = rows.select(*values, "items", F.posexplode("items").alias("_at", "_item")).select(*values, "items", "_at", F.array("_item").alias("itemset"))
+    for sets, small in kept:
+        sets = sets.select("itemset")
+        level = level.join(F.broadcast(sets) if small else sets, "itemset", "left_semi")
+        level = level.select(*values, "items", "_at", "itemset", F.posexplode(F.slice("items", F.col("_at") + 2, F.size("items"))).alias("_d", "_item"))
+        level = level.select(*values, "items", (F.col("_at") + F.col("_d") + 1).alias("_at"), F.concat("itemset", F.array("_item")).alias("itemset"))
+    return level.drop("items", "_at")
+
+
+def levels(rows: DataFrame, least: int, longest: int, aggs: list[Column] = (), write=None) -> list[DataFrame]:
+    """For each length up to `longest` the frequent itemsets of rows(items, ...): (itemset, s, and the aggregates).
+
+    Supports and aggregates of a level come from one aggregation, and all that shuffles are a task's partial sums. write
+    (table, tag) -> table keeps each level; the number of its sets decides whether it is broadcast to the next.
+    """
+    out, kept = [], []
+    for k in range(1, longest + 1):
+        level = grown(rows, kept).groupBy("itemset").agg(F.count(F.lit(1)).alias("s"), *aggs).filter(F.col("s") >= least)
+        level = write(level, f"level{k}") if write else level.persist()
+        out.append(level)
+        if not (n := level.count()):
+            break
+        kept.append((level, n <= FEW))
     return out
 
 
+def named(df: DataFrame, names: list, column: str = "itemset") -> DataFrame:
+    """df with the names of encoded() for the numbers in an itemset column."""
+    held = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
+    return df.withColumn(column, F.transform(column, lambda i: F.get(held, i)))
+
+
+def closures_of(found: list[DataFrame], longest: int) -> DataFrame:
+    """(itemset, support, closure) of the sets of at most `longest` items, from the levels up to one item more.
+
+    An item belongs to a set's closure if the set with it is as frequent. Only the dictionary's rows are joined.
+    """
+    own = reduce_union([x.select("itemset", F.col("s").alias("support")) for x in found[:longest]])
+    longer = [x.select("s", F.explode("itemset").alias("_more"), "itemset") for x in found[1 : longest + 1]]
+    if not longer:
+        return own.withColumn("closure", F.col("itemset"))
+    more = reduce_union(longer).select(F.array_remove("itemset", F.col("_more")).alias("itemset"), F.col("s").alias("support"), "_more")
+    full = own.join(more, ["itemset", "support"], "left").groupBy("itemset", "support").agg(F.collect_set("_more").alias("_more"))
+    return full.select("itemset", "support", F.array_sort(F.array_union("itemset", "_more")).alias("closure"))
+
+
+def closed_of(found: list[DataFrame], longest: int) -> DataFrame:
+    """The rows of the levels up to `longest` whose sets no set of one item more equals in support."""
+    own = reduce_union(found[:longest])
+    if len(found) < 2:
+        return own
+    longer = reduce_union([x.select("s", "itemset") for x in found[1 : longest + 1]])
+    below = longer.select(F.explode(F.transform("itemset", lambda i: F.array_remove("itemset", i))).alias("itemset"), "s").distinct()
+    return own.join(below, ["itemset", "s"], "left_anti")
+
+
+def reduce_union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def pattern_tids(item_tid: DataFrame, least: int, max_len: int) -> DataFrame:
+    """(itemset, tid) of every frequent itemset of at most max_len items, level by level."""
+    rows, names = encoded(item_tid, least)
+    rows = rows.persist()
+    found = levels(rows, least, max_len)
+    kept = [(x, True) for x in found]
+    parts = [grown(rows, kept[:k]).join(F.broadcast(x.select("itemset")), "itemset", "left_semi").select("itemset", "tid") for k, x in enumerate(found)]
+    return named(reduce_union(parts), names).withColumn("itemset", F.col("itemset").cast(f"array<{item_tid.schema['item'].dataType.simpleString()}>"))
+
+
 def supports(pattern_tid: DataFrame) -> DataFrame:
     return pattern_tid.groupBy("itemset").agg(F.count(F.lit(1)).alias("support"))
 
 
 def closures(pattern_tid: DataFrame, item_tid: DataFrame) -> DataFrame:
-    """(itemset, support, closure): the items that all transactions of a pattern have."""
+    """(itemset, support, closure): the items that all transactions of given patterns have, whatever the patterns are."""
     covered = pattern_tid.join(item_tid, "tid").groupBy("itemset", "item").agg(F.count(F.lit(1)).alias("n"))
     full = covered.join(supports(pattern_tid), "itemset").filter(F.col("n") == F.col("support"))
     return full.groupBy("itemset", "support").agg(F.array_sort(F.collect_list("item")).alias("closure"))
@@ -67,10 +146,36 @@ def closed(pattern_tid: DataFrame, item_tid: DataFrame) -> DataFrame:
     return closures(pattern_tid, item_tid).filter(F.size("closure") == F.size("itemset")).select("itemset", "support")
 
 
+def closure_step(found: list[DataFrame]) -> DataFrame:
+    """(itemset, canonical, closure) of each set of two items or more, grown from its prefix by its last item.
+
+    canonical: no item before the last one, outside the prefix, is in the closure; so each closed set is reached once.
+    """
+    sets = closures_of(found, len(found) - 1).filter(F.size("itemset") > 1)
+    last = F.element_at("itemset", -1)
+    early = F.exists(F.array_except("closure", "itemset"), lambda x: x < last)
+    return sets.select("itemset", "support", (~early).alias("canonical"), F.filter("closure", lambda x: F.array_contains("itemset", x) | (x > last)).alias("closure"))
+
+
 def contain_join(patterns: DataFrame, item_tid: DataFrame) -> DataFrame:
-    """(itemset, tid) of transactions that have all items of a pattern: an equi-join on items and a count."""
-    parts = patterns.select("itemset", F.size("itemset").alias("size"), F.explode("itemset").alias("item"))
-    return parts.join(item_tid, "item").groupBy("itemset", "size", "tid").agg(F.count(F.lit(1)).alias("n")).filter("n = size").select("itemset", "tid")
+    """(itemset, tid) of transactions that have all items of a pattern.
+
+    A pattern meets only the transactions that have its rarest item; the others are looked up in the transaction itself.
+    """
+    counts = item_tid.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
+    parts = patterns.select("itemset").distinct().select("itemset", F.explode("itemset").alias("item"))
+    order = F.struct(F.coalesce("_n", F.lit(0)), F.col("item"))
+    rare = parts.join(counts, "item", "left").groupBy("itemset").agg(F.min_by("item", order).alias("_rare"))
+    held = baskets(item_tid).select("tid", "items", F.explode("items").alias("_rare"))
+    return rare.join(held, "_rare").filter(F.size(F.array_except("itemset", "items")) == 0).select("itemset", "tid")
+
+
+def contain_join_nested(patterns: list[list], item_tid: DataFrame) -> DataFrame:
+    """contain_join() of a few given patterns (a list at hand) by testing each transaction against each; no join at all."""
+    kind = item_tid.schema["item"].dataType.simpleString()
+    sets = F.array(*[F.array(*[F.lit(x) for x in p]).cast(f"array<{kind}>") for p in patterns]) if patterns else F.array().cast(f"array<array<{kind}>>")
+    met = baskets(item_tid).select("tid", F.explode(F.filter(sets, lambda p: F.size(F.array_except(p, F.col("items"))) == 0)).alias("itemset"))
+    return met.select("itemset", "tid")
 
 
 def transform_patterns(patterns: DataFrame, item_tid: DataFrame) -> DataFrame:
