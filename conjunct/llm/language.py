@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
 from conjunct.llm.shared import boxed, join_hot, materialize, unboxed, utf8, whole_text_batches
-from conjunct.llm.units import runs
+from conjunct.llm.units import claim, held, runs
 
 UND = "und"
 ROWS = 1 << 14
@@ -28,7 +28,7 @@ TRUST = 0.25
 #: Pseudo-counts with which a host follows its domain and a domain the corpus; and of the tables of declarations.
 HOST, DOMAIN, TABLE = 8.0, 32.0, 1.0
 #: Words that a worker remembers, and the letters of the longest of them; longer ones are read a piece at a time.
-WORDS, LONG = 700_000, 256
+WORDS, LONG = 400_000, 256
 
 
 def grams(word: str, start: int = 0, stop: int | None = None) -> list[int]:
@@ -107,10 +107,12 @@ class Languages:
 
 
 _MODELS: dict[str, Languages] = {}
+held("language", _MODELS)
 
 
 def opened(mark: str, names: list[str], logs: np.ndarray) -> Languages:
     """A model with its cache of words, kept in the Python worker for the tasks that follow; the latest model only."""
+    claim("language")
     if mark not in _MODELS:
         _MODELS.clear()
         _MODELS[mark] = Languages(names, logs)

@@ -28,6 +28,7 @@ from conjunct.llm.components import components
 from conjunct.llm.exact_dedup import maybe_repeated, slot_filter, slots_for
 from conjunct.llm.shared import forget, materialize, utf8, whole_text_batches
 from conjunct.llm.shingles import mix, shingle_set
+from conjunct.llm.units import claim
 
 #: Sets of a cell whose pairs are listed one by one; sets of a family's least block; shingles of its largest one.
 CELL, BLOCK, LARGEST = 8, 96, 4_000_000
@@ -36,7 +37,7 @@ COPIES = 64
 #: Clashing names that are renamed in one round.
 CLASHES = 1000
 #: Set identities that a task remembers, so that copies in it send their cells once.
-SEEN = 500_000
+SEEN = 300_000
 
 _BANDS = [1]
 while _BANDS[-1] < 1 << 40:
@@ -122,7 +123,8 @@ def shingled(df: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n, a, b, cells, bits, budgets) of df(doc_id, text): text_key is a hash of the text, a and b are a 128-bit identity of the set; cells, bits and budgets are null for copies of a set that the task has sent."""
 
     def run(batches):
-        seen: set = set()
+        claim("near_dups")
+        seen: set[int] = set()
         for batch in batches:
             n, a, b, own, bits, budgets = [], [], [], [], [], []
             for x in batch.column(2):
@@ -131,13 +133,14 @@ def shingled(df: DataFrame, k: int, percent: int) -> DataFrame:
                 n.append(len(found))
                 a.append(ident[0])
                 b.append(ident[1])
-                if not len(found) or (*ident, len(found)) in seen:
+                whole = ident[0] << 128 | ident[1] << 64 | len(found)
+                if not len(found) or whole in seen:
                     own.append(None)
                     bits.append(None)
                     budgets.append(None)
                     continue
                 if len(seen) < SEEN:
-                    seen.add((*ident, len(found)))
+                    seen.add(whole)
                 keys, spared = _cells(found, percent)
                 own.append(keys.view(np.int64))
                 budgets.append(spared)
@@ -155,6 +158,7 @@ def _met(edges: bool):
     or, with edges, (first set, x, true) for each further one."""
 
     def run(batches):
+        claim("near_dups")
         held: list[int] = []  # distinct sets of the cell at hand, CELL + 1 at most
         cell, last = None, None
         first, second, large = [], [], []

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from conjunct.llm.shared import boxed, unboxed, utf8, whole_text_batches
-from conjunct.llm.units import CACHED_LENGTH, runs, slices
+from conjunct.llm.units import CACHED_LENGTH, claim, held, runs, slices
 
 ROWS, STEM, WIDTHS, FILTERS, SIZE = 1 << 15, 4, (1, 2, 3), 8, 8
 #: Words that are gone through at once.
@@ -36,7 +36,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         bare = word.strip(_EDGE)
         both = (1 + zlib.crc32(bare.encode()) % (ROWS - 1)) << 20 | (1 + zlib.crc32(b"^" + bare[:STEM].encode()) % (ROWS - 1)) if bare else 0
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         if len(word) <= CACHED_LENGTH:
             self[word] = both
@@ -44,6 +44,7 @@ class Words(dict):
 
 
 _WORDS = Words()
+held("toxicity", _WORDS)
 
 
 def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,6 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = 3000, size: int = 32_0
     whole_text_batches(docs.sparkSession)
 
     def encoded(batches):
+        claim("toxicity")
         for b in batches:
             for i in range(b.num_rows):
                 x, y, _ = encode([b.column("text")[i].as_py()])
@@ -257,10 +259,12 @@ def train(docs: DataFrame, labels: DataFrame, each: int = 3000, size: int = 32_0
 
 
 _MODELS: dict[str, tuple] = {}
+held("toxicity", _MODELS)
 
 
 def opened(mark: str, model: Model) -> tuple:
     """A model and its tables, kept in the Python worker for the tasks that follow; the latest model only."""
+    claim("toxicity")
     if mark not in _MODELS:
         _MODELS.clear()
         _MODELS[mark] = model, model.tables()

@@ -8,13 +8,30 @@ from __future__ import annotations
 
 import re
 
-#: Entries of a worker's cache; about 150 MB at most.
-CACHE_ENTRIES = 1_000_000
+#: Entries of a worker's cache; about 100 MB at most.
+CACHE_ENTRIES = 600_000
 #: Longer units are encoded each time they occur, so that a cache entry stays small.
 CACHED_LENGTH = 96
 
 _BLANK = re.compile(r"\s")
 _OPEN: dict[str, object] = {}
+_HELD: dict[str, list] = {}
+_LAST: list[str] = []
+
+
+def held(operator: str, *caches: dict) -> None:
+    """Name what an operator keeps in a Python worker between tasks."""
+    _HELD.setdefault(operator, []).extend(caches)
+
+
+def claim(operator: str) -> None:
+    """Called in a worker as an operator's task begins: what other operators kept there goes, for workers serve them all in turn."""
+    if _LAST != [operator]:
+        _LAST[:] = [operator]
+        for name, caches in _HELD.items():
+            if name != operator:
+                for c in caches:
+                    c.clear()
 
 
 def opened(kind: str, path: str):
@@ -61,12 +78,15 @@ class UnitCache(dict):
 
 
 _CACHES: dict[object, UnitCache] = {}
+held("units", _CACHES)
 
 
 def cache(key, encode, mark=None, frequent=dict) -> UnitCache:
     """One cache for each key in a Python worker; tasks that follow find it filled. frequent() gives the entries that stay
     in it, and is called when the mark is new."""
+    claim("units")
     if key not in _CACHES:
+        _CACHES.clear()
         _CACHES[key] = UnitCache(encode)
     found = _CACHES[key]
     if mark is not None and found.mark != mark:

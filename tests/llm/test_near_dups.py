@@ -135,3 +135,48 @@ def test_components(spark):
         got.setdefault(row.label, set()).add(row.node)
     assert sorted(map(len, got.values())) == [121, 140]
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_names_never_clash(spark, monkeypatch):
+    """Sets whose hashes clash get other names, until all differ."""
+    from pyspark.sql import functions as F
+
+    sets = spark.range(500).selectExpr("id as a", "id * 3 as b", "1L as n")
+    real = F.xxhash64
+    monkeypatch.setattr(near_dups.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(2000 if len(c) == 3 else 1 << 40)))
+    monkeypatch.setattr(near_dups, "CLASHES", 7)
+    got = [r[0] for r in sets.select(near_dups.names(sets)).collect()]
+    assert len(set(got)) == 500
+
+
+def test_copies_of_a_set_are_bounded(spark):
+    """However large a family is, a set goes to COPIES blocks at most, while blocks hold LARGEST shingles."""
+    sizes = spark.createDataFrame([(1, 20, 50), (2, 50_000, 200), (3, 250_000, 200), (4, 50_000, 2_000_000)], "label long, count long, longest long")
+    families = sizes.selectExpr("label as node", "label")
+    got = {r.label: r.blocks for r in near_dups.blocks_of(families, sizes).collect()}
+    assert got[1] == 1 and got[2] <= near_dups.COPIES and got[3] <= near_dups.COPIES
+    assert got[4] == 25_000  # two sets of two million shingles to a block
+
+
+def test_a_large_family(spark):
+    """Near copies in blocks of blocks: all linked, and counted."""
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        own[r.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    got = near_dups.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    want = brute(rows, 4, 85)
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in got} == want
+
+
+def test_very_long_texts(spark):
+    r = random.Random(7)
+    base = [f"w{r.randrange(50_000)}" for _ in range(60_000)]
+    near = list(base)
+    near[5] = "other"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, "z" * 300_000), (4, "z" * 300_000 + "y")]
+    got = {x.doc_id: x.component_id for x in near_dups.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}

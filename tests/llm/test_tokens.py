@@ -149,3 +149,72 @@ def test_packing_of_nothing(spark):
 def test_packing_null_ids(spark):
     df = spark.createDataFrame([(None, "a b"), (None, None), (7, "a b"), (7, "a b")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).collect()) == ["7", "7", "None", "None"]
+
+
+def test_workers_keep_one_operators_caches():
+    from conjunct.llm import language, toxicity, units
+
+    toxicity._WORDS["word"] = 1
+    language.opened("m", ["aa"], np.zeros((language.ROWS, 1)))
+    assert not toxicity._WORDS and language._MODELS
+    units.cache("k", lambda u: u).learn(["a"])
+    assert not language._MODELS and units._CACHES
+    units.claim("near_dups")
+    assert not units._CACHES
+
+
+def test_frequent_pretokens_are_of_all_rows(spark):
+    """The table's pre-tokens are the corpus's most frequent ones, whatever tasks they are in."""
+    import collections
+
+    texts = [f"common word{i % 7} w{i} " + "hot " * (i % 5) for i in range(400)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    seen = collections.Counter(u for t in texts if t for u in token_counts.PRETOKEN.findall(t))
+    got = token_counts.frequent_pretokens(df, "text", 12, 1 << 19)
+    assert sorted(got[:12], key=lambda u: (-seen[u], u)) == sorted(seen, key=lambda u: (-seen[u], u))[:12]
+
+
+def test_tables_round_trip():
+    units = [" the", "é", "日本", "\n\n"]
+    assert token_counts.opened_table(*token_counts.table_of(units, [1, 2, 300, 4])) == dict(zip(units, [1, 2, 300, 4]))
+
+
+def test_long_texts_in_pieces():
+    text = "some words and 12 numbers, " * 300
+    assert [u for part in token_counts.pretokens(text, 100) for u in part] == token_counts.PRETOKEN.findall(text)
+
+
+def test_spans_of_units_are_those_of_whole_texts():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m = pieces.model(path)
+    for t in ["one two three", "é 日本 x😀y", "a", "Don't we've 12 3.5"]:
+        whole = np.asarray([p[1:] for p in m.encode(t)], "<i4")
+        assert pieces.digests([t], path)[0][3:] == (len(t.encode()), zlib.crc32(whole.tobytes()))
+
+
+@pytest.mark.parametrize("most", [8, 1 << 20])
+def test_open_windows(most):
+    """On either side of the limit every id is packed once, and levels stay counted."""
+    r, out = random.Random(2), []
+    p = packing.SumOfSquares(64, lambda w, last: out.append(w), most)
+    docs = {i: np.arange(i * 1000, i * 1000 + r.randrange(33, 60), dtype="<u4").tobytes() for i in range(300)}
+    for i, ids in docs.items():
+        p.add(i, ids)
+        assert p.open <= most and p.open == p.count.sum() == sum(map(len, p.at))
+    p.finish()
+    got = {}
+    for w in out:
+        assert w.fill == sum(len(x[2]) // 4 for x in w.pieces) <= 64
+        for doc, start, ids, _ in w.pieces:
+            got.setdefault(doc, []).append((start, ids))
+    assert {i: b"".join(ids for _, ids in sorted(x)) for i, x in got.items()} == docs
+    assert sum(w.fill < 64 for w in out) <= 1
+
+
+def test_clashing_names(spark):
+    for name in ("row", "text_", "n_tokens", "ids", "spanned_bytes", "a.b", "unit"):
+        df = spark.createDataFrame([(1, "some text", "mine")], f"doc_id long, text string, `{name}` string")
+        a = token_counts.token_counts(df, "text", public_tokenizers.path("byte_bpe_50k.json")).first()
+        b = pieces.encode_digests(df, "text", public_tokenizers.path("piece_bpe_32k.model")).first()
+        assert a.n_tokens == 2 and b.doc_id == 1 and (name == "n_tokens" or a[name] == "mine") and (name in ("n_tokens", "spanned_bytes") or b[name] == "mine")
+        assert packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).count() == 1
