@@ -90,3 +90,23 @@ def bootstrap_intervals(y: np.ndarray, one: np.ndarray, two: np.ndarray, draws:
         difference[k] = math.sqrt(a[rows].mean()) - math.sqrt(b[rows].mean())
     low, high = np.nanpercentile(difference, [2.5, 97.5])
     return {"low": float(low), "high": float(high), "positive": float((difference > 0).mean())}
+
+
+def run_lasso(x: np.ndarray, y: np.ndarray, folds: np.ndarray, taus: list[float]) -> tuple[LassoPoint, list[float]]:
+    """The path's point at the tau of least mean fold rmse (the largest of equal ones), fitted to all rows, and the means."""
+    means = np.zeros(len(taus))
+    every = np.unique(folds)
+    for f in every:
+        fit, held = folds != f, folds == f
+        for k, p in enumerate(lasso_path(x[fit], y[fit], taus)):
+            means[k] += math.sqrt(((p.b + x[held] @ p.w - y[held]) ** 2).mean()) / len(every)
+    chosen = int(np.argmin(means))
+    return lasso_path(x, y, taus[: chosen + 1])[-1], means.tolist()
+
+
+def record(name: str, fit, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> dict:
+    """What a model (fit(x, y) -> predict) gives on held-out rows, or why it failed; one failure never stops a study."""
+    try:
+        return {"method": name, "status": "complete", "prediction": [float(v) for v in fit(x, y)(held)], "error": None}
+    except Exception as e:  # noqa: BLE001  the record is the report
+        return {"method": name, "status": "failed", "prediction": None, "error": f"{type(e).__name__}: {e}"}

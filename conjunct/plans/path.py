@@ -1,8 +1,9 @@
 """Regularisation paths over a whole pattern dictionary.
 
-The dictionary (itemset, tid) is enumerated once and stays in Spark; each round joins it with the dual vector in one
-job, which returns scalars and at most top_k patterns. The driver holds the vectors over transactions and the working
-set. A point counts as solved when the duality gap, taken over the unscreened dictionary, certifies it.
+The dictionary is enumerated once; each pattern's rows are written as lists of row numbers, cut by ranges of rows, and stay
+in Spark. A round is one job: the dual vector is broadcast, a pattern's sums are taken in its own task, and the patterns
+above lambda come back. The driver holds the vectors over transactions and the working set, as the solver needs them. A
+point counts as solved when the duality gap, taken over the unscreened dictionary, certifies it.
 """
 
 from __future__ import annotations
@@ -13,11 +14,18 @@ import math
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from conjunct.operators import itemsets, scoring
-from conjunct.plans import solver
+from conjunct.plans import solver, splits
+from conjunct.plans.store import written
+from conjunct.session import ship
+
+#: Rows of a list; a pattern with more has several, in tasks of their own.
+BLOCK = 1 << 20
 
 
 @dataclass
@@ -47,7 +55,7 @@ class Point:
     rounds: int
     converged: bool
     excluded: int = 0
-    alpha: np.ndarray | None = field(default=None, repr=False)
+    alpha: np.ndarray | None = field(default=None, repr=False)  # a feasible dual vector, scaled to the best value
 
 
 class Dictionary:
@@ -55,32 +63,74 @@ class Dictionary:
 
     def __init__(self, item_tid: DataFrame, response: DataFrame, least: int, max_len: int, space: str = "closed"):
         self.spark: SparkSession = item_tid.sparkSession
-        rows = response.orderBy("tid").collect()  # the response vector is the driver's by definition of the solver
-        self.tids = np.array([r["tid"] for r in rows], np.int64)
-        self.y = np.array([r["y"] for r in rows], float)
-        self.n = len(rows)
-        found = itemsets.pattern_tids(item_tid, least, max_len)
-        if space == "closed":
-            found = found.join(itemsets.closed(found, item_tid).select("itemset"), "itemset", "left_semi")
-        self.rows = found.persist()
+        ship(self.spark)
+        placed = written(splits.ordinal(response.select("tid", "y"), "tid"), "placed")
+        held = placed.select("place", "tid", "y").toArrow().sort_by("place")  # the response is the driver's by definition of the solver
+        self.tids, self.y = held["tid"].to_numpy(), held["y"].to_numpy().astype(float)
+        self.n = len(self.y)
+        found, self.names = itemsets.encoded(item_tid, least)
+        rows = written(found.join(placed.select("tid", "place"), "tid").select("items", F.col("place").cast("int").alias("place")), "rows")
+        levels = itemsets.levels(rows, least, max_len + (space == "closed"), [], written)
+        kept = itemsets.closed_of(levels, max_len) if space == "closed" else itemsets.reduce_union(levels[:max_len])
+        kept = written(kept.select("itemset"), "kept")
+        self.size = kept.count()
+        parts = []
+        for k, _ in enumerate(levels[:max_len]):
+            level = itemsets.grown(rows, [(x, True) for x in levels[:k]])
+            parts.append(level.join(F.broadcast(kept.filter(F.size("itemset") == k + 1)), "itemset", "left_semi"))
+        block = F.expr(f"place div {BLOCK}").alias("block")
+        lists = itemsets.reduce_union(parts).groupBy("itemset", block).agg(F.collect_list("place").alias("rows"))
+        self.lists = written(lists, "lists")
+        self.whole = self.n <= BLOCK
 
     def scored(self, **vectors: np.ndarray) -> DataFrame:
-        columns = {"tid": self.tids, **vectors}
-        frame = self.spark.createDataFrame([tuple(float(v[i]) if k != "tid" else int(v[i]) for k, v in columns.items()) for i in range(self.n)], ", ".join(f"{k} {'long' if k == 'tid' else 'double'}" for k in columns))
-        return scoring.sums(self.rows, frame, list(vectors))
+        """(itemset, s, sums of each vector and of its positive and negative parts) over the whole dictionary."""
+        shared = self.spark.sparkContext.broadcast({v: np.asarray(x, float) for v, x in vectors.items()})
+        names = [f"{v}{part}" for v in vectors for part in ("", "_pos", "_neg")]
+
+        def run(batches):
+            held = shared.value
+            for b in batches:
+                lists = b.column(1)
+                flat, starts = lists.flatten().to_numpy(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+                out = [pa.array(np.diff(lists.offsets.to_numpy()), pa.int64())]
+                for x in held.values():
+                    own = x[flat]
+                    out += [pa.array(np.add.reduceat(y, starts) if len(starts) else y[:0], pa.float64()) for y in (own, np.maximum(own, 0), np.maximum(-own, 0))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *out], ["itemset", "s", *names])
+
+        schema = self.lists.select("itemset").schema.add("s", LongType())
+        for c in names:
+            schema = schema.add(c, DoubleType())
+        found = self.lists.select("itemset", "rows").mapInArrow(run, schema)
+        return found if self.whole else found.groupBy("itemset").agg(*[F.sum(c).alias(c) for c in ("s", *names)])
+
+    def above(self, lam: float, **vectors: np.ndarray) -> tuple[list[tuple], dict[str, np.ndarray]]:
+        """Patterns that some vector's correlation with exceeds lam, and these correlations."""
+        over = F.greatest(*[F.abs(v) for v in vectors], F.lit(0.0)) > lam
+        got = self.scored(**vectors).filter(over).select("itemset", *vectors).toArrow()
+        return [tuple(p) for p in got["itemset"].to_pylist()], {v: got[v].to_numpy() for v in vectors}
 
-    def lambda_max(self) -> tuple[float, str | None]:
-        r = scoring.lambda_max(self.scored(alpha=self.y - self.y.mean())).first()
-        return float(r["lambda_max"]), r["pattern"]
+    def lambda_max(self) -> tuple[float, tuple | None]:
+        best = self.scored(alpha=self.y - self.y.mean()).select(F.abs("alpha").alias("c"), "itemset").orderBy(F.desc(F.round("c", 9)), "itemset").first()
+        return (float(best["c"]), self.named([tuple(best["itemset"])])[0]) if best else (0.0, None)
+
+    def named(self, patterns: list[tuple]) -> list[tuple]:
+        return [tuple(self.names[i] for i in p) for p in patterns]
+
+    def numbered(self, patterns: list[tuple]) -> list[tuple]:
+        at = {x: i for i, x in enumerate(self.names)}
+        return [tuple(at[x] for x in p) for p in patterns]
 
     def matrix(self, patterns: list[tuple]) -> np.ndarray:
-        """The 0/1 columns of a working set, in order."""
+        """The 0/1 columns of a working set (patterns of item numbers), in order."""
         x = np.zeros((self.n, len(patterns)))
         if patterns:
-            at, row = {p: j for j, p in enumerate(patterns)}, {int(t): i for i, t in enumerate(self.tids)}
-            wanted = self.spark.createDataFrame([(list(p),) for p in patterns], self.rows.select("itemset").schema)
-            for r in self.rows.join(F.broadcast(wanted), "itemset", "left_semi").collect():  # of the working set only
-                x[row[r["tid"]], at[tuple(r["itemset"])]] = 1
+            at = {p: j for j, p in enumerate(patterns)}
+            wanted = self.spark.createDataFrame([(list(p),) for p in patterns], self.lists.select("itemset").schema)
+            got = self.lists.join(F.broadcast(wanted), "itemset", "left_semi").select("itemset", "rows").toArrow()  # of the working set only
+            for p, rows in zip(got["itemset"].to_pylist(), got["rows"], strict=True):
+                x[rows.values.to_numpy(), at[tuple(p)]] = 1
         return x
 
 
@@ -94,43 +144,68 @@ def fit_point(d: Dictionary, lam: float, config: Config, lambda_max: float, warm
     if warm is None and lam >= lambda_max:
         mu = np.full(n, y.mean())
         b = math.log(y.mean())
-        return Point(tau, lam, b, {}, solver.objective(y, np.full(n, b), np.zeros(0), lam, config.kappa), 0.0, 0.0, 0, True, alpha=y - mu)
-    have: list[tuple] = [p for p, v in warm.w.items() if v] if warm else []
-    start = np.array([warm.w[p] for p in have]) if warm else np.zeros(0)
+        return Point(tau, lam, b, {}, solver.objective(y, np.full(n, b), np.zeros(0), lam, config.kappa), 0.0, 0.0, 0, True, d.size, y - mu)
+    have: list[tuple] = d.numbered([p for p, v in warm.w.items() if v]) if warm else []
+    start = np.array([v for v in warm.w.values() if v]) if warm else np.zeros(0)
     x = d.matrix(have)
-    best_dual, excluded = -math.inf, 0
+    best = (-math.inf, None)
     for k in range(1, config.max_rounds + 1):
         fit = solver.solve(x, y, lam, config.kappa, start, tol=config.solver_tol / 100)
         alpha = solver.feasible(y, fit.mu)
-        scored = d.scored(alpha=alpha)
-        scored = scored.persist()
-        over = scored.filter(F.abs("alpha") > lam * (1 + 1e-12))
-        total = scored.count()
-        violators = np.array([r["alpha"] for r in over.select("alpha").collect()]) if total else np.zeros(0)
-        s, value = solver.best_scale(y, alpha, violators, lam, config.kappa)
-        best_dual = max(best_dual, value)
-        gap = max(0.0, fit.value - best_dual)
-        if config.screen and total:
-            r = solver.radius(y, s * alpha, max(0.0, fit.value - value))
-            moved = scored.withColumns({c: F.col(c) * F.lit(s) for c in ("alpha", "alpha_pos", "alpha_neg")})
-            excluded = total - scoring.screened(moved, lam, r, n).count()
+        patterns, c = d.above(lam * (1 + 1e-12), alpha=alpha)
+        s, value = solver.best_scale(y, alpha, c["alpha"], lam, config.kappa)
+        best = max(best, (value, k), key=lambda p: p[0])
+        if best[1] == k:
+            reference = s * alpha
+        gap = max(0.0, fit.value - best[0])
         done = gap / n <= config.gap_tol and fit.kkt <= config.solver_tol
-        fresh = [] if done else _fresh(d, scored, lam, have, config.top_k)
-        scored.unpersist()
+        known = set(have)
+        order = sorted((-round(abs(v), 9), p) for p, v in zip(patterns, c["alpha"].tolist(), strict=True) if p not in known)
+        fresh = [] if done else [p for _, p in order[: config.top_k]]
         if done or not fresh:
             break
         have += fresh
         start = np.concatenate([fit.w, np.zeros(len(fresh))])
-        x = np.column_stack([x, d.matrix(fresh)]) if x.size else d.matrix(have)
-    return Point(tau, lam, fit.b, dict(zip(have, fit.w.tolist(), strict=True)), fit.value, gap, fit.kkt, k, done, excluded, alpha)
+        x = np.column_stack([x, d.matrix(fresh)])
+    point = Point(tau, lam, fit.b, dict(zip(d.named(have), fit.w.tolist(), strict=True)), fit.value, gap, fit.kkt, k, done, 0, reference)
+    if config.screen:
+        point.excluded = d.size - arms(d, point, warm, config, ["vu_two" if warm is not None else "vu_single"])[0][1]
+    return point
+
+
+#: Arms of the screened search: (mode, references).
+ARMS = {"none": ("none", 1), "v_only": ("vprune", 1), "u_only": ("uscreen", 1), "vu_single": ("both", 1), "vu_two": ("both", 2)}
 
 
-def _fresh(d: Dictionary, scored: DataFrame, lam: float, have: list[tuple], top: int) -> list[tuple]:
-    if have:
-        known = d.spark.createDataFrame([(list(p),) for p in have], d.rows.select("itemset").schema)
-    else:
-        known = d.rows.select("itemset").limit(0)
-    return [tuple(r["itemset"]) for r in scoring.price_scan(scored, lam, known, top).select("itemset").collect()]
+def arms(d: Dictionary, point: Point, previous: Point | None, config: Config, names: list[str]) -> list[tuple[str, int]]:
+    """How many patterns each arm keeps at a point: balls around the point's own dual vector and, for two references, around
+    that of the point before, each as large as its own duality gap at this lambda says."""
+    vectors = {"alpha": point.alpha}
+    if previous is not None and previous.alpha is not None:
+        vectors["before"] = previous.alpha
+    _, c = d.above(point.lam, **vectors)
+    refs = {}
+    for v, a in vectors.items():
+        value = solver.dual(d.y, a, float((np.maximum(np.abs(c[v]) - point.lam, 0) ** 2).sum() / (2 * config.kappa)))
+        refs[v] = solver.radius(d.y, a, max(0.0, point.objective - value))
+    scored = d.scored(**vectors)
+    out = []
+    for name in names:
+        mode, balls = ARMS[name]
+        second = None
+        if balls == 2 and "before" in refs and math.isfinite(refs["before"]):
+            second = ("before", refs["before"], float(((vectors["alpha"] - vectors["before"]) ** 2).sum()))
+        out.append((name, scoring.screened(scored, point.lam, refs["alpha"], d.n, mode=mode, second=second).count()))
+    return out
+
+
+def ablation(d: Dictionary, points: list[Point], config: Config) -> DataFrame:
+    """(point, arm, kept, eligible) for every arm of the search at each point of a path."""
+    rows = []
+    for k, p in enumerate(points):
+        if p.rounds:
+            rows += [(k, name, kept, d.size) for name, kept in arms(d, p, points[k - 1] if k else None, config, list(ARMS))]
+    return d.spark.createDataFrame(rows, "point int, arm string, kept long, eligible long")
 
 
 def fit_path(d: Dictionary, taus: list[float], config: Config | None = None) -> list[Point]:
@@ -145,16 +220,41 @@ def fit_path(d: Dictionary, taus: list[float], config: Config | None = None) ->
     return out
 
 
+def fit_cv(item_tid: DataFrame, response: DataFrame, folds: DataFrame, taus: list[float], least, max_len: int, config: Config | None = None, score: str = "nll") -> tuple[float, list[tuple]]:
+    """(tau, [(fold, tau, score)]): the tau of least mean score over the folds (tid, fold), the largest of equal ones.
+
+    Each fold's rows are scored by the path of the other rows, whose own lambda_max sets its scale. score is nll (mean of
+    mu - y eta) or rmse; least(n) gives the support for n rows.
+    """
+    found = []
+    for fold in sorted(r[0] for r in folds.select("fold").distinct().collect()):
+        fit, held = (folds.filter(F.col("fold") == fold), folds.filter(F.col("fold") != fold))[::-1]
+        train = response.join(fit.select("tid"), "tid", "left_semi")
+        d = Dictionary(item_tid.join(fit.select("tid"), "tid", "left_semi"), train, least(train.count()), max_len)
+        tests = response.join(held.select("tid"), "tid", "left_semi")
+        tx = item_tid.join(held.select("tid"), "tid", "left_semi")
+        for p in fit_path(d, taus, config):
+            w = d.spark.createDataFrame([(list(q), v) for q, v in p.w.items() if v], f"itemset array<{item_tid.schema['item'].dataType.simpleString()}>, w double")
+            both = tests.join(predict(w, p.b, tx, tests), "tid")
+            value = F.avg(F.col("mu") - F.col("y") * F.ln("mu")) if score == "nll" else F.sqrt(F.avg((F.col("y") - F.col("mu")) ** 2))
+            found.append((fold, p.tau, float(both.agg(value).first()[0])))
+    means = {t: float(np.mean([v for _, u, v in found if u == t])) for t in taus}
+    return min(taus, key=lambda t: (means[t], -t)), found
+
+
 def audit(d: Dictionary, point: Point, kappa: float) -> dict[str, float]:
     """Gap and KKT of a point recomputed from its coefficients over the whole dictionary, without any screening."""
     patterns = list(point.w)
-    x, w = d.matrix(patterns), np.array([point.w[p] for p in patterns])
+    x, w = d.matrix(d.numbered(patterns)), np.array([point.w[p] for p in patterns])
     b, mu = solver.profile(x @ w if len(w) else np.zeros(d.n), float(d.y.sum()))
     alpha = solver.feasible(d.y, mu)
-    rows = d.scored(alpha=alpha).filter(F.abs("alpha") > point.lam).select("alpha").collect()
-    _, value = solver.best_scale(d.y, alpha, np.array([r["alpha"] for r in rows]), point.lam, kappa)
+    outside, c = d.above(point.lam, alpha=alpha)
+    _, value = solver.best_scale(d.y, alpha, c["alpha"], point.lam, kappa)
     eta = b + (x @ w if len(w) else np.zeros(d.n))
-    return {"gap": max(0.0, solver.objective(d.y, eta, w, point.lam, kappa) - value) / d.n, "kkt": solver.kkt(x, d.y, mu, w, point.lam, kappa)}
+    known = set(d.numbered(patterns))
+    worst = max([abs(v) - point.lam for p, v in zip(outside, c["alpha"].tolist(), strict=True) if p not in known], default=0.0)
+    kkt = max(solver.kkt(x, d.y, mu, w, point.lam, kappa), worst / d.n)
+    return {"gap": max(0.0, solver.objective(d.y, eta, w, point.lam, kappa) - value) / d.n, "kkt": kkt}
 
 
 def predict(point_w: DataFrame, b: float, item_tid: DataFrame, tids: DataFrame) -> DataFrame:
@@ -163,6 +263,11 @@ def predict(point_w: DataFrame, b: float, item_tid: DataFrame, tids: DataFrame)
     return tids.select("tid").join(hits, "tid", "left").select("tid", F.exp(F.lit(b) + F.coalesce("z", F.lit(0.0))).alias("mu"))
 
 
+def package(point: Point) -> dict:
+    """A point as a record that JSON can hold: coefficients that aren't 0, and the certificate."""
+    return {"tau": point.tau, "lam": point.lam, "b": point.b, "patterns": [list(p) for p, v in point.w.items() if v], "w": [v for v in point.w.values() if v], "gap": point.gap, "kkt": point.kkt, "converged": point.converged}
+
+
 def as_frame(spark: SparkSession, points: list[Point]) -> DataFrame:
     """One row a point."""
     rows = [(k, p.tau, p.lam, p.b, sum(v != 0 for v in p.w.values()), p.objective, p.gap, p.kkt, p.rounds, p.converged, p.excluded) for k, p in enumerate(points)]

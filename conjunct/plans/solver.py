@@ -137,6 +137,58 @@ def best_scale(y: np.ndarray, alpha: np.ndarray, violators: np.ndarray, lam: flo
     return max(((s, value(s)) for s in ends), key=lambda p: p[1])
 
 
+def best_segment(y: np.ndarray, one: np.ndarray, two: np.ndarray, c1: np.ndarray, c2: np.ndarray, lam: float, kappa: float) -> tuple[float, float]:
+    """(t, dual) for t in [0, 1] that maximises the dual along (1 - t) one + t two.
+
+    c1 and c2 are the correlations of both ends for the patterns that exceed lam at either: between the ends no other can.
+    """
+
+    def value(t: float) -> float:
+        over = np.maximum(np.abs((1 - t) * c1 + t * c2) - lam, 0)
+        return dual(y, (1 - t) * one + t * two, float((over**2).sum() / (2 * kappa)))
+
+    lo, hi = 0.0, 1.0
+    for _ in range(100):  # the dual is concave along the segment
+        a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+        if value(a) < value(b):
+            lo = a
+        else:
+            hi = b
+    return max(((t, value(t)) for t in (0.0, 1.0, (lo + hi) / 2)), key=lambda p: p[1])
+
+
+def fista(x: np.ndarray, y: np.ndarray, lam: float, kappa: float, rounds: int = 20_000, tol: float = 1e-9, clip: float = 20.0) -> Fit:
+    """The same problem as solve() by accelerated proximal steps with backtracking; eta is clipped, as older runs did."""
+
+    def loss(b: float, w: np.ndarray) -> tuple[float, np.ndarray]:
+        eta = np.clip(b + x @ w, -clip, clip)
+        mu = np.exp(eta)
+        return float((mu - y * eta).sum()) + kappa / 2 * float(w @ w), mu
+
+    b, w = math.log(max(float(y.mean()), 1e-12)), np.zeros(x.shape[1])
+    ahead, momentum, size = (b, w), 1.0, 1.0 / max(1.0, float(y.sum()))
+    for _ in range(rounds):
+        f, mu = loss(*ahead)
+        gb, gw = float((mu - y).sum()), x.T @ (mu - y) + kappa * ahead[1]
+        while True:
+            nb, nw = ahead[0] - size * gb, ahead[1] - size * gw
+            nw = np.sign(nw) * np.maximum(np.abs(nw) - size * lam, 0)
+            db, dw = nb - ahead[0], nw - ahead[1]
+            if loss(nb, nw)[0] <= f + gb * db + float(gw @ dw) + (db * db + float(dw @ dw)) / (2 * size) + 1e-10 * abs(f):
+                break
+            size /= 2
+        if (db * ahead[0] + float(dw @ ahead[1])) and (nb - b) * (nb - ahead[0]) + float((nw - w) @ (nw - ahead[1])) < 0:
+            momentum = 1.0  # the step turned back: start again without momentum
+        grown = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+        pull = (momentum - 1) / grown
+        ahead = nb + pull * (nb - b), nw + pull * (nw - w)
+        b, w, momentum, size = nb, nw, grown, size * 1.1
+        if kkt(x, y, (mu := loss(b, w)[1]), w, lam, kappa) <= tol:
+            break
+    _, mu = loss(b, w)
+    return Fit(b, w, mu, objective(y, b + x @ w, w, lam, kappa), kkt(x, y, mu, w, lam, kappa))
+
+
 def poisson_glm(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 100) -> tuple[float, np.ndarray]:
     """Ridge Poisson regression: mean of half deviances plus alpha / 2 |w|^2, by damped Newton steps."""
     n, design = len(y), np.column_stack([np.ones(len(y)), x])

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from conjunct.functions import scalar
 from conjunct.operators import itemsets, metrics, scoring, selection
 from conjunct.operators.itemsets import key
-from conjunct.plans import splits
+from conjunct.plans import path, splits
 from conjunct.plans.queries import _ALL, _BI, _CL, _CNT, _FULL, _GRID, _MS, _PARTS, _PRED, _RUNS, _Y, Baskets, counters, grid_scores, predictions, query, r4, runs, selected_parts
 from conjunct.plans.store import written
 from conjunct.sources.tables import basket_items, basket_response, read
@@ -536,3 +536,13 @@ def verify_result(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_totalprice") * F.when(F.col("o_orderkey") % 97 == 0, 1.001).otherwise(1.0)).alias("again"))
     bad = metrics.mismatches(o, "o_totalprice", "again")
     return bad.select("o_orderkey", F.round(F.abs(F.col("o_totalprice") - F.col("again")), 6).alias("off"))
+
+
+# ---- the path
+
+@query()
+def fit_path(spark, sf_dir):
+    """Five points of the regularisation path over the closed dictionary, each certified over all of it."""
+    b = Baskets(spark, sf_dir)
+    d = path.Dictionary(b.items, b.y, b.least, b.max_len)
+    return path.as_frame(spark, path.fit_path(d, [1.0, 0.8, 0.6, 0.45, 0.35]))

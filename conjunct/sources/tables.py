@@ -68,9 +68,50 @@ def scan_tsv(spark: SparkSession, path: str, positions: int, rows: int | None =
     return df
 
 
-def scan_tsv_lenient(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of too few fields are dropped."""
-    return spark.read.csv(path, sep="\t", header=True, mode="DROPMALFORMED", enforceSchema=True)
+def scan_tsv_lenient(spark: SparkSession, path: str, numbers: list[str] = ()) -> DataFrame:
+    """Rows of too few fields are dropped; what isn't a number in the named columns becomes NaN."""
+    df = spark.read.csv(path, sep="\t", header=True, mode="DROPMALFORMED", enforceSchema=True)
+    return df.withColumns({c: F.coalesce(F.expr(f"try_cast(`{c}` as double)"), F.lit(float("nan"))) for c in numbers})
+
+
+def checked_files(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
+    """(path, problem) of the files of manifest(path, sha256) under root that are missing or changed; none if all is well."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    prefix = F.regexp_replace(F.col("path"), r"^[a-z0-9+.-]+:/*", "/")
+    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    own = found.select(F.replace(prefix, F.lit(base), F.lit("")).alias("path"), F.sha2("content", 256).alias("now"))
+    problem = F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("sha256"), "changed")
+    return manifest.join(own, "path", "left").select("path", problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
+def archived_points(spark: SparkSession, path: str, sha256: str, rows: int) -> DataFrame:
+    """Rows of an archived CSV whose digest and number of rows must be those on record."""
+    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    if digest != sha256:
+        raise ValueError(f"{path} has changed")
+    df = scan_csv(spark, path)
+    if (n := df.count()) != rows:
+        raise ValueError(f"{path} has {n} rows, not {rows}")
+    return df
+
+
+def saved_points(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
+    """Points (JSON lines) of a run, all of whose files must be as its manifest(path, sha256) says."""
+    bad = checked_files(spark, manifest, root).limit(5).collect()
+    if bad:
+        raise ValueError("changed run: " + ", ".join(f"{r['path']} {r['problem']}" for r in bad))
+    files = [f"{root.rstrip('/')}/{r['path']}" for r in manifest.select("path").collect()]  # a run's own files
+    return spark.read.json(files)
+
+
+def contained(root: str, path: str) -> str:
+    """path under root, or an error if it would leave it."""
+    import posixpath
+
+    whole = posixpath.normpath(posixpath.join(root, path))
+    if whole != posixpath.normpath(root) and not whole.startswith(posixpath.normpath(root).rstrip("/") + "/"):
+        raise ValueError(f"{path} leaves {root}")
+    return whole
 
 
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -98,6 +139,50 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def _store(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_json(spark: SparkSession, value, path: str, replace: bool = True) -> None:
+    """A JSON document with sorted keys, complete or not there at all: it is written beside its place and renamed."""
+    import json
+    import uuid
+
+    data = json.dumps(value, sort_keys=True, indent=2, allow_nan=False).encode()
+    jvm, at, fs = _store(spark, path)
+    if fs.exists(at) and not replace:
+        raise FileExistsError(path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(aside, False)
+    out.write(bytearray(data))
+    out.close()
+    if replace and fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(aside, at):
+        raise OSError(f"can't rename to {path}")
+
+
+def cached(spark: SparkSession, root: str, key: dict, make) -> DataFrame:
+    """make()'s table, kept under root by a digest of its key (all that it depends on); made once."""
+    import hashlib
+    import json
+
+    where = f"{root.rstrip('/')}/{hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()}"
+    _, done, fs = _store(spark, f"{where}/_SUCCESS")
+    if not fs.exists(done):
+        make().write.mode("overwrite").parquet(where)
+    return spark.read.parquet(where)
+
+
+def markdown_rows(df: DataFrame, columns: list[str], digits: int = 4) -> list[str]:
+    """A small table as Markdown lines: numbers with fixed digits, NA for nulls."""
+    show = lambda v: "NA" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+    head = ["| " + " | ".join(columns) + " |", "| " + " | ".join("---" for _ in columns) + " |"]
+    return head + ["| " + " | ".join(show(r[c]) for c in columns) + " |" for r in df.select(*columns).collect()]
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").csv(path, header=True)
 

@@ -123,3 +123,69 @@ def test_poisson_glm_gradient():
     b, w = solver.poisson_glm(x, y, 0.1)
     mu = np.exp(b + x @ w)
     assert np.abs(x.T @ (mu - y) / 200 + 0.1 * w).max() < 1e-8 and abs((mu - y).mean()) < 1e-8
+
+
+def test_segment_and_older_solver():
+    r = np.random.default_rng(4)
+    x = (r.random((150, 8)) < 0.4).astype(float)
+    y = r.poisson(np.exp(0.4 + x[:, 0] - 0.5 * x[:, 2])).astype(float)
+    lam = 0.3 * np.abs(x.T @ (y - y.mean())).max()
+    ends = [solver.feasible(y, solver.solve(x, y, f * lam, 0.05).mu) for f in (1.0, 2.0)]
+    c = [x.T @ a for a in ends]
+    t, value = solver.best_segment(y, *ends, *c, lam, 0.05)
+    at = lambda t: solver.dual(y, (1 - t) * ends[0] + t * ends[1], float((np.maximum(np.abs(x.T @ ((1 - t) * ends[0] + t * ends[1])) - lam, 0) ** 2).sum() / 0.1))
+    assert 0 <= t <= 1 and value >= max(map(at, np.linspace(0, 1, 101))) - 1e-6
+    best, old = solver.solve(x, y, lam, 0.05), solver.fista(x, y, lam, 0.05, tol=1e-7)
+    assert old.kkt <= 1e-6 and old.value == pytest.approx(best.value, rel=1e-7)
+    np.testing.assert_allclose(old.w, best.w, atol=1e-3)
+
+
+def fixture_tables(spark):
+    subsets = [list(s) for k in range(4) for s in itertools.combinations(range(3), k)]
+    rows = [(t, 3.0 + 5 * (0 in t and 1 in t) + i % 3) for i, t in enumerate(subsets * 4)]
+    return rows, *tables(spark, rows)
+
+
+def test_arms_keep_the_active_patterns(spark):
+    _, item_tid, response = fixture_tables(spark)
+    d = path.Dictionary(item_tid, response, 2, 3)
+    config = path.Config()
+    points = path.fit_path(d, [1.0, 0.5, 0.2], config)
+    got = {(r.point, r.arm): r.kept for r in path.ablation(d, points, config).collect()}
+    for k in (1, 2):
+        active = sum(v != 0 for v in points[k].w.values())
+        assert got[k, "none"] == d.size and all(active <= got[k, a] <= d.size for a in path.ARMS)
+        assert got[k, "vu_two"] <= got[k, "vu_single"] <= min(got[k, "u_only"], got[k, "v_only"])
+    record = path.package(points[2])
+    assert len(record["w"]) == len(record["patterns"]) and all(record["w"])
+
+
+def test_cross_validated_choice(spark):
+    _, item_tid, response = fixture_tables(spark)
+    folds = response.select("tid", (F.col("tid") % 3).cast("int").alias("fold"))
+    taus = [1.0, 0.1]
+    for score in ("nll", "rmse"):
+        tau, rows = path.fit_cv(item_tid, response, folds, taus, lambda n: 2, 2, score=score)
+        means = {t: np.mean([v for _, u, v in rows if u == t]) for t in taus}
+        assert len(rows) == 6 and tau == min(taus, key=lambda t: means[t]) == 0.1
+
+
+def test_lists_in_blocks(spark, monkeypatch):
+    """Patterns whose rows are cut into several lists have the same sums."""
+    _, item_tid, response = fixture_tables(spark)
+    whole = path.Dictionary(item_tid, response, 2, 3)
+    monkeypatch.setattr(path, "BLOCK", 5)
+    cut = path.Dictionary(item_tid, response, 2, 3)
+    a = whole.y - whole.y.mean()
+    one, two = ({tuple(r.itemset): tuple(r)[1:] for r in d.scored(alpha=a).collect()} for d in (whole, cut))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
+    assert cut.lists.count() > whole.lists.count() and whole.lambda_max() == (pytest.approx(cut.lambda_max()[0]), cut.lambda_max()[1])
+
+
+def test_nested_containment(spark):
+    item_tid, _ = tables(spark, TINY)
+    few = [[0, 1], [2], [0, 2]]
+    want = {(tuple(p), i) for p in few for i, (t, _) in enumerate(TINY) if set(p) <= set(t)}
+    patterns = spark.createDataFrame([(p,) for p in few], "itemset array<int>")
+    for got in (itemsets.contain_join_nested(few, item_tid), itemsets.contain_join(patterns, item_tid)):
+        assert {(tuple(r.itemset), r.tid) for r in got.collect()} == want

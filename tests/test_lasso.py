@@ -31,3 +31,19 @@ def test_bootstrap():
     assert 0 < out["low"] < out["high"] and out["positive"] == 1.0
     same = lasso.bootstrap_intervals(y, y + 1, y + 1, 50)
     assert same == {"low": 0.0, "high": 0.0, "positive": 0.0}
+
+
+def test_cross_validated_lasso():
+    r = np.random.default_rng(3)
+    x = (r.random((90, 6)) < 0.5).astype(float)
+    y = 1 + 3 * x[:, 1] + 0.1 * r.normal(size=90)
+    folds = np.arange(90) % 3
+    point, means = lasso.run_lasso(x, y, folds, [1.0, 0.3, 0.05])
+    assert point.tau == [1.0, 0.3, 0.05][int(np.argmin(means))] and abs(point.w[1]) > 2
+
+
+def test_records_of_failures():
+    x, y = np.ones((3, 1)), np.arange(3.0)
+    good = lasso.record("mean", lambda x, y: lambda held: np.full(len(held), y.mean()), x, y, x[:2])
+    bad = lasso.record("bad", lambda x, y: 1 / 0, x, y, x)
+    assert good["status"] == "complete" and good["prediction"] == [1.0, 1.0] and bad["status"] == "failed" and "ZeroDivisionError" in bad["error"]

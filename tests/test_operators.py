@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conjunct.functions import scalar
-from conjunct.operators import itemsets, metrics, rules, selection
+from conjunct.operators import scoring, itemsets, metrics, rules, selection
 from conjunct.plans import splits
 from conjunct.sources import generators, tables
 
@@ -102,11 +102,122 @@ def test_files(spark, tmp_path):
 
 
 def test_generators():
-    tx, y, truths, weights = generators.planted([4, 4], 2609271101, rows=500)
-    again = generators.planted([4, 4], 2609271101, rows=500)
-    assert tx == again[0] and (y == again[1]).all() and len(truths) == 2 and all(len(t) == 4 for t in truths)
+    one, again = (generators.generate_count(2, 2609271101, rows=500) for _ in range(2))
+    tx, y, truths = one.transactions, one.y, one.truths
+    assert tx == again.transactions and (y == again.y).all() and len(truths) == 2 and all(len(t) == 4 for t in truths)
     z = np.array([[set(t) <= set(x) for t in truths] for x in tx])
     assert y[z[:, 0] & ~z[:, 1]].mean() > 1.5 * y[~z.any(axis=1)].mean()
+    assert np.allclose(one.mean, 30 * np.exp(z @ one.weights)) and [one.role(i) for i in (0, 349, 350)] == ["train", "train", "test"]
+    # the registered draws: signals have their own stream, one number for each row, truth and item
+    own = np.random.default_rng(np.random.SeedSequence([2609271101, 202609244]).spawn(4)[0]).random((500, 2, 4)) < 0.65
+    assert (own.all(axis=2) == z).all()
+
+
+def test_generators_of_mixed_lengths():
+    g = generators.generate_length(7, 2609272301, rows=400)
+    assert sorted(map(len, g.truths)) == [4, 5, 6, 7]
+    lengths = np.arange(4, 8)
+    np.random.default_rng(np.random.SeedSequence([2609272301, 202609244]).spawn(5)[4]).shuffle(lengths)
+    assert [len(t) for t in g.truths] == lengths.tolist()
+    for truths in (4, 8):
+        for regime in ("fixed4", "mixed_natural", "mixed_equal_support"):
+            m = generators.generate_mixed(regime, truths, 2609272201, rows=300)
+            assert len(m.truths) == truths and len({i for t in m.truths for i in t}) == sum(map(len, m.truths)) <= 64
+    with pytest.raises(ValueError):
+        generators.generate_mixed("other", 4, 1)
+
+
+def test_older_generators():
+    tx = generators.generate_basic(50, 20, 5, 3)
+    assert len(tx) == 50 and all(t == sorted(set(t)) and 1 <= len(t) and max(t) < 20 for t in tx)
+    planted = generators.generate_planted_baskets([(3, 7), (10, 11, 12)], [0.5, 0.2], 400, 30, 0.05, 1)
+    assert 150 < sum({3, 7} <= set(t) for t in planted) < 260
+    y = generators.poisson_labels([[1, 2], [], [1]], [(1, 2)], [3.0], 0.0, 1)
+    assert len(y) == 3 and (y == np.random.default_rng(1).poisson([math.e**3, 1, 1])).all()
+    tx, y = generators.generate_legacy(200, 42, "large")
+    assert (y >= 0).all() and 40 < sum({3, 7, 15, 22} <= set(t) for t in tx) < 110
+
+
+def test_two_references_screen_more(spark):
+    """A second ball never excludes less, and keeps every pattern that some point of both balls reaches."""
+    rows = [([0], 4, 9.0, 9.5, 1.0, 8.0, 8.5, 0.5), ([1], 6, 2.0, 1.0, 3.0, 2.5, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "itemset array<int>, s int, alpha double, alpha_pos double, alpha_neg double, b double, b_pos double, b_neg double")
+    one = {tuple(r.itemset): (r.bound_u, r.bound_v) for r in scoring.screened(df, 0.0, 2.0, 12).collect()}
+    two = {tuple(r.itemset): (r.bound_u, r.bound_v) for r in scoring.screened(df, 0.0, 2.0, 12, second=("b", 1.5, 1.0)).collect()}
+    assert all(two[k][0] <= one[k][0] + 1e-9 and two[k][1] <= one[k][1] for k in one) and two[(1,)] != one[(1,)]
+    assert scoring.working_set_screen(df, 8.0, 0.1, 12).count() == 1
+
+
+def test_evidence_files(spark, tmp_path):
+    import hashlib
+
+    root = tmp_path / "run"
+    root.mkdir()
+    sums = {}
+    for k in range(2):
+        (root / f"p{k}.json").write_text(json.dumps({"point": k}) + "\n")
+        sums[f"p{k}.json"] = hashlib.sha256((root / f"p{k}.json").read_bytes()).hexdigest()
+    manifest = spark.createDataFrame(list(sums.items()), "path string, sha256 string")
+    assert sorted(r.point for r in tables.saved_points(spark, str(root), manifest).collect()) == [0, 1]
+    (root / "p1.json").write_text("{}")
+    with pytest.raises(ValueError, match="p1.json changed"):
+        tables.saved_points(spark, str(root), manifest)
+    with pytest.raises(ValueError, match="p9 missing"):
+        tables.saved_points(spark, str(root), spark.createDataFrame([("p9", "x")], "path string, sha256 string"))
+    (tmp_path / "points.csv").write_text("point,tau\n0,1\n1,0.5\n")
+    digest = hashlib.sha256((tmp_path / "points.csv").read_bytes()).hexdigest()
+    assert tables.archived_points(spark, str(tmp_path / "points.csv"), digest, 2).count() == 2
+    for wrong in (("x", 2), (digest, 3)):
+        with pytest.raises(ValueError):
+            tables.archived_points(spark, str(tmp_path / "points.csv"), *wrong)
+
+
+def test_sinks(spark, tmp_path):
+    where = str(tmp_path / "a.json")
+    tables.write_json(spark, {"b": 1, "a": [None, 2.5]}, where)
+    assert json.loads(open(where).read()) == {"a": [None, 2.5], "b": 1} and open(where).read().index('"a"') < open(where).read().index('"b"')
+    tables.write_json(spark, {"c": 2}, where)
+    assert json.loads(open(where).read()) == {"c": 2}
+    with pytest.raises(FileExistsError):
+        tables.write_json(spark, {}, where, replace=False)
+    with pytest.raises(ValueError):
+        tables.write_json(spark, {"x": float("nan")}, where)
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    for _ in range(2):
+        assert tables.cached(spark, str(tmp_path / "kept"), {"least": 3, "rows": "abc"}, make).count() == 3
+    tables.cached(spark, str(tmp_path / "kept"), {"least": 4, "rows": "abc"}, make)
+    assert len(made) == 2
+    df = spark.createDataFrame([("a", 1.23456, None)], "m string, x double, y double")
+    assert tables.markdown_rows(df, ["m", "x", "y"])[2] == "| a | 1.2346 | NA |"
+    assert tables.contained("/data/run", "a/../b.json") == "/data/run/b.json"
+    with pytest.raises(ValueError):
+        tables.contained("/data/run", "../other")
+    (tmp_path / "t.tsv").write_text("SeqID\tX\na\t2.5\nb\tNA\n")
+    assert [str(r.X) for r in tables.scan_tsv_lenient(spark, str(tmp_path / "t.tsv"), ["X"]).collect()] == ["2.5", "nan"]
+
+
+def test_split_operators(spark):
+    df = spark.createDataFrame([(2 * g + j, f"invented-{g:03d}") for g in range(31) for j in range(2)], "row int, grp string")
+    whole = splits.prepare_split(df, "grp", 42).collect()
+    test = {r.grp for r in whole if r.role == "test"}
+    assert len(test) == 4 and all(r.fold is None for r in whole if r.role == "test")
+    by = {}
+    for r in whole:
+        if r.role == "train":
+            by.setdefault(r.grp, set()).add(r.fold)
+    assert all(len(f) == 1 for f in by.values()) and sorted(sum(min(f) == k for f in by.values()) for k in range(3)) == [9, 9, 9]
+    back = splits.restore_rows(splits.prepare_split(df, "grp", 42), "row")
+    assert sorted(map(tuple, back.select("row", "grp").collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(Exception, match="repeats"):
+        splits.restore_rows(splits.prepare_split(df.union(df.limit(1)), "grp", 42), "row").collect()
+    sizes = {r.role: r["count"] for r in splits.split_endpoint(df, "row", 1).groupBy("role").count().collect()}
+    assert sizes == {"train": 50, "validation": 6, "test": 6}
+    sparse = spark.createDataFrame([(x,) for x in (5, -3, 10**9, 7, 8)], "row long")
+    assert [(r.row, r.place) for r in splits.ordinal(sparse, "row").orderBy("row").collect()] == [(-3, 0), (5, 1), (7, 2), (8, 3), (10**9, 4)]
+    seen = splits.registered_group_split(df, "grp", 42)
+    unique = sorted({r.grp for r in df.collect()})
+    assert {r.grp for r in seen.filter("role = 'test'").collect()} == {unique[i] for i in np.random.RandomState(42).permutation(31)[:4]}
 
 
 LEFT, RIGHT, FEATURE, THRESHOLD = [1, 2, -1, -1, 5, -1, -1], [4, 3, -1, -1, 6, -1, -1], [0, 1, -2, -2, 1, -2, -2], [0.5, 0.5, -2.0, -2.0, 0.5, -2.0, -2.0]
