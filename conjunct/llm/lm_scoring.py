@@ -24,6 +24,8 @@ BACKOFF, MIN_COUNT = 0.4, 2
 ORDER = 3
 #: Bytes of text of a chunk and of what a partition of the count tables serves.
 CHUNK, PARTITION = 4_000_000, 24_000_000
+#: Bytes of text that a task holds before it sends them.
+HELD = 32_000_000
 #: The key under which each chunk counts its words, so that its total is the corpus's.
 ALL = np.uint64(0)
 
@@ -85,17 +87,44 @@ def from_planes(data: bytes, kind: str) -> np.ndarray:
 
 
 def _pack(batches):
-    """(doc_id, chunk, text) with each text compressed, for texts shuffle and shuffles compress less; its size goes first."""
-    codec = pa.Codec("zstd", 3)
+    """(chunk, ids, sizes, packed): the texts of a task that go to one chunk, compressed together, for texts shuffle and
+    compress the better the more there are."""
+    codec = pa.Codec("zstd", 6)
+    held: dict[int, tuple[list, list[bytes]]] = {}
+    size = 0
+
+    def rows():
+        chunks = sorted(held)
+        data = [b"".join(held[c][1]) for c in chunks]
+        cols = [
+            pa.array(chunks, pa.int32()),
+            pa.array([held[c][0] for c in chunks], pa.list_(pa.int64())),
+            pa.array([[len(x) for x in held[c][1]] for c in chunks], pa.list_(pa.int32())),
+            pa.array([codec.compress(d, asbytes=True) if d else b"" for d in data], pa.binary()),
+        ]
+        held.clear()
+        return pa.RecordBatch.from_arrays(cols, ["chunk", "ids", "sizes", "packed"])
+
     for b in batches:
-        data = [x.encode() for x in b.column("text").to_pylist()]
-        packed = pa.array([len(d).to_bytes(8, "little") + codec.compress(d, asbytes=True) if d else b"" for d in data], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("chunk"), packed], ["doc_id", "chunk", "packed"])
+        for doc, chunk, text in zip(b.column("doc_id").to_pylist(), b.column("chunk").to_pylist(), b.column("text").to_pylist(), strict=True):
+            ids, texts = held.setdefault(chunk, ([], []))
+            ids.append(doc)
+            texts.append(text.encode())
+            size += len(texts[-1])
+        if size > HELD:
+            yield rows()
+            size = 0
+    yield rows()
 
 
 def _texts(t: pa.Table) -> list[bytes]:
-    codec = pa.Codec("zstd", 3)
-    return [codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) if x else b"" for x in t.column("packed").to_pylist()]
+    codec, out = pa.Codec("zstd", 6), []
+    for sizes, packed in zip(t.column("sizes").to_pylist(), t.column("packed").to_pylist(), strict=True):
+        data, at = codec.decompress(packed, sum(sizes), asbytes=True) if packed else b"", 0
+        for n in sizes:
+            out.append(data[at : at + n])
+            at += n
+    return out
 
 
 def scores(grams: list[np.ndarray], total: int, found: list[np.ndarray], backoff: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +148,8 @@ def stupid_backoff(df: DataFrame, backoff: float = BACKOFF, least: int = MIN_COU
     times scores count(n-gram) / count(n-gram without the word), else backoff * its score by the next shorter order; a
     single word scores count(word) / words. log_score sums natural logarithms, per_word is their mean (null without
     words), n_backoff counts the words that backed off. Null and empty texts have 0 words and log_score 0. Repeated rows
-    count and are scored each; null doc_ids are dealt by their text. An empty table gives no rows; other columns of df
-    are ignored.
+    count and are scored each; null doc_ids are documents of their own. Texts of any length are scored whole. An empty table
+    gives no rows; other columns of df, whatever their names, are ignored.
     """
     if order < 1:
         raise ValueError("order must be at least 1")
@@ -128,17 +157,18 @@ def stupid_backoff(df: DataFrame, backoff: float = BACKOFF, least: int = MIN_COU
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     chunks, parts = max(64, -(-size // chunk)), max(64, -(-size // partition))
-    place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    docs = docs.select("doc_id", F.pmod(place, F.lit(chunks)).cast("int").alias("chunk"), "text").mapInArrow(_pack, "doc_id long, chunk int, packed binary")
+    place = F.xxhash64("doc_id", "text")  # rows that share an id or a text don't meet in one chunk for that
+    docs = docs.select("doc_id", F.pmod(place, F.lit(chunks)).cast("int").alias("chunk"), "text").mapInArrow(_pack, "chunk int, ids array<bigint>, sizes array<int>, packed binary")
 
     def runs_of(keys: np.ndarray, counts: np.ndarray, chunk: int, level: int) -> pa.Table:
+        """A row for each partition that some key goes to, so the rows grow with the input, however many partitions there are."""
         at = _cuts(keys, parts)
-        runs = range(parts)
+        runs = np.flatnonzero(np.diff(at)).tolist()
         return pa.table(
             {
-                "level": pa.array([level] * parts, pa.int32()),
-                "part": pa.array(list(runs), pa.int32()),
-                "chunk": pa.array([chunk] * parts, pa.int32()),
+                "level": pa.array([level] * len(runs), pa.int32()),
+                "part": pa.array(runs, pa.int32()),
+                "chunk": pa.array([chunk] * len(runs), pa.int32()),
                 "keys": pa.array([planes(np.diff(keys[at[p] : at[p + 1]], prepend=np.uint64(0))) for p in runs], pa.binary()),
                 "counts": pa.array([planes(counts[at[p] : at[p + 1]].astype("<u4")) for p in runs], pa.binary()),
             }
@@ -179,7 +209,7 @@ def stupid_backoff(df: DataFrame, backoff: float = BACKOFF, least: int = MIN_COU
         sums = np.bincount(doc, weights=logs, minlength=len(texts))
         return pa.table(
             {
-                "doc_id": mine.column("doc_id"),
+                "doc_id": pa.array([i for ids in mine.column("ids").to_pylist() for i in ids], pa.int64()),
                 "n_words": pa.array(n, pa.int64()),
                 "log_score": pa.array(sums, pa.float64()),
                 "per_word": pa.array([s / k if k else None for s, k in zip(sums.tolist(), n.tolist())], pa.float64()),
