@@ -4,9 +4,10 @@ Every k code points in a row give a hash, and of each window of w such hashes th
 ones. Any run of w + k - 1 code points that two texts share thus gives both a common hash. Fingerprints keep the position
 of each chosen hash.
 
-The hash is the cyclic polynomial, a rolling one: the exclusive or of the code points' own hashes, each turned by its
-distance from the gram's end. SQL functions can't carry a hash from one gram to the next; instead a gram's hash is rolled
-together from those of its two halves, which takes log2(k) passes over the text however long grams are.
+The hash is a rolling one: the exclusive or of the code points' own hashes, each shifted by its distance from the gram's
+end. SQL functions can't carry a hash from one gram to the next; instead a gram's hash is rolled together from those of
+its two halves, which takes log2(k) passes over the text however long grams are. The least of a window comes from the
+least of its halves in the same way. No step reads more than two values for each place, so the work is linear in a text.
 """
 
 from __future__ import annotations
@@ -43,10 +44,6 @@ def _first(values: Column, n: Column) -> Column:
     return F.slice(values, F.lit(1), F.greatest(n, F.lit(0)))
 
 
-def _turned(x: Column, by: int) -> Column:
-    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
-
-
 def point_hashes(text: Column) -> Column:
     """A hash of each code point."""
     return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.xxhash64(c))).otherwise(F.expr(_NONE))
@@ -56,14 +53,14 @@ def rolled(points: Column, k: int) -> Column:
     """Hash of each k points in a row; none of fewer."""
     def doubled(step: int):
         """From the hashes of `step` points those of twice as many."""
-        return lambda g: _first(F.zip_with(g, _from(g, step), lambda x, y: _turned(x, step).bitwiseXOR(y)), F.size(g) - step)
+        return lambda g: F.transform(g, lambda x, i: F.shiftleft(x, step).bitwiseXOR(F.get(g, i + step)))
 
     if k & (k - 1):
         raise ValueError("k must be a power of two")
     out, step = points, 1
     while step < k:
         out, step = _let(out, doubled(step)), 2 * step
-    return F.when(F.size(points) >= k, out).otherwise(F.expr(_NONE))
+    return _first(out, F.size(points) - (k - 1))  # the last k - 1 are null
 
 
 def grams(points: Column, k: int) -> Column:
@@ -86,8 +83,15 @@ def places(chosen: Column) -> Column:
 
 def windows(held: Column, w: int) -> Column:
     """The least key of each w in a row; none of fewer."""
-    least = F.transform(F.sequence(F.lit(0), F.greatest(F.size(held) - w, F.lit(0))), lambda i: F.array_min(F.slice(held, i + 1, w)))
-    return F.when(F.size(held) >= w, least).otherwise(F.expr(_NONE))
+
+    def lesser(step: int):
+        return lambda g: F.transform(g, lambda x, i: F.least(x, F.get(g, i + step)))
+
+    out, reach = held, 1
+    while reach < w:  # the last step may overlap
+        step = min(reach, w - reach)
+        out, reach = _let(out, lesser(step)), reach + step
+    return _first(out, F.size(held) - (w - 1))  # the last w - 1 are of fewer
 
 
 def _winnowed(held: Column, w: int) -> Column:
@@ -95,35 +99,57 @@ def _winnowed(held: Column, w: int) -> Column:
     return F.when(F.size(held).between(1, w - 1), F.array(F.array_min(held))).otherwise(windows(held, w))
 
 
-def with_fingerprint(df: DataFrame, text: str, hashes: str, positions: str, k: int = K, w: int = W) -> DataFrame:
-    """df with the chosen hashes and their positions, in two arrays of equal length. Null counts as empty.
+def _chosen(least: Column, hash_at) -> Column:
+    """(hashes, positions) of the keys that winnowing chose."""
+    return _let(places(least), lambda at: F.struct(F.transform(at, hash_at).alias("hashes"), at.alias("positions")))
 
-    df has no columns _points, _grams, _keys and _least, which the result has too, for edited texts to use.
-    """
-    df = _held(df, "_points", point_hashes(utf8(F.col(text))))
-    df = _held(df, "_grams", grams(F.col("_points"), k))
-    df = _held(df, "_keys", keys(F.col("_grams"), F.lit(0)))
-    df = _held(df, "_least", _winnowed(F.col("_keys"), w))
-    df = _held(df, positions, places(F.col("_least")))
-    return _held(df, hashes, F.transform(positions, lambda p: F.get("_grams", p)))
+
+def _parts(text: Column, k: int, w: int, use) -> Column:
+    """use(points, grams, keys, least keys) of a text."""
+
+    def of_points(c: Column) -> Column:
+        def of_grams(g: Column) -> Column:
+            return _let(keys(g, F.lit(0)), lambda h: _let(_winnowed(h, w), lambda m: use(c, g, h, m)))
+
+        return _let(grams(c, k), of_grams)
+
+    return _let(point_hashes(text), of_points)
 
 
-def with_edited(df: DataFrame, tail: str, kept: Column, hashes: str, positions: str, k: int = K, w: int = W) -> DataFrame:
-    """with_fingerprint() of the text's first `kept` code points followed by the text in `tail`.
+def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
+    """(hashes, positions) of a text, in two arrays of equal length. Null counts as empty."""
+    return _parts(utf8(text), k, w, lambda c, g, h, m: _chosen(m, lambda i: F.get(g, i)))
+
+
+def fingerprints_of(text: Column, tail: Column, kept: Column, k: int = K, w: int = W) -> Column:
+    """(own, edited): fingerprint() of a text, and that of its first `kept` code points followed by `tail`.
 
     Grams and windows that lie within the kept part are those of the text itself, so only the others are computed.
     """
-    df = _held(df, "_p", F.greatest(kept.cast("int") - (k - 1), F.lit(0)))  # grams that stay
-    ends = F.concat(F.slice("_points", F.col("_p") + 1, F.greatest(kept.cast("int") - F.col("_p"), F.lit(0))), point_hashes(F.col(tail)))
-    df = _held(df, "_ends", ends).drop("_points")
-    df = _held(df, "_new", F.when(F.col("_p") > 0, rolled(F.col("_ends"), k)).otherwise(grams(F.col("_ends"), k)))
-    df = df.withColumn("_q", F.greatest(F.col("_p") - (w - 1), F.lit(0)))  # windows that stay
-    # the keys from the first window that doesn't stay on
-    df = _held(df, "_rest", F.concat(F.slice("_keys", F.col("_q") + 1, F.col("_p") - F.col("_q")), keys(F.col("_new"), F.col("_p"))))
-    least = F.when(F.col("_q") > 0, F.concat(_first(F.col("_least"), F.col("_q")), windows(F.col("_rest"), w))).otherwise(_winnowed(F.col("_rest"), w))
-    df = _held(df, positions, places(least))
-    at = lambda i: F.when(i < F.col("_p"), F.get("_grams", i)).otherwise(F.get("_new", i - F.col("_p")))
-    return _held(df, hashes, F.transform(positions, at)).drop("_p", "_q", "_ends", "_new", "_rest", "_grams", "_keys", "_least")
+    p = F.greatest(kept - (k - 1), F.lit(0))  # grams that stay
+    q = F.greatest(p - (w - 1), F.lit(0))  # windows that stay
+
+    def use(c: Column, g: Column, h: Column, m: Column) -> Column:
+        def of_ends(e: Column) -> Column:
+            return _let(F.when(p > 0, rolled(e, k)).otherwise(grams(e, k)), of_new)
+
+        def of_new(new: Column) -> Column:
+            # the keys from the first window that doesn't stay on
+            rest = F.concat(F.slice(h, q + 1, p - q), keys(new, p))
+            least = lambda r: F.when(q > 0, F.concat(_first(m, q), windows(r, w))).otherwise(_winnowed(r, w))
+            at = lambda i: F.when(i < p, F.get(g, i)).otherwise(F.get(new, i - p))
+            return _chosen(_let(rest, least), at)
+
+        ends = F.concat(F.slice(c, p + 1, F.greatest(kept - p, F.lit(0))), point_hashes(tail))
+        return F.struct(_chosen(m, lambda i: F.get(g, i)).alias("own"), _let(ends, of_ends).alias("edited"))
+
+    return _parts(text, k, w, use)
+
+
+def with_fingerprint(df: DataFrame, text: str, hashes: str, positions: str, k: int = K, w: int = W) -> DataFrame:
+    """df with the chosen hashes and their positions under these names."""
+    found = _held(df, "_print", fingerprint(F.col(text), k, w))
+    return found.withColumn(hashes, F.col("_print.hashes")).withColumn(positions, F.col("_print.positions")).drop("_print")
 
 
 def as_text(hashes: str, positions: str) -> Column:
@@ -191,11 +217,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text)).alias("text"))
 
     def both(pairs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-        pairs = with_fingerprint(pairs, "text", "_own", "_at", k, w).withColumn("n_chars", F.length("text").cast("long"))
-        pairs = _held(pairs, "_tail", F.expr("substring(coalesce(_next, ''), 1, int(n_chars div 3))"))
-        pairs = _held(pairs, "edited_sha256", F.sha2(F.expr("concat(substring(text, 1, int(n_chars - n_chars div 3)), _tail)"), 256)).drop("text", "_next")
-        pairs = with_edited(pairs, "_tail", F.expr("n_chars - n_chars div 3"), "_edited", "_edited_at", k, w).drop("_tail")
-        return pairs, {"_own": "_theirs"}
+        pairs = pairs.withColumn("n_chars", F.length("text").cast("long")).withColumn("_kept", F.expr("int(n_chars - n_chars div 3)"))
+        pairs = _held(pairs, "_tail", F.expr("substring(coalesce(_next, ''), 1, int(n_chars div 3))")).drop("_next")
+        pairs = pairs.withColumn("edited_sha256", F.sha2(F.expr("concat(substring(text, 1, _kept), _tail)"), 256))
+        pairs = _held(pairs, "_both", fingerprints_of(F.col("text"), F.col("_tail"), F.col("_kept"), k, w)).drop("text", "_tail", "_kept")
+        names = {"_own": "own.hashes", "_at": "own.positions", "_edited": "edited.hashes", "_edited_at": "edited.positions"}
+        return pairs.select("*", *[F.col(f"_both.{c}").alias(n) for n, c in names.items()]).drop("_both"), {"_own": "_theirs"}
 
     rows = with_next(docs, "doc_id", {"text": "_next"}, both)
     return rows.select(

@@ -157,9 +157,9 @@ def test_sharding_of_nulls_and_nothing(spark):
 
 
 def own_hashes(t, k):
-    """Hashes of a text's grams, gram by gram: the cyclic polynomial over xxHash64 (seed 42) of the code points."""
+    """Hashes of a text's grams, gram by gram: xxHash64 (seed 42) of the code points, shifted and joined by exclusive or."""
     point = [xxhash.xxh64_intdigest(c.encode(), 42) for c in t]
-    turn = lambda x, n: (x << n | x >> 64 - n) & (1 << 64) - 1 if n else x
+    turn = lambda x, n: (x << n) & (1 << 64) - 1
     out = []
     for i in range(len(t) - k + 1):
         h = 0
