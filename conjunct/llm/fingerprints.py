@@ -35,11 +35,6 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _from(values: Column, start: Column | int) -> Column:
-    """The values from place `start` (0 is the first) on."""
-    return F.slice(values, F.lit(start) + 1 if isinstance(start, int) else start + 1, F.greatest(F.size(values), F.lit(1)))
-
-
 def _first(values: Column, n: Column) -> Column:
     return F.slice(values, F.lit(1), F.greatest(n, F.lit(0)))
 
@@ -49,30 +44,46 @@ def point_hashes(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.xxhash64(c))).otherwise(F.expr(_NONE))
 
 
-def rolled(points: Column, k: int) -> Column:
-    """Hash of each k points in a row; none of fewer."""
+def _merged(half: Column, i: Column, step: int) -> Column:
+    """Hash of 2 * step points from place i, of the hashes of step points each."""
+    return F.shiftleft(F.get(half, i), step).bitwiseXOR(F.get(half, i + step))
+
+
+def halves(points: Column, k: int) -> Column:
+    """Hash of each k / 2 points in a row; the last places, where there are fewer, are null."""
+
     def doubled(step: int):
-        """From the hashes of `step` points those of twice as many."""
         return lambda g: F.transform(g, lambda x, i: F.shiftleft(x, step).bitwiseXOR(F.get(g, i + step)))
 
-    if k & (k - 1):
+    if k & (k - 1) or k < 2:
         raise ValueError("k must be a power of two")
     out, step = points, 1
-    while step < k:
+    while 2 * step < k:
         out, step = _let(out, doubled(step)), 2 * step
-    return _first(out, F.size(points) - (k - 1))  # the last k - 1 are null
+    return out
 
 
-def grams(points: Column, k: int) -> Column:
-    """rolled(), and the hash of all points where they are fewer than k but some."""
-    whole = F.array(F.xxhash64(points))
-    return F.when(F.size(points).between(1, k - 1), whole).otherwise(rolled(points, k))
+def _key(h: Column, place: Column) -> Column:
+    """A number in the order of hashes, the later place first where hashes are equal."""
+    last = (1 << PLACE) - 1
+    return h.bitwiseAND(F.lit(~last)).bitwiseOR((F.lit(last) - place).cast("long"))
 
 
-def keys(hashes: Column, first: Column) -> Column:
-    """Numbers in the order of hashes, later ones first where hashes are equal; `first` is the place of the first hash."""
-    last = (1 << PLACE) - 1
-    return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~last)).bitwiseOR((F.lit(last) - first - i).cast("long")))
+def keys(points: Column, half: Column, first: Column, k: int) -> Column:
+    """The key of each gram of k points in a row, none of fewer; `first` is the place of the first gram."""
+    found = F.transform(half, lambda x, i: _key(F.shiftleft(x, k // 2).bitwiseXOR(F.get(half, i + k // 2)), first + i))
+    return _first(found, F.size(points) - (k - 1))  # the last k - 1 are null
+
+
+def all_keys(points: Column, half: Column, k: int) -> Column:
+    """keys(), and that of all points where they are fewer than k but some."""
+    whole = F.array(_key(F.xxhash64(points), F.lit(0)))
+    return F.when(F.size(points).between(1, k - 1), whole).otherwise(keys(points, half, F.lit(0), k))
+
+
+def hash_of(points: Column, half: Column, i: Column, k: int) -> Column:
+    """The whole hash of the gram at place i."""
+    return F.when(F.size(points) < k, F.xxhash64(points)).otherwise(_merged(half, i, k // 2))
 
 
 def places(chosen: Column) -> Column:
@@ -105,20 +116,20 @@ def _chosen(least: Column, hash_at) -> Column:
 
 
 def _parts(text: Column, k: int, w: int, use) -> Column:
-    """use(points, grams, keys, least keys) of a text."""
+    """use(points, hashes of half grams, keys, least keys) of a text."""
 
     def of_points(c: Column) -> Column:
-        def of_grams(g: Column) -> Column:
-            return _let(keys(g, F.lit(0)), lambda h: _let(_winnowed(h, w), lambda m: use(c, g, h, m)))
+        def of_halves(g: Column) -> Column:
+            return _let(all_keys(c, g, k), lambda h: _let(_winnowed(h, w), lambda m: use(c, g, h, m)))
 
-        return _let(grams(c, k), of_grams)
+        return _let(halves(c, k), of_halves)
 
     return _let(point_hashes(text), of_points)
 
 
 def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
     """(hashes, positions) of a text, in two arrays of equal length. Null counts as empty."""
-    return _parts(utf8(text), k, w, lambda c, g, h, m: _chosen(m, lambda i: F.get(g, i)))
+    return _parts(utf8(text), k, w, lambda c, g, h, m: _chosen(m, lambda i: hash_of(c, g, i, k)))
 
 
 def fingerprints_of(text: Column, tail: Column, kept: Column, k: int = K, w: int = W) -> Column:
@@ -131,17 +142,17 @@ def fingerprints_of(text: Column, tail: Column, kept: Column, k: int = K, w: int
 
     def use(c: Column, g: Column, h: Column, m: Column) -> Column:
         def of_ends(e: Column) -> Column:
-            return _let(F.when(p > 0, rolled(e, k)).otherwise(grams(e, k)), of_new)
+            def of_halves(half: Column) -> Column:
+                new = F.when(p > 0, keys(e, half, p, k)).otherwise(all_keys(e, half, k))
+                rest = F.concat(F.slice(h, q + 1, p - q), new)  # from the first window that doesn't stay on
+                least = lambda r: F.when(q > 0, F.concat(_first(m, q), windows(r, w))).otherwise(_winnowed(r, w))
+                at = lambda i: F.when(i < p, hash_of(c, g, i, k)).otherwise(hash_of(e, half, i - p, k))
+                return _chosen(_let(rest, least), at)
 
-        def of_new(new: Column) -> Column:
-            # the keys from the first window that doesn't stay on
-            rest = F.concat(F.slice(h, q + 1, p - q), keys(new, p))
-            least = lambda r: F.when(q > 0, F.concat(_first(m, q), windows(r, w))).otherwise(_winnowed(r, w))
-            at = lambda i: F.when(i < p, F.get(g, i)).otherwise(F.get(new, i - p))
-            return _chosen(_let(rest, least), at)
+            return _let(halves(e, k), of_halves)
 
         ends = F.concat(F.slice(c, p + 1, F.greatest(kept - p, F.lit(0))), point_hashes(tail))
-        return F.struct(_chosen(m, lambda i: F.get(g, i)).alias("own"), _let(ends, of_ends).alias("edited"))
+        return F.struct(_chosen(m, lambda i: hash_of(c, g, i, k)).alias("own"), _let(ends, of_ends).alias("edited"))
 
     return _parts(text, k, w, use)
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from conjunct.llm import exact_dedup, fingerprints, sharding
 
@@ -62,16 +63,17 @@ def test_filter_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan.split("== Physical Plan ==")[-1])
 
 
-@pytest.mark.parametrize("name", ["_key", "_maybe", "_word0", "_word", "_slot", "bits", "_id", "_sha", "row", "kept", "text_sha256", "a.b"])
-def test_clashing_names(spark, name):
+def test_clashing_names(spark):
     rows = corpus(60)
-    df = spark.createDataFrame([(i, t, "mine") for i, t in rows], f"doc_id long, text string, `{name}` string")
+    names = ["_key", "_maybe", "_word0", "_word", "_slot", "bits", "_id", "_sha", "row", "kept", "text_sha256", "a.b"]
+    df = frame(spark, rows).withColumns({n: F.lit(f"mine {n}") for n in names})
     best = {}
     for i, t in rows:
         best[normal(t)] = min(i, best.get(normal(t), i))
     got = exact_dedup.drop_copies(df).collect()
-    assert sorted(r.doc_id for r in got) == sorted(best.values()) and all(r[name] == "mine" for r in got)
+    assert sorted(r.doc_id for r in got) == sorted(best.values()) and all(r[n] == f"mine {n}" for r in got for n in names)
     assert sum(r.kept for r in exact_dedup.exact_groups(df).collect()) == len(best)
+    assert len(fingerprints.fingerprints(df).collect()) == len(sharding.shard_rows(df).collect()) == len(rows)
 
 
 @pytest.mark.parametrize("most", [0, 1 << 20])

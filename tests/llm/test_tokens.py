@@ -212,9 +212,9 @@ def test_open_windows(most):
 
 
 def test_clashing_names(spark):
-    for name in ("row", "text_", "n_tokens", "ids", "spanned_bytes", "a.b", "unit"):
-        df = spark.createDataFrame([(1, "some text", "mine")], f"doc_id long, text string, `{name}` string")
-        a = token_counts.token_counts(df, "text", public_tokenizers.path("byte_bpe_50k.json")).first()
-        b = pieces.encode_digests(df, "text", public_tokenizers.path("piece_bpe_32k.model")).first()
-        assert a.n_tokens == 2 and b.doc_id == 1 and (name == "n_tokens" or a[name] == "mine") and (name in ("n_tokens", "spanned_bytes") or b[name] == "mine")
-        assert packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).count() == 1
+    names = ["row", "text_", "ids", "a.b", "unit", "start", "length"]
+    df = spark.createDataFrame([(1, "some text")], "doc_id long, text string").withColumns({n: F.lit("mine") for n in [*names, "n_tokens", "spanned_bytes"]})
+    a = token_counts.token_counts(df, "text", public_tokenizers.path("byte_bpe_50k.json")).first()
+    b = pieces.encode_digests(df, "text", public_tokenizers.path("piece_bpe_32k.model")).first()
+    assert a.n_tokens == 2 and b.n_tokens > 2 and b.spanned_bytes == 9 and all(r[n] == "mine" for r in (a, b) for n in names)
+    assert packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).count() == 1
