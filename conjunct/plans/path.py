@@ -270,5 +270,5 @@ def package(point: Point) -> dict:
 
 def as_frame(spark: SparkSession, points: list[Point]) -> DataFrame:
     """One row a point."""
-    rows = [(k, p.tau, p.lam, p.b, sum(v != 0 for v in p.w.values()), p.objective, p.gap, p.kkt, p.rounds, p.converged, p.excluded) for k, p in enumerate(points)]
+    rows = [(k, float(p.tau), float(p.lam), float(p.b), sum(v != 0 for v in p.w.values()), float(p.objective), float(p.gap), float(p.kkt), p.rounds, bool(p.converged), int(p.excluded)) for k, p in enumerate(points)]
     return spark.createDataFrame(rows, "point int, tau double, lam double, b double, active int, objective double, gap double, kkt double, rounds int, converged boolean, excluded long")
