@@ -4,8 +4,8 @@ Every k code points in a row give a hash, and of each window of w such hashes th
 ones. Any run of w + k - 1 code points that two texts share thus gives both a common hash. Fingerprints keep the position
 of each chosen hash.
 
-The hash is a rolling one: the exclusive or of the code points' own hashes, each shifted by its distance from the gram's
-end. SQL functions can't carry a hash from one gram to the next; instead a gram's hash is rolled together from those of
+The hash is a rolling one: the exclusive or of the hashes of the gram's code points, two at a time, each pair's shifted by
+its distance from the gram's end. SQL functions can't carry a hash from one gram to the next; instead a gram's hash is rolled together from those of
 its two halves, which takes log2(k) passes over the text however long grams are. The least of a window comes from the
 least of its halves in the same way. No step reads more than two values for each place, so the work is linear in a text.
 """
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from conjunct.llm.shared import utf8
 
 #: Code points of a gram (a power of two), grams of a window.
-K, W = 16, 32
+K, W = 8, 32
 #: Low bits of a key that hold the position: more than an array can have. The high bits are the hash's own.
 PLACE = 28
 _NONE = "cast(array() as array<bigint>)"
@@ -39,9 +39,9 @@ def _first(values: Column, n: Column) -> Column:
     return F.slice(values, F.lit(1), F.greatest(n, F.lit(0)))
 
 
-def point_hashes(text: Column) -> Column:
-    """A hash of each code point."""
-    return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.xxhash64(c))).otherwise(F.expr(_NONE))
+def points_of(text: Column) -> Column:
+    """A text's code points, each a text."""
+    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def _merged(half: Column, i: Column, step: int) -> Column:
@@ -50,14 +50,14 @@ def _merged(half: Column, i: Column, step: int) -> Column:
 
 
 def halves(points: Column, k: int) -> Column:
-    """Hash of each k / 2 points in a row; the last places, where there are fewer, are null."""
+    """Hash of each k / 2 points in a row; the last places, where there are fewer, mean nothing."""
 
     def doubled(step: int):
         return lambda g: F.transform(g, lambda x, i: F.shiftleft(x, step).bitwiseXOR(F.get(g, i + step)))
 
-    if k & (k - 1) or k < 2:
-        raise ValueError("k must be a power of two")
-    out, step = points, 1
+    if k & (k - 1) or k < 4:
+        raise ValueError("k must be a power of two, 4 at least")
+    out, step = F.transform(points, lambda x, i: F.xxhash64(x, F.get(points, i + 1))), 2
     while 2 * step < k:
         out, step = _let(out, doubled(step)), 2 * step
     return out
@@ -72,7 +72,7 @@ def _key(h: Column, place: Column) -> Column:
 def keys(points: Column, half: Column, first: Column, k: int) -> Column:
     """The key of each gram of k points in a row, none of fewer; `first` is the place of the first gram."""
     found = F.transform(half, lambda x, i: _key(F.shiftleft(x, k // 2).bitwiseXOR(F.get(half, i + k // 2)), first + i))
-    return _first(found, F.size(points) - (k - 1))  # the last k - 1 are null
+    return _first(found, F.size(points) - (k - 1))
 
 
 def all_keys(points: Column, half: Column, k: int) -> Column:
@@ -124,7 +124,7 @@ def _parts(text: Column, k: int, w: int, use) -> Column:
 
         return _let(halves(c, k), of_halves)
 
-    return _let(point_hashes(text), of_points)
+    return _let(points_of(text), of_points)
 
 
 def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
@@ -151,7 +151,7 @@ def fingerprints_of(text: Column, tail: Column, kept: Column, k: int = K, w: int
 
             return _let(halves(e, k), of_halves)
 
-        ends = F.concat(F.slice(c, p + 1, F.greatest(kept - p, F.lit(0))), point_hashes(tail))
+        ends = F.concat(F.slice(c, p + 1, F.greatest(kept - p, F.lit(0))), points_of(tail))
         return F.struct(_chosen(m, lambda i: hash_of(c, g, i, k)).alias("own"), _let(ends, of_ends).alias("edited"))
 
     return _parts(text, k, w, use)

@@ -159,14 +159,14 @@ def test_sharding_of_nulls_and_nothing(spark):
 
 
 def own_hashes(t, k):
-    """Hashes of a text's grams, gram by gram: xxHash64 (seed 42) of the code points, shifted and joined by exclusive or."""
-    point = [xxhash.xxh64_intdigest(c.encode(), 42) for c in t]
-    turn = lambda x, n: (x << n) & (1 << 64) - 1
+    """Hashes of a text's grams, pair by pair: xxHash64 of two code points (the first's hash seeds the second's, 42 the
+    first's), shifted and joined by exclusive or."""
+    pair = [xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42)) for a, b in zip(t, t[1:])]
     out = []
     for i in range(len(t) - k + 1):
         h = 0
-        for j in range(k):
-            h ^= turn(point[i + j], k - 1 - j)
+        for j in range(0, k, 2):
+            h ^= (pair[i + j] << k - 2 - j) & (1 << 64) - 1
         out.append(h)
     return out
 
