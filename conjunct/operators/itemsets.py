@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from conjunct.plans.store import written
+
 
 def min_support(n: int, share: float = 0.015, least: int = 3) -> int:
     return max(least, -(-int(round(share * n * 1_000_000)) // 1_000_000))
@@ -66,7 +68,7 @@ def grown(rows: DataFrame, kept: list[tuple[DataFrame, bool]]) -> DataFrame:
     return level.drop("items", "_at")
 
 
-def levels(rows: DataFrame, least: int, longest: int, aggs: list[Column] = (), write=None) -> list[DataFrame]:
+def levels(rows: DataFrame, least: int, longest: int, aggs: list[Column] = (), write=written) -> list[DataFrame]:
     """For each length up to `longest` the frequent itemsets of rows(items, ...): (itemset, s, and the aggregates).
 
     Supports and aggregates of a level come from one aggregation, and all that shuffles are a task's partial sums. write
@@ -75,7 +77,7 @@ def levels(rows: DataFrame, least: int, longest: int, aggs: list[Column] = (), w
     out, kept = [], []
     for k in range(1, longest + 1):
         level = grown(rows, kept).groupBy("itemset").agg(F.count(F.lit(1)).alias("s"), *aggs).filter(F.col("s") >= least)
-        level = write(level, f"level{k}") if write else level.persist()
+        level = write(level, f"level{k}")
         out.append(level)
         if not (n := level.count()):
             break
@@ -123,7 +125,7 @@ def reduce_union(parts: list[DataFrame]) -> DataFrame:
 def pattern_tids(item_tid: DataFrame, least: int, max_len: int) -> DataFrame:
     """(itemset, tid) of every frequent itemset of at most max_len items, level by level."""
     rows, names = encoded(item_tid, least)
-    rows = rows.persist()
+    rows = written(rows, "rows")
     found = levels(rows, least, max_len)
     kept = [(x, True) for x in found]
     parts = [grown(rows, kept[:k]).join(F.broadcast(x.select("itemset")), "itemset", "left_semi").select("itemset", "tid") for k, x in enumerate(found)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conjunct.operators import itemsets
+from conjunct.plans.store import written
 
 
 def tree_paths(nodes: DataFrame, max_depth: int = 30) -> DataFrame:
@@ -27,7 +28,8 @@ def tree_paths(nodes: DataFrame, max_depth: int = 30) -> DataFrame:
             F.struct(F.col("left").alias("at"), F.col("positive"), F.when(tests, minus).otherwise(F.col("negative")).alias("negative"), ((F.col("threshold") >= 0) & ~F.isnan("threshold")).alias("open")),
             F.struct(F.col("right").alias("at"), F.when(tests, plus).otherwise(F.col("positive")).alias("positive"), F.col("negative"), (F.col("threshold") < 1).alias("open")),
         )
-        level = held.select("tree", F.explode(sides).alias("s")).select("tree", "s.*").filter(F.col("open") & ~F.arrays_overlap("positive", "negative")).drop("open").persist()
+        level = held.select("tree", F.explode(sides).alias("s")).select("tree", "s.*").filter(F.col("open") & ~F.arrays_overlap("positive", "negative")).drop("open")
+        level = written(level, "paths")
         if level.isEmpty():
             break
         out = level if out is None else out.unionByName(level)
