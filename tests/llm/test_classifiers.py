@@ -164,10 +164,10 @@ def test_long_words_and_texts():
     word = "undhausthewith" * 3000
     bare = language.grams(language.letters(word))
     assert model.evidence(word)[0] == pytest.approx(model.logs[bare].mean(axis=0)) and model.evidence(word)[1] == 1
-    words = ["haus", "the", "und" * 200, "."] * 100_000
+    words = ["haus", "the", "und" * 200, "."] * 2000
     got, n = model.evidence(" ".join(words))
-    assert n == 300_000 and got == pytest.approx(sum(model.evidence(w)[0] for w in words[:4]) * 100_000, rel=1e-4)
-    assert list("".join(language.runs("ab cd  ef", 3))) == list("abcd ef") and list(language.runs("", 3)) == [""]
+    assert n == 6000 and got == pytest.approx(sum(model.evidence(w)[0] for w in words[:4]) * 2000, rel=1e-4)
+    assert list(language.runs("ab cd  ef", 3)) == ["ab cd", " ef"] and list(language.runs("", 3)) == [""]
 
 
 NAMES = ["_host", "_declared", "_words", "_place", "_suffix", "_domain", "_text_logs", "_best", "_prior", "_rows", "_logs", "_d", "_s", "row", "text_", "TEXT2", "a.b"]
