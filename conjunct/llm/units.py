@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import re
 
-#: Entries of a worker's cache; about 100 MB at most.
-CACHE_ENTRIES = 600_000
+#: Entries of a worker's cache; about 80 MB at most.
+CACHE_ENTRIES = 400_000
 #: Longer units are encoded each time they occur, so that a cache entry stays small.
 CACHED_LENGTH = 96
 
