@@ -20,9 +20,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts count as empty and go; null ids stay; rows that repeat are judged each; texts are read whole, whatever their
     length; an empty table stays empty; further columns of docs stay, whatever their names.
     """
-    rows = boxed(docs, None, text=F.col("text"), lang=F.col("lang"), source=F.col("source"))
-    found = language.identify_documents(rows, language.train(docs), carry=["row"])
-    return found.filter(~F.col("lang_rejected")).select(*unboxed(docs.columns))
+    held = (utf8(F.col("text")), F.col("lang"), F.col("source"))  # all that a decision depends on
+    key = {"one": F.xxhash64(F.lit(1), *held), "two": F.xxhash64(F.lit(2), *held)}
+    rows = docs.select("text", "lang", "source", *[c.alias(n) for n, c in key.items()])
+    found = language.identify_documents(rows, language.train(docs), carry=list(key))
+    rejected = materialize(found.filter("lang_rejected").select(*key).distinct(), "rejected")
+    return exact_dedup.without(docs, key, rejected)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
