@@ -1,31 +1,42 @@
 """Regularisation paths over a whole pattern dictionary.
 
-The dictionary is enumerated once; each pattern's rows are written as lists of row numbers, cut by ranges of rows, and stay
-in Spark. A round is one job: the dual vector is broadcast, a pattern's sums are taken in its own task, and the patterns
-above lambda come back. The driver holds the vectors over transactions and the working set, as the solver needs them. A
-point counts as solved when the duality gap, taken over the unscreened dictionary, certifies it.
+The dictionary is enumerated once; each pattern's rows are written as lists of row numbers, in blocks of rows, and stay in
+Spark. Nothing with an entry a row reaches the driver: a solver's step and a dual value are sums over the blocks, each of
+which makes its part of the dual vector from the coefficients, and the driver holds the dictionary's itemsets and what has
+the size of the working set. Lists of at most HELD entries are held by the driver all the same, to save the jobs. A point
+counts as solved when the duality gap, taken over the unscreened dictionary, certifies it.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
 from conjunct.operators import itemsets, scoring
-from conjunct.plans import solver, splits
+from conjunct.plans import blocks, solver, splits
+from conjunct.plans.blocks import Dual
 from conjunct.plans.store import written
 from conjunct.session import ship
 
-#: Rows of a list; a pattern with more has several, in tasks of their own.
-BLOCK = 1 << 20
+#: Rows of a block at most.
+BLOCK = 1 << 15
+#: Entries of a block's lists on average, and flags of its items, at most: blocks have fewer rows where rows hold many patterns.
+CELLS = 1 << 20
+ITEMS = 1 << 24
+#: Entries of all lists that the driver holds at most (32 MB); beyond, every sum is a job.
+HELD = 1 << 23
+#: Numbers in partial sums that come to the driver as they are; more are first added up in tasks.
+PARTIAL = 1 << 23
 
 
 @dataclass
@@ -55,7 +66,7 @@ class Point:
     rounds: int
     converged: bool
     excluded: int = 0
-    alpha: np.ndarray | None = field(default=None, repr=False)  # a feasible dual vector, scaled to the best value
+    alpha: Dual | None = field(default=None, repr=False)  # a feasible dual vector, scaled to the best value
 
 
 class Dictionary:
@@ -64,55 +75,121 @@ class Dictionary:
     def __init__(self, item_tid: DataFrame, response: DataFrame, least: int, max_len: int, space: str = "closed"):
         self.spark: SparkSession = item_tid.sparkSession
         ship(self.spark)
-        placed = written(splits.ordinal(response.select("tid", "y"), "tid"), "placed")
-        held = placed.select("place", "tid", "y").toArrow().sort_by("place")  # the response is the driver's by definition of the solver
-        self.tids, self.y = held["tid"].to_numpy(), held["y"].to_numpy().astype(float)
-        self.n = len(self.y)
+        placed = written(splits.ordinal(response.select("tid", F.col("y").cast("double").alias("y")), "tid"), "placed")
         found, self.names = itemsets.encoded(item_tid, least)
-        rows = written(found.join(placed.select("tid", "place"), "tid").select("items", F.col("place").cast("int").alias("place")), "rows")
-        levels = itemsets.levels(rows, least, max_len + (space == "closed"), [], written)
+        rows = written(placed.join(found, "tid", "left").select("place", "y", "items"), "rows")
+        r = rows.agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("least")).first()
+        self.n, self.least = r["n"], r["least"] if r["n"] else 0.0
+        levels = itemsets.levels(rows.select("items"), least, max_len + (space == "closed"), [], written)
         kept = itemsets.closed_of(levels, max_len) if space == "closed" else itemsets.reduce_union(levels[:max_len])
-        kept = written(kept.select("itemset"), "kept")
-        self.size = kept.count()
-        parts = []
-        for k, _ in enumerate(levels[:max_len]):
-            level = itemsets.grown(rows, [(x, True) for x in levels[:k]])
-            parts.append(level.join(F.broadcast(kept.filter(F.size("itemset") == k + 1)), "itemset", "left_semi"))
-        block = F.expr(f"place div {BLOCK}").alias("block")
-        lists = itemsets.reduce_union(parts).groupBy("itemset", block).agg(F.collect_list("place").alias("rows"))
+        kept = kept.select("itemset", "s").toArrow()  # their number follows the shape of rows, not how many there are
+        self.patterns = sorted(tuple(p) for p in kept["itemset"].to_pylist())
+        self.size, self.at = len(self.patterns), {p: k for k, p in enumerate(self.patterns)}
+        entries = sum(kept["s"].to_pylist())
+        width = max(1, min(BLOCK, self.n * CELLS // max(entries, 1), ITEMS // max(len(self.names), 1)))
+        patterns = self.shared = self.spark.sparkContext.broadcast(self.patterns)
+
+        def make(key, table):
+            table = table.sort_by("place").combine_chunks()
+            items, start = table["items"].combine_chunks(), int(key[0].as_py()) * width
+            lengths = items.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            return pa.Table.from_batches([blocks.block_of(key[0].as_py(), start, table["y"].to_numpy(), lengths, items.flatten().to_numpy(), patterns.value)])
+
+        block = F.expr(f"place div {width}").alias("block")
+        lists = rows.select(block, "place", "y", "items").groupBy("block").applyInArrow(make, blocks.SCHEMA)
         self.lists = written(lists, "lists")
-        self.whole = self.n <= BLOCK
+        totals = self.lists.select("block", "total").toArrow().sort_by("block")["total"].to_pylist()
+        self.total, self.cuts, self.whole = math.fsum(totals), len(totals), len(totals) <= 1
+        self.mean = self.total / self.n if self.n else math.nan
+        self.held = list(blocks.blocks(self.lists.orderBy("block").toArrow().to_batches())) if max(entries, self.n) <= HELD else None
+
+    @property
+    def y(self) -> np.ndarray:
+        """The response by place, one entry a row: no part of a path needs it."""
+        held = self.lists.select("start", "y").toArrow().sort_by("start")
+        return np.frombuffer(b"".join(held["y"].to_pylist()), "<f8")
+
+    def summed(self, part, merge) -> list[np.ndarray]:
+        """merge() of part(block) over all blocks; a part is a list of arrays."""
+        if self.held is not None:
+            got = None
+            for b in self.held:
+                got = merge(got, part(b))
+            return got
+
+        def packed(k: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([[a.astype("<f8").tobytes() for a in arrays]], pa.list_(pa.binary()))], ["part", "arrays"])
+
+        def unpacked(table) -> list[list[np.ndarray]]:
+            return [[np.frombuffer(a, "<f8") for a in arrays] for arrays in table.sort_by("part")["arrays"].to_pylist()]
 
-    def scored(self, **vectors: np.ndarray) -> DataFrame:
+        def run(batches):
+            got = None
+            for b in blocks.blocks(batches):
+                got = merge(got, part(b))
+            if got is not None:
+                yield packed(TaskContext.get().partitionId(), got)
+
+        def more(key, table):
+            return pa.Table.from_batches([packed(key[0].as_py(), functools.reduce(merge, unpacked(table), None))])
+
+        schema = "part long, arrays array<binary>"
+        parts = self.lists.mapInArrow(run, schema)
+        if self.cuts * part.size > PARTIAL:
+            parts = parts.groupBy(F.expr("part div 8").alias("group")).applyInArrow(more, schema)
+        return functools.reduce(merge, unpacked(parts.toArrow()), None)
+
+    def moments(self, patterns: list[tuple]):
+        """w -> solver.Moments for a working set."""
+        numbers = np.array([self.at[p] for p in patterns], np.int64)
+
+        def at(w: np.ndarray) -> solver.Moments:
+            (top, e), mean, xy, gram = self.summed(_Part(blocks.moments, numbers, w, size=len(w) ** 2), blocks.merged)
+            b, f = math.log(self.total) - top - math.log(e), self.total / e
+            return solver.Moments(b, self.total - b * self.total - float(w @ xy), f * mean, xy, f * gram.reshape(len(w), len(w)))
+
+        return at
+
+    def dual(self, b: float, patterns: list[tuple], w: np.ndarray) -> Dual:
+        numbers = np.array([self.at[p] for p in patterns], np.int64)
+        return Dual(b, numbers[w != 0], w[w != 0])
+
+    def entropies(self, dual: Dual, scales: list[float]) -> list[np.ndarray]:
+        """For each scale the sum of t log t - t and the largest t, t = y - scale (y - mu)."""
+        return self.summed(_Part(blocks.entropies, dual, scales), blocks.merged_entropies)
+
+    def scored(self, **vectors: Dual | np.ndarray) -> DataFrame:
         """(itemset, s, sums of each vector and of its positive and negative parts) over the whole dictionary."""
-        shared = self.spark.sparkContext.broadcast({v: np.asarray(x, float) for v, x in vectors.items()})
-        names = [f"{v}{part}" for v in vectors for part in ("", "_pos", "_neg")]
+        shared = self.spark.sparkContext.broadcast({v: x if isinstance(x, Dual) else np.asarray(x, float) for v, x in vectors.items()})
+        names, patterns = [f"{v}{part}" for v in vectors for part in ("", "_pos", "_neg")], self.shared
 
         def run(batches):
-            held = shared.value
-            for b in batches:
-                lists = b.column(1)
-                flat, starts = lists.flatten().to_numpy(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-                out = [pa.array(np.diff(lists.offsets.to_numpy()), pa.int64())]
-                for x in held.values():
-                    own = x[flat]
-                    out += [pa.array(np.add.reduceat(y, starts) if len(starts) else y[:0], pa.float64()) for y in (own, np.maximum(own, 0), np.maximum(-own, 0))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *out], ["itemset", "s", *names])
-
-        schema = self.lists.select("itemset").schema.add("s", LongType())
+            held = patterns.value
+            for b in blocks.blocks(batches):
+                if not len(b.numbers):
+                    continue
+                starts = np.concatenate([[0], b.ends[:-1]])
+                out = [pa.array([held[k] for k in b.numbers.tolist()], pa.list_(pa.int32())), pa.array(b.ends - starts, pa.int64())]
+                for x in shared.value.values():
+                    own = b.alpha(x)[b.rows]
+                    out += [pa.array(np.add.reduceat(y, starts), pa.float64()) for y in (own, np.maximum(own, 0), np.maximum(-own, 0))]
+                yield pa.RecordBatch.from_arrays(out, ["itemset", "s", *names])
+
+        schema = StructType().add("itemset", ArrayType(IntegerType())).add("s", LongType())
         for c in names:
             schema = schema.add(c, DoubleType())
-        found = self.lists.select("itemset", "rows").mapInArrow(run, schema)
+        found = self.lists.mapInArrow(run, schema)
         return found if self.whole else found.groupBy("itemset").agg(*[F.sum(c).alias(c) for c in ("s", *names)])
 
-    def above(self, lam: float, **vectors: np.ndarray) -> tuple[list[tuple], dict[str, np.ndarray]]:
+    def above(self, lam: float, **vectors: Dual | np.ndarray) -> tuple[list[tuple], dict[str, np.ndarray]]:
         """Patterns that some vector's correlation with exceeds lam, and these correlations."""
         over = F.greatest(*[F.abs(v) for v in vectors], F.lit(0.0)) > lam
         got = self.scored(**vectors).filter(over).select("itemset", *vectors).toArrow()
         return [tuple(p) for p in got["itemset"].to_pylist()], {v: got[v].to_numpy() for v in vectors}
 
     def lambda_max(self) -> tuple[float, tuple | None]:
-        best = self.scored(alpha=self.y - self.y.mean()).select(F.abs("alpha").alias("c"), "itemset").orderBy(F.desc(F.round("c", 9)), "itemset").first()
+        start = Dual(math.log(self.mean) if self.mean > 0 else -math.inf)
+        best = self.scored(alpha=start).select(F.abs("alpha").alias("c"), "itemset").orderBy(F.desc(F.round("c", 9)), "itemset").first()
         return (float(best["c"]), self.named([tuple(best["itemset"])])[0]) if best else (0.0, None)
 
     def named(self, patterns: list[tuple]) -> list[tuple]:
@@ -122,16 +199,15 @@ class Dictionary:
         at = {x: i for i, x in enumerate(self.names)}
         return [tuple(at[x] for x in p) for p in patterns]
 
-    def matrix(self, patterns: list[tuple]) -> np.ndarray:
-        """The 0/1 columns of a working set (patterns of item numbers), in order."""
-        x = np.zeros((self.n, len(patterns)))
-        if patterns:
-            at = {p: j for j, p in enumerate(patterns)}
-            wanted = self.spark.createDataFrame([(list(p),) for p in patterns], self.lists.select("itemset").schema)
-            got = self.lists.join(F.broadcast(wanted), "itemset", "left_semi").select("itemset", "rows").toArrow()  # of the working set only
-            for p, rows in zip(got["itemset"].to_pylist(), got["rows"], strict=True):
-                x[rows.values.to_numpy(), at[tuple(p)]] = 1
-        return x
+
+class _Part:
+    """A sum's part of one block: f(block, *given). size: entries of the largest array that comes of it."""
+
+    def __init__(self, f, *given, size: int = 1):
+        self.f, self.given, self.size = f, given, size
+
+    def __call__(self, b: blocks.Block) -> list[np.ndarray]:
+        return self.f(b, *self.given)
 
 
 def fingerprint(y: np.ndarray, config: Config) -> str:
@@ -140,34 +216,33 @@ def fingerprint(y: np.ndarray, config: Config) -> str:
 
 def fit_point(d: Dictionary, lam: float, config: Config, lambda_max: float, warm: Point | None = None, tau: float | None = None) -> Point:
     tau = lam / lambda_max if tau is None and lambda_max else tau or 1.0
-    n, y = d.n, d.y
+    n = d.n
     if warm is None and lam >= lambda_max:
-        mu = np.full(n, y.mean())
-        b = math.log(y.mean())
-        return Point(tau, lam, b, {}, solver.objective(y, np.full(n, b), np.zeros(0), lam, config.kappa), 0.0, 0.0, 0, True, d.size, y - mu)
+        b = math.log(d.mean)
+        return Point(tau, lam, b, {}, d.total - b * d.total if d.n else 0.0, 0.0, 0.0, 0, True, d.size, Dual(b))
+    solver.positive(d.total, d.least)
     have: list[tuple] = d.numbered([p for p, v in warm.w.items() if v]) if warm else []
     start = np.array([v for v in warm.w.values() if v]) if warm else np.zeros(0)
-    x = d.matrix(have)
     best = (-math.inf, None)
     for k in range(1, config.max_rounds + 1):
-        fit = solver.solve(x, y, lam, config.kappa, start, tol=config.solver_tol / 100)
-        alpha = solver.feasible(y, fit.mu)
-        patterns, c = d.above(lam * (1 + 1e-12), alpha=alpha)
-        s, value = solver.best_scale(y, alpha, c["alpha"], lam, config.kappa)
+        w, m, primal, kkt = solver.newton(d.moments(have), d.total, n, start, lam, config.kappa, tol=config.solver_tol / 100)
+        dual = d.dual(m.b, have, w)
+        patterns, c = d.above(lam * (1 + 1e-12), alpha=dual)
+        enough = primal - config.gap_tol * n / 100
+        s, value = solver.scaled_dual(lambda scales: d.entropies(dual, scales)[0], c["alpha"], lam, config.kappa, enough)  # noqa: B023  called at once
         best = max(best, (value, k), key=lambda p: p[0])
         if best[1] == k:
-            reference = s * alpha
-        gap = max(0.0, fit.value - best[0])
-        done = gap / n <= config.gap_tol and fit.kkt <= config.solver_tol
+            reference = replace(dual, scale=s)
+        gap = max(0.0, primal - best[0])
+        done = gap / n <= config.gap_tol and kkt <= config.solver_tol
         known = set(have)
         order = sorted((-round(abs(v), 9), p) for p, v in zip(patterns, c["alpha"].tolist(), strict=True) if p not in known)
         fresh = [] if done else [p for _, p in order[: config.top_k]]
         if done or not fresh:
             break
         have += fresh
-        start = np.concatenate([fit.w, np.zeros(len(fresh))])
-        x = np.column_stack([x, d.matrix(fresh)])
-    point = Point(tau, lam, fit.b, dict(zip(d.named(have), fit.w.tolist(), strict=True)), fit.value, gap, fit.kkt, k, done, 0, reference)
+        start = np.concatenate([w, np.zeros(len(fresh))])
+    point = Point(tau, lam, m.b, dict(zip(d.named(have), w.tolist(), strict=True)), primal, gap, kkt, k, done, 0, reference)
     if config.screen:
         point.excluded = d.size - arms(d, point, warm, config, ["vu_two" if warm is not None else "vu_single"])[0][1]
     return point
@@ -186,15 +261,16 @@ def arms(d: Dictionary, point: Point, previous: Point | None, config: Config, na
     _, c = d.above(point.lam, **vectors)
     refs = {}
     for v, a in vectors.items():
-        value = solver.dual(d.y, a, float((np.maximum(np.abs(c[v]) - point.lam, 0) ** 2).sum() / (2 * config.kappa)))
-        refs[v] = solver.radius(d.y, a, max(0.0, point.objective - value))
+        (total,), (most,) = d.entropies(a, [a.scale])
+        value = -float(total) - float((np.maximum(np.abs(c[v]) - point.lam, 0) ** 2).sum() / (2 * config.kappa))
+        refs[v] = solver.radius_of(d.total, float(most), max(0.0, point.objective - value))
     scored = d.scored(**vectors)
     out = []
     for name in names:
         mode, balls = ARMS[name]
         second = None
         if balls == 2 and "before" in refs and math.isfinite(refs["before"]):
-            second = ("before", refs["before"], float(((vectors["alpha"] - vectors["before"]) ** 2).sum()))
+            second = ("before", refs["before"], float(d.summed(_Part(blocks.apart, vectors["alpha"], vectors["before"]), blocks.added)[0][0]))
         out.append((name, scoring.screened(scored, point.lam, refs["alpha"], d.n, mode=mode, second=second).count()))
     return out
 
@@ -244,17 +320,16 @@ def fit_cv(item_tid: DataFrame, response: DataFrame, folds: DataFrame, taus: lis
 
 def audit(d: Dictionary, point: Point, kappa: float) -> dict[str, float]:
     """Gap and KKT of a point recomputed from its coefficients over the whole dictionary, without any screening."""
-    patterns = list(point.w)
-    x, w = d.matrix(d.numbered(patterns)), np.array([point.w[p] for p in patterns])
-    b, mu = solver.profile(x @ w if len(w) else np.zeros(d.n), float(d.y.sum()))
-    alpha = solver.feasible(d.y, mu)
-    outside, c = d.above(point.lam, alpha=alpha)
-    _, value = solver.best_scale(d.y, alpha, c["alpha"], point.lam, kappa)
-    eta = b + (x @ w if len(w) else np.zeros(d.n))
-    known = set(d.numbered(patterns))
+    patterns, w = d.numbered(list(point.w)), np.array(list(point.w.values()))
+    m = d.moments(patterns)(w)
+    dual = d.dual(m.b, patterns, w)
+    outside, c = d.above(point.lam, alpha=dual)
+    _, value = solver.scaled_dual(lambda scales: d.entropies(dual, scales)[0], c["alpha"], point.lam, kappa)
+    known = set(patterns)
     worst = max([abs(v) - point.lam for p, v in zip(outside, c["alpha"].tolist(), strict=True) if p not in known], default=0.0)
-    kkt = max(solver.kkt(x, d.y, mu, w, point.lam, kappa), worst / d.n)
-    return {"gap": max(0.0, solver.objective(d.y, eta, w, point.lam, kappa) - value) / d.n, "kkt": kkt}
+    kkt = max(solver.violation(m.mean - m.xy + kappa * w, w, point.lam), worst) / d.n
+    objective = m.loss + point.lam * float(np.abs(w).sum()) + kappa / 2 * float(w @ w)
+    return {"gap": max(0.0, objective - value) / d.n, "kkt": kkt}
 
 
 def predict(point_w: DataFrame, b: float, item_tid: DataFrame, tids: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Elastic-net Poisson regression on a working set, and dual certificates (numpy on the driver).
+"""Elastic-net Poisson regression on a working set, and dual certificates.
 
 The objective is sum(mu - y eta) + lam |w|_1 + kappa / 2 |w|^2 with mu = exp(eta) and eta = b + X w. The intercept is
-profiled out, and proximal Newton steps solve the rest by coordinate descent on the centred weighted Gram matrix.
+profiled out, and proximal Newton steps solve the rest by coordinate descent on the centred weighted Gram matrix. Steps
+need sums over the rows only, so the rows may be anywhere.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ def kkt(x, y, mu, w, lam: float, kappa: float) -> float:
     """Largest violation of the optimality conditions, per row."""
     worst = abs(float((mu - y).sum()))
     if len(w):
-        g = x.T @ (mu - y) + kappa * w
-        worst = max(worst, float(np.where(w == 0, np.maximum(np.abs(g) - lam, 0), np.abs(g + lam * np.sign(w))).max()))
+        worst = max(worst, violation(x.T @ (mu - y) + kappa * w, w, lam))
     return worst / len(y)
 
 
@@ -43,25 +43,32 @@ class Fit:
     kkt: float
 
 
-def solve(x: np.ndarray, y: np.ndarray, lam: float, kappa: float, warm: np.ndarray | None = None, tol: float = 1e-9, rounds: int = 200) -> Fit:
-    """x is n by m, 0/1; y needs a positive sum."""
-    total = float(y.sum())
-    if total <= 0 or not np.isfinite(y).all() or (y < 0).any():
-        raise ValueError("responses must be finite, not negative, with a positive sum")
-    w = np.zeros(x.shape[1]) if warm is None else np.array(warm, float)
+@dataclass
+class Moments:
+    """What a step needs of the rows at coefficients w: the best intercept, sum(mu - y eta), X'mu, X'y and X' diag(mu) X."""
 
-    def at(w):
-        z = x @ w
-        b, mu = profile(z, total)
-        return b, mu, objective(y, z + b, w, lam, kappa)
+    b: float
+    loss: float
+    mean: np.ndarray
+    xy: np.ndarray
+    gram: np.ndarray
 
-    b, mu, value = at(w)
+
+def newton(at, total: float, n: int, w: np.ndarray, lam: float, kappa: float, tol: float = 1e-9, rounds: int = 200) -> tuple[np.ndarray, Moments, float, float]:
+    """(w, moments, objective, KKT violation) by proximal Newton steps. at(w) gives Moments, wherever the rows are; it is
+    called once a step, but for steps that are halved."""
+
+    def value_of(w, m):
+        return m.loss + lam * float(np.abs(w).sum()) + kappa / 2 * float(w @ w)
+
+    m = at(w)
+    value = value_of(w, m)
+    worst = violation(m.mean - m.xy + kappa * w, w, lam) / n
     for _ in range(rounds):
-        if kkt(x, y, mu, w, lam, kappa) <= tol or not len(w):
+        if worst <= tol or not len(w):
             break
-        mean = x.T @ mu
-        gram = x.T @ (x * mu[:, None]) - np.outer(mean, mean) / total + kappa * np.eye(len(w))
-        g = mean - x.T @ y + kappa * w
+        gram = m.gram - np.outer(m.mean, m.mean) / total + kappa * np.eye(len(w))
+        g = m.mean - m.xy + kappa * w
         new, r = w.copy(), g.copy()  # r: gradient of the quadratic model at new
         for _ in range(500):
             moved = 0.0
@@ -77,18 +84,49 @@ def solve(x: np.ndarray, y: np.ndarray, lam: float, kappa: float, warm: np.ndarr
         step, direction = 1.0, new - w
         if not np.abs(direction).max():
             break
+        slack = 1e-14 * max(abs(value), abs(m.loss), total)  # round-off of the two sums
         for _ in range(40):
             trial = w + step * direction if step < 1 else new
-            b2, mu2, value2 = at(trial)
-            if value2 <= value:
+            m2 = at(trial)
+            value2 = value_of(trial, m2)
+            if value2 <= value + slack:
                 break
             step /= 2
         else:
             break
-        if value - value2 <= 1e-15 * abs(value) and np.array_equal(trial, w):
+        worst2 = violation(m2.mean - m2.xy + kappa * trial, trial, lam) / n
+        if value2 >= value - slack and worst2 >= worst:  # within round-off, and no better
             break
-        w, b, mu, value = trial, b2, mu2, value2
-    return Fit(b, w, mu, value, kkt(x, y, mu, w, lam, kappa))
+        w, m, value, worst = trial, m2, value2, worst2
+    return w, m, value, worst
+
+
+def violation(g: np.ndarray, w: np.ndarray, lam: float) -> float:
+    """Largest violation of the optimality conditions, given the smooth part's gradient."""
+    return float(np.where(w == 0, np.maximum(np.abs(g) - lam, 0), np.abs(g + lam * np.sign(w))).max()) if len(w) else 0.0
+
+
+def positive(total: float, least: float) -> None:
+    """An error unless responses of this sum and least value can be fitted."""
+    if not (total > 0 and math.isfinite(total) and least >= 0):
+        raise ValueError("responses must be finite, not negative, with a positive sum")
+
+
+def solve(x: np.ndarray, y: np.ndarray, lam: float, kappa: float, warm: np.ndarray | None = None, tol: float = 1e-9, rounds: int = 200) -> Fit:
+    """x is n by m, 0/1; y needs a positive sum."""
+    total, xy = float(y.sum()), x.T @ y
+    positive(total, float(y.min()) if len(y) else 0.0)
+    w = np.zeros(x.shape[1]) if warm is None else np.array(warm, float)
+
+    def at(w):
+        z = x @ w
+        b, mu = profile(z, total)
+        return Moments(b, float((mu - y * (z + b)).sum()), x.T @ mu, xy, x.T @ (x * mu[:, None]))
+
+    w, m, _, _ = newton(at, total, len(y), w, lam, kappa, tol, rounds)
+    z = x @ w
+    b, mu = profile(z, total)
+    return Fit(b, w, mu, objective(y, z + b, w, lam, kappa), kkt(x, y, mu, w, lam, kappa))
 
 
 def feasible(y: np.ndarray, mu: np.ndarray) -> np.ndarray:
@@ -109,8 +147,12 @@ def dual(y: np.ndarray, alpha: np.ndarray, penalty: float) -> float:
 
 def radius(y: np.ndarray, alpha: np.ndarray, gap: float) -> float:
     """Radius of a ball around alpha that holds the dual optimum."""
-    most = max(0.0, float((y - alpha).max()))
-    gamma = min(float(y.sum()), most + gap + math.sqrt(gap * (gap + 2 * most)))
+    return radius_of(float(y.sum()), max(0.0, float((y - alpha).max())), gap)
+
+
+def radius_of(total: float, most: float, gap: float) -> float:
+    """radius() from the responses' sum and the largest y - alpha."""
+    gamma = min(total, most + gap + math.sqrt(gap * (gap + 2 * most)))
     return math.sqrt(2 * gamma * gap)
 
 
@@ -137,6 +179,29 @@ def best_scale(y: np.ndarray, alpha: np.ndarray, violators: np.ndarray, lam: flo
     return max(((s, value(s)) for s in ends), key=lambda p: p[1])
 
 
+def scaled_dual(total_at, violators: np.ndarray, lam: float, kappa: float, enough: float = math.inf) -> tuple[float, float]:
+    """best_scale() where the rows are elsewhere: total_at(list of s) gives the sums of t log t - t, t = y - s alpha, in one
+    pass over the rows. The search ends as soon as a value reaches `enough`."""
+    over = np.abs(violators)
+
+    def values(scales: list[float]) -> list[tuple[float, float]]:
+        sums = total_at(scales)
+        return [(s, -float(f) - float((np.maximum(s * over - lam, 0) ** 2).sum() / (2 * kappa))) for s, f in zip(scales, sums, strict=True)]
+
+    top = float(over.max()) if len(over) else lam
+    tried = dict(values(sorted({0.0, 1.0, min(1.0, lam / top) if top else 1.0})))
+    for _ in range(8):
+        best = max(tried, key=tried.get)
+        if tried[best] >= enough:
+            break
+        lo, hi = max([s for s in tried if s < best], default=best), min([s for s in tried if s > best], default=best)
+        fresh = sorted(set(np.linspace(lo, hi, 18)[1:-1].tolist()) - set(tried))  # the dual is concave: the best is next to the best so far
+        if hi - lo < 1e-12 or not fresh:
+            break
+        tried |= dict(values(fresh))
+    return max(tried.items(), key=lambda p: p[1])
+
+
 def best_segment(y: np.ndarray, one: np.ndarray, two: np.ndarray, c1: np.ndarray, c2: np.ndarray, lam: float, kappa: float) -> tuple[float, float]:
     """(t, dual) for t in [0, 1] that maximises the dual along (1 - t) one + t two.
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -182,6 +183,27 @@ def test_lists_in_blocks(spark, monkeypatch):
     assert cut.lists.count() > whole.lists.count() and whole.lambda_max() == (pytest.approx(cut.lambda_max()[0]), cut.lambda_max()[1])
 
 
+def test_path_holds_no_rows_on_the_driver(spark, monkeypatch):
+    """A path by sums over blocks is that of rows held together, and takes less of the driver than a number a row."""
+    n = 200_000
+    rows = spark.range(n).select(F.col("id").alias("tid"), F.expr("filter(array(0, 1, 2, 3), i -> (id * 7 + id div 16) % (i + 2) = 0)").alias("items"))
+    rows = rows.withColumn("y", F.expr("3 + tid % 3 + size(items) + 5 * cast(array_contains(items, 0) and array_contains(items, 1) as int)"))
+    item_tid, response = itemsets.long_form(rows), rows.select("tid", "y")
+    want = path.fit_path(path.Dictionary(item_tid, response, 1000, 2), [1.0, 0.3])
+    for partial in (0, 1 << 23):
+        monkeypatch.setattr(path, "HELD", 0)
+        monkeypatch.setattr(path, "PARTIAL", partial)
+        tracemalloc.start()
+        points = path.fit_path(path.Dictionary(item_tid, response, 1000, 2), [1.0, 0.3])
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 8 * n
+        for p, q in zip(points, want, strict=True):
+            assert p.converged and q.converged and p.lam == pytest.approx(q.lam) and p.w.keys() == q.w.keys() and p.excluded == q.excluded
+            assert p.b == pytest.approx(q.b, abs=1e-7) and all(p.w[k] == pytest.approx(q.w[k], abs=1e-7) for k in p.w)
+    assert len(want[1].w) > 1
+
+
 def test_nested_containment(spark):
     item_tid, _ = tables(spark, TINY)
     few = [[0, 1], [2], [0, 2]]
