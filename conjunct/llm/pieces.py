@@ -12,6 +12,7 @@ import hashlib
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,10 @@ class Pieces:
         self.surface = [self._surface(p) for p in model.pieces]
         #: Units can be cut before a blank that follows another character if no piece reaches over that place.
         self.cuttable = self.dummy and self.escape and not (self.squeeze or self.suffix or self.own or self.map.units) and not any(re.search(f"[^{SPACE}]{SPACE}", p.piece) for p in model.pieces)
+        #: Nothing is replaced but blanks: see _simply().
+        self.simple = not (self.squeeze or self.own or self.map.units or (self.dummy and self.suffix))
+        self.lengths = np.array([-1 if x is None else len(x) for x in self.surface], np.int64)
+        self.decimal = [b" %d" % i for i in range(len(self.surface))]
         self.end = self.sp.eos_id()
 
     @staticmethod
@@ -88,6 +93,9 @@ class Pieces:
 
         first: whether the text's start is that of a whole text, which may get a blank before it.
         """
+        if self.simple:
+            normal, source = self._simply(text, first)
+            return normal, source.tolist()
         data, space = text.encode(), SPACE.encode() if self.escape else b" "
         out, source = bytearray(), []
 
@@ -128,6 +136,19 @@ class Pieces:
             put(space, len(data))
         return bytes(out), [*source, len(data)]
 
+    def _simply(self, text: str, first: bool) -> tuple[bytes, np.ndarray]:
+        """normalize() of a model that maps no characters and drops no blanks: every character is its own longest prefix,
+        so the whole text is aligned at once."""
+        raw = text.encode()
+        if not raw:
+            return b"", np.zeros(1, np.int64)
+        data, space = np.frombuffer(raw, np.uint8), SPACE.encode() if self.escape else b" "
+        places = np.arange(len(data))
+        character = np.maximum.accumulate(np.where(data & 0xC0 != 0x80, places, 0))  # where each byte's character begins
+        source = np.repeat(character, np.where(data == 0x20, len(space), 1))
+        lead = len(space) if first and self.dummy else 0
+        return space * bool(lead) + raw.replace(b" ", space), np.concatenate([np.zeros(lead, np.int64), source, [len(data)]])
+
     def _projected(self, text: str, ids: list[int], first: bool) -> tuple[list[tuple[int, int]], bytes]:
         """Byte span in the source of each piece of its normalised form, by the alignment of normalize(); the normalised bytes."""
         normal, source = self.normalize(text, first)
@@ -152,11 +173,34 @@ class Pieces:
     def units(self, texts: list[str]) -> list[tuple[bytes, bytes, bytes]]:
         """For each unit, with the blank before it: its ids in decimal, each after a blank; its bytes decoded; its pieces'
         spans (32-bit from, to) counted from that blank."""
-        out = []
-        for text, ids in zip(texts, self.sp.encode(texts, num_threads=1), strict=True):
-            spans, normal = self._projected(" " + text, ids, False)
-            out.append((b"".join([b" %d" % i for i in ids]), normal.replace(SPACE.encode(), b" "), np.asarray(spans, "<i4").tobytes()))
-        return out
+        found = self.sp.encode(texts, num_threads=1)
+        lengths = self.lengths[np.fromiter(chain.from_iterable(found), np.int64)]
+        if not (self.simple and self.escape) or (lengths < 0).any() or any(not t or " " in t or SPACE in t for t in texts):
+            return [self._unit(t, ids) for t, ids in zip(texts, found, strict=True)]
+        # all units at once, as one text: each with its blank, each piece projected from where it lies on the whole
+        whole = " " + " ".join(texts)
+        normal, source = self._simply(whole, False)
+        if b"".join([self.surface[i] for i in chain.from_iterable(found)]) != normal:
+            raise ValueError("pieces are not the normalised units")
+        ends = np.cumsum(lengths)
+        counts = np.array([len(ids) for ids in found])
+        sizes = np.array([len(t.encode()) + 1 for t in texts])
+        base = np.cumsum(sizes) - sizes  # of each unit's blank
+        last = np.cumsum(counts)
+        if not np.array_equal(source[ends[last - 1]], base + sizes):
+            raise ValueError("a piece reaches over a unit's end")
+        spans = np.stack([source[ends - lengths], source[ends]], 1) - np.repeat(base, counts)[:, None]
+        spans, decoded = spans.astype("<i4").tobytes(), whole.encode()
+        cuts, decimal = (8 * last).tolist(), self.decimal
+        return [
+            (b"".join([decimal[i] for i in ids]), decoded[a : a + n], spans[i:j])
+            for ids, a, n, i, j in zip(found, base.tolist(), sizes.tolist(), [0, *cuts], cuts)
+        ]
+
+    def _unit(self, text: str, ids: list[int]) -> tuple[bytes, bytes, bytes]:
+        """units() of one."""
+        spans, normal = self._projected(" " + text, ids, False)
+        return b"".join([self.decimal[i] for i in ids]), normal.replace(SPACE.encode(), b" "), np.asarray(spans, "<i4").tobytes()
 
     def digest(self, text: str) -> tuple[int, str, str, int, int]:
         """Ids with an end id, decoded text and spans of one whole text, without units."""

@@ -184,6 +184,23 @@ def test_long_texts_in_pieces():
     assert [u for part in token_counts.pretokens(text, 100) for u in part] == token_counts.PRETOKEN.findall(text)
 
 
+def odd_units(n: int) -> list[str]:
+    r, letters = random.Random(3), "abzAZȺǄéßﬁÀİıΣςक़한文ªʰ9٣'’.,;!?:-\u0301\u0307\ufffd😀"
+    found = ["".join(r.choice(letters) for _ in range(r.randrange(1, 9))) for _ in range(n)]
+    return [*found, "İ!", "क़.", "it's", "end.", "...", "İ", "word", "Word?!", "éa,"]
+
+
+def test_units_are_aligned_together(monkeypatch):
+    """Units are normalised and their pieces projected in one go, with what each alone gives."""
+    m = pieces.model(public_tokenizers.path("piece_bpe_32k.model"))
+    units = [u for u in odd_units(2000) if " " not in u] + ["a\nb", "\t"]
+    want = [m._unit(u, ids) for u, ids in zip(units, m.sp.encode(units), strict=True)]
+    plain = [u for u, ids in zip(units, m.sp.encode(units), strict=True) if (m.lengths[ids] >= 0).all()]
+    assert m.units(units) == want and len(plain) > 500
+    monkeypatch.setattr(m, "_projected", lambda *a: pytest.fail("a unit by itself"))
+    assert m.units(plain) == [x for x, u in zip(want, units, strict=True) if u in set(plain)]
+
+
 def test_spans_of_units_are_those_of_whole_texts():
     path = public_tokenizers.path("piece_bpe_32k.model")
     m = pieces.model(path)
