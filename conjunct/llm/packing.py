@@ -10,6 +10,10 @@ every document is placed by the sum of squares all along.
 
 from __future__ import annotations
 
+import functools
+import gc
+import json
+import re
 import zlib
 from collections import deque
 
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conjunct.llm.shared import materialize, whole_text_batches
-from conjunct.llm.units import cache, opened, slices
+from conjunct.llm.units import cache, held, opened, slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long, ids binary"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -32,6 +36,75 @@ def _word_ids(path: str):
     return lambda units: [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
 
 
+#: A split where a run of letters is one word, whatever stands beside it, and a run of marks another.
+_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin letters, which stay letters when normalised (the dotted capital I doesn't), with marks after them or none.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Ids of words and of runs of marks, in lower case, by tokenizer; units share them. About 60 MB at most.
+_WORDS: dict[str, dict[str, bytes]] = {}
+WORD_ENTRIES = 450_000
+held("units", _WORDS)
+
+
+def _ends(path: str) -> np.ndarray | None:
+    """Which ids end a word, of a tokenizer that marks them and makes words of letters; None of any other."""
+    told = json.loads(opened("tokenizers", path).to_str())
+    model, pre = told["model"], told["pre_tokenizer"] or {}
+    first, *others = pre.get("pretokenizers") or [{}]
+    plain = first.get("type") == "Split" and first["pattern"] == {"Regex": _LETTERS} and first["invert"] and first["behavior"] == "Removed"
+    plain = plain and [(o["type"], o.get("add_prefix_space"), o.get("use_regex")) for o in others] == [("ByteLevel", False, False)]
+    steps = [(x["type"], x.get("pattern")) for x in (told["normalizer"] or {}).get("normalizers", [])]
+    plain = plain and steps == [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)]
+    if not (plain and model.get("type") == "BPE" and (suffix := model.get("end_of_word_suffix")) and not model.get("dropout")):
+        return None
+    out = np.zeros(max(model["vocab"].values()) + 1, bool)
+    out[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+    return out
+
+
+def _unit_ids(path: str, at_once: int = 1000):
+    """_word_ids() for units: words of letters, with marks at the end or none, are looked up without case and marks. Those
+    not known are encoded in rows of `at_once`, a blank between them, and the ids cut after each that ends a word; where these
+    aren't as many as the words, each is encoded alone."""
+    alone, ends, tok = _word_ids(path), _ends(path), opened("tokenizers", path)
+    if ends is None:
+        return alone
+
+    def words(row: list[str]) -> list[bytes]:
+        ids = np.asarray(tok.encode_batch_fast([" ".join(row)], add_special_tokens=False)[0].ids, "<u4")
+        if len(ids) and ids.max() >= len(ends):
+            return alone(row)
+        cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cuts) != len(row) or cuts[-1] != 4 * len(ids):
+            return alone(row)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def encode(units: list[str]) -> list[bytes]:
+        if len(units) < 2:
+            return alone(units)
+        cut = [m.groups() if (m := _WORD.fullmatch(u)) else None for u in units]
+        known = _WORDS.setdefault(path, {})
+        if len(known) > WORD_ENTRIES:
+            known.clear()
+        wanted = [c[0].lower() if c else "" for c in cut]
+        fresh = list({w for w in wanted if w and w not in known})
+        for i in range(0, len(fresh), at_once):
+            known.update(zip(fresh[i : i + at_once], words(fresh[i : i + at_once]), strict=True))
+        marks = [m for m in {c[1] for c in cut if c} if m and m not in known]
+        known.update(zip(marks, alone(marks), strict=True))
+        others = iter(alone([u for u, c in zip(units, cut, strict=True) if not c]))
+        return [next(others) if not c else known[w] + known[c[1]] if c[1] else known[w] for c, w in zip(cut, wanted, strict=True)]
+
+    return encode
+
+
+@functools.cache
+def _opened_ids(path: str):
+    return _unit_ids(path)
+
+
+@functools.cache
 def _blank_ends_tokens(path: str) -> bool:
     """Whether white space is normalised to one blank and dropped, so that texts can be cut at blanks."""
     tok = opened("tokenizers", path)
@@ -43,11 +116,22 @@ def token_ids(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers, without added special tokens."""
     if not _blank_ends_tokens(path):
         return _word_ids(path)([x or "" for x in texts])
-    known, out = cache(("ids", path), _word_ids(path)), []
-    for i, j in slices(texts):
-        cut = [[u for u in x.replace("\n", " ").split(" ") if u] if x else [] for x in texts[i:j]]
-        known.learn({u for c in cut for u in c})
-        out += [b"".join(map(known.__getitem__, c)) for c in cut]
+    known, out = cache(("ids", path), _opened_ids(path)), []
+    collecting = gc.isenabled()
+    gc.disable()  # lists and caches of strings have no cycles, and looking for these takes as long as splitting the texts
+    try:
+        for i, j in slices(texts):
+            cut = [list(filter(None, x.replace("\n", " ").split(" "))) if x else [] for x in texts[i:j]]
+            got = [list(map(known.get, c)) for c in cut]
+            gaps = [[k for k, g in enumerate(x) if g is None] if None in x else [] for x in got]
+            known.learn({c[k] for c, gap in zip(cut, gaps, strict=True) for k in gap})
+            for c, x, gap in zip(cut, got, gaps, strict=True):
+                for k in gap:
+                    x[k] = known[c[k]]
+                out.append(b"".join(x))
+    finally:
+        if collecting:
+            gc.enable()
     return out
 
 

@@ -235,3 +235,17 @@ def test_clashing_names(spark):
     b = pieces.encode_digests(df, "text", public_tokenizers.path("piece_bpe_32k.model")).first()
     assert a.n_tokens == 2 and b.n_tokens > 2 and b.spanned_bytes == 9 and all(r[n] == "mine" for r in (a, b) for n in names)
     assert packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).count() == 1
+
+
+def test_words_of_letters_are_encoded_in_rows(monkeypatch):
+    """Ids of units are the library's, and words of letters aren't sent to it one by one."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    alone = packing._word_ids(path)
+    units = odd_units(4000)
+    assert packing._unit_ids(path)(units) == alone(units)
+    sent = []
+    monkeypatch.setattr(packing, "_word_ids", lambda path: lambda units: sent.extend(units) or alone(units))
+    packing._WORDS.clear()
+    words = ["some", "Wörds", "of.", "letters,", "x9", "OF"]
+    assert packing._unit_ids(path)(words) == alone(words) and set(sent) <= {"x9", ".", ","}
+    assert packing._ends(public_tokenizers.path("byte_bpe_50k.json")) is None
