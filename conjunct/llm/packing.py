@@ -112,6 +112,17 @@ def _blank_ends_tokens(path: str) -> bool:
     return a == b == sum((tok.encode(x, add_special_tokens=False).ids for x in ("of", "the", "end")), [])
 
 
+def _gaps(found: list) -> list[int]:
+    """Where a list has None."""
+    out, k = [], -1
+    try:
+        while True:
+            k = found.index(None, k + 1)
+            out.append(k)
+    except ValueError:
+        return out
+
+
 def token_ids(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers, without added special tokens."""
     if not _blank_ends_tokens(path):
@@ -121,9 +132,9 @@ def token_ids(texts: list[str | None], path: str) -> list[bytes]:
     gc.disable()  # lists and caches of strings have no cycles, and looking for these takes as long as splitting the texts
     try:
         for i, j in slices(texts):
-            cut = [list(filter(None, x.replace("\n", " ").split(" "))) if x else [] for x in texts[i:j]]
+            cut = [x.replace("\n", " ").split(" ") if x else [] for x in texts[i:j]]  # an empty unit has no ids
             got = [list(map(known.get, c)) for c in cut]
-            gaps = [[k for k, g in enumerate(x) if g is None] if None in x else [] for x in got]
+            gaps = [_gaps(x) for x in got]
             known.learn({c[k] for c, gap in zip(cut, gaps, strict=True) for k in gap})
             for c, x, gap in zip(cut, got, gaps, strict=True):
                 for k in gap:
