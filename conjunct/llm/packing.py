@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conjunct.llm.shared import materialize, whole_text_batches
-from conjunct.llm.units import cache, held, opened, slices
+from conjunct.llm.units import CACHE_ENTRIES, cache, held, opened, slices, trim
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long, ids binary"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -43,6 +43,8 @@ _WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f
 #: Ids of words and of runs of marks, in lower case, by tokenizer; units share them. About 60 MB at most.
 _WORDS: dict[str, dict[str, bytes]] = {}
 WORD_ENTRIES = 450_000
+#: Units, and words with runs of marks, that a worker remembers before it starts afresh.
+REMEMBERED = CACHE_ENTRIES, WORD_ENTRIES
 held("units", _WORDS)
 
 
@@ -62,7 +64,7 @@ def _ends(path: str) -> np.ndarray | None:
     return out
 
 
-def _unit_ids(path: str, at_once: int = 1000):
+def _unit_ids(path: str, at_once: int = 1000, entries: int = WORD_ENTRIES):
     """_word_ids() for units: words of letters, with marks at the end or none, are looked up without case and marks. Those
     not known are encoded in rows of `at_once`, a blank between them, and the ids cut after each that ends a word; where these
     aren't as many as the words, each is encoded alone."""
@@ -85,7 +87,7 @@ def _unit_ids(path: str, at_once: int = 1000):
             return alone(units)
         cut = [m.groups() if (m := _WORD.fullmatch(u)) else None for u in units]
         known = _WORDS.setdefault(path, {})
-        if len(known) > WORD_ENTRIES:
+        if len(known) > entries:
             known.clear()
         wanted = [c[0].lower() if c else "" for c in cut]
         fresh = list({w for w in wanted if w and w not in known})
@@ -100,8 +102,8 @@ def _unit_ids(path: str, at_once: int = 1000):
 
 
 @functools.cache
-def _opened_ids(path: str):
-    return _unit_ids(path)
+def _opened_ids(path: str, entries: int):
+    return _unit_ids(path, entries=entries)
 
 
 @functools.cache
@@ -123,11 +125,12 @@ def _gaps(found: list) -> list[int]:
         return out
 
 
-def token_ids(texts: list[str | None], path: str) -> list[bytes]:
+def token_ids(texts: list[str | None], path: str, remembered: tuple[int, int] = REMEMBERED) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers, without added special tokens."""
     if not _blank_ends_tokens(path):
         return _word_ids(path)([x or "" for x in texts])
-    known, out = cache(("ids", path), _opened_ids(path)), []
+    units, words = remembered
+    known, out = cache(("ids", path, remembered), _opened_ids(path, words), entries=units), []
     collecting = gc.isenabled()
     gc.disable()  # lists and caches of strings have no cycles, and looking for these takes as long as splitting the texts
     try:
@@ -249,14 +252,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], _NAMES)
 
 
-def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tails_at_once: int = 256) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tails_at_once: int = 256, remembered: tuple[int, int] = REMEMBERED) -> DataFrame:
     """Pieces of df(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and padded_length.
 
     Null and empty texts are the end id alone; repeated rows and equal doc_ids are packed each by themselves; a null
     doc_id stays null; texts of any length are packed whole; other columns of df, whatever their names, are ignored; an
     empty table has no pieces. padded_length is size, or the
     sequence's own length where that is a power of two. What a task packs depends on its rows alone, so a task that runs
-    again gives the same rows; tails go by the number of the task that left them.
+    again gives the same rows; tails go by the number of the task that left them. remembered bounds what a Python worker
+    keeps of units and of words: fewer take less memory and more time, and change no id.
     """
     spark = df.sparkSession
     whole_text_batches(spark)
@@ -272,9 +276,10 @@ def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tails
         packer = SumOfSquares(size, close)
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
+            trim()
             docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in slices(texts):
-                for doc, ids in zip(docs[i:j], token_ids(texts[i:j], tokenizer), strict=True):
+                for doc, ids in zip(docs[i:j], token_ids(texts[i:j], tokenizer, remembered), strict=True):
                     packer.add(doc, ids + end)
                 yield _batch(rows)
                 rows.clear()

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from conjunct.llm import exact_dedup, language, near_dups, packing, toxicity
 from conjunct.llm.shared import boxed, join_hot, materialize, table, unboxed, utf8
 
+#: Packing's workers remember less here than alone, for the executor beside them has grown in four stages.
+REMEMBERED = 200_000, 200_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a word, and those whose language can't be told.
@@ -68,7 +71,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are an end id alone; null ids stay null; rows that repeat are packed each; whole texts of any
     length are cut into pieces; an empty table has none; further columns of docs are ignored.
     """
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [("language_id", language_id), ("toxicity", toxic), ("exact_dedup", exact_copies), ("near_duplicates", near_copies), ("packing", packed)]

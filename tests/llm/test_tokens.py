@@ -163,6 +163,34 @@ def test_workers_keep_one_operators_caches():
     assert not units._CACHES
 
 
+def test_workers_give_memory_back(monkeypatch):
+    from conjunct.llm import units
+
+    done = []
+    monkeypatch.setattr(units, "_TRIM", done.append)
+    units.cache("k", lambda u: u).learn(["a"])
+    done.clear()
+    units.claim("units")
+    assert not done
+    units.claim("near_dups")
+    assert done
+
+
+def test_packing_remembers_as_much_as_it_is_told():
+    """Few units and words stay in a worker, and the ids are the library's all the same."""
+    from conjunct.llm import units
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, most = Tokenizer.from_file(path), 0
+    packing._WORDS.clear()
+    for k in range(40):
+        texts = [" ".join(f"w{chr(97 + k % 26)}{'x' * (k // 26)}{chr(97 + i)}{chr(97 + j)}, same" for j in range(10)) for i in range(10)]
+        got = packing.token_ids(texts, path, (300, 300))
+        assert got == [np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        most = max(most, len(units._CACHES["ids", path, (300, 300)]), len(packing._WORDS[path]))
+    assert 300 < most <= 300 + 102
+
+
 def test_frequent_pretokens_are_of_all_rows(spark):
     """The table's pre-tokens are the corpus's most frequent ones, whatever tasks they are in."""
     import collections
