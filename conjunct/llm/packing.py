@@ -260,10 +260,12 @@ def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tails
     empty table has no pieces. padded_length is size, or the
     sequence's own length where that is a power of two. What a task packs depends on its rows alone, so a task that runs
     again gives the same rows; tails go by the number of the task that left them. remembered bounds what a Python worker
-    keeps of units and of words: fewer take less memory and more time, and change no id.
+    keeps of units and of words: fewer take less memory and more time, and change no id; a worker with fewer than REMEMBERED
+    gives freed memory back before each batch, too.
     """
     spark = df.sparkSession
     whole_text_batches(spark)
+    sparing = remembered < REMEMBERED
 
     def run(batches):
         task, done, rows = TaskContext.get().partitionId(), 0, []
@@ -276,7 +278,8 @@ def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, tails
         packer = SumOfSquares(size, close)
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
-            trim()
+            if sparing:
+                trim()
             docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in slices(texts):
                 for doc, ids in zip(docs[i:j], token_ids(texts[i:j], tokenizer, remembered), strict=True):
