@@ -5,9 +5,13 @@ ones. Any run of w + k - 1 code points that two texts share thus gives both a co
 of each chosen hash.
 
 The hash is a rolling one: the exclusive or of the hashes of the gram's code points, two at a time, each pair's shifted by
-its distance from the gram's end. SQL functions can't carry a hash from one gram to the next; instead a gram's hash is rolled together from those of
-its two halves, which takes log2(k) passes over the text however long grams are. The least of a window comes from the
-least of its halves in the same way. No step reads more than two values for each place, so the work is linear in a text.
+its distance from the gram's end. SQL functions can't carry a hash from one gram to the next; instead a gram's hash is
+rolled together from those of its two halves, which takes log2(k) passes over the text however long grams are. The least
+of a window comes from the least of its halves in the same way. No step reads more than two values for each place, so the
+work is linear in a text.
+
+Spark interprets lambdas node by node, so passes are written to evaluate few: a place meets its neighbour in a copy of the
+array that is moved on (zip_with), not by an index; what belongs to a place stands where it ends.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from conjunct.llm.shared import utf8
 K, W = 8, 32
 #: Low bits of a key that hold the position: more than an array can have. The high bits are the hash's own.
 PLACE = 28
+#: All of those bits.
+LAST = (1 << PLACE) - 1
 _NONE = "cast(array() as array<bigint>)"
 
 
@@ -44,117 +50,115 @@ def points_of(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def _merged(half: Column, i: Column, step: int) -> Column:
-    """Hash of 2 * step points from place i, of the hashes of step points each."""
-    return F.shiftleft(F.get(half, i), step).bitwiseXOR(F.get(half, i + step))
-
-
-def halves(points: Column, k: int) -> Column:
-    """Hash of each k / 2 points in a row; the last places, where there are fewer, mean nothing."""
-
-    def doubled(step: int):
-        return lambda g: F.transform(g, lambda x, i: F.shiftleft(x, step).bitwiseXOR(F.get(g, i + step)))
-
-    if k & (k - 1) or k < 4:
-        raise ValueError("k must be a power of two, 4 at least")
-    out, step = F.transform(points, lambda x, i: F.xxhash64(x, F.get(points, i + 1))), 2
-    while 2 * step < k:
-        out, step = _let(out, doubled(step)), 2 * step
-    return out
-
-
-def _key(h: Column, place: Column) -> Column:
-    """A number in the order of hashes, the later place first where hashes are equal."""
-    last = (1 << PLACE) - 1
-    return h.bitwiseAND(F.lit(~last)).bitwiseOR((F.lit(last) - place).cast("long"))
+def _folded(value: Column, steps: list[int], step_of, use) -> Column:
+    """use(value) after step_of(value, n) for each n of steps. One value is held at a time, however many steps there are."""
+    held = F.array(*[F.lit(n) for n in steps]) if steps else F.expr("cast(array() as array<int>)")
+    return F.aggregate(held, value, step_of, use)
 
 
-def keys(points: Column, half: Column, first: Column, k: int) -> Column:
-    """The key of each gram of k points in a row, none of fewer; `first` is the place of the first gram."""
-    found = F.transform(half, lambda x, i: _key(F.shiftleft(x, k // 2).bitwiseXOR(F.get(half, i + k // 2)), first + i))
-    return _first(found, F.size(points) - (k - 1))
+def _later(values: Column, n, kind: str = "bigint") -> Column:
+    """values n places further on, with nulls before them. Joining arrays is a plain copy; slice() is not."""
+    return F.concat(F.array_repeat(F.lit(None).cast(kind), n), values)
 
 
-def all_keys(points: Column, half: Column, k: int) -> Column:
-    """keys(), and that of all points where they are fewer than k but some."""
-    whole = F.array(_key(F.xxhash64(points), F.lit(0)))
-    return F.when(F.size(points).between(1, k - 1), whole).otherwise(keys(points, half, F.lit(0), k))
+def _rolled(points: Column, k: int, use) -> Column:
+    """use(hashes): at each place the hash of the k points that end there. Other places than k - 1 to the last mean nothing."""
+    if k & (k - 1) or k < 2:
+        raise ValueError("k must be a power of two, 2 at least")
+    pairs = F.zip_with(_later(points, F.lit(1), "string"), points, lambda x, y: F.xxhash64(x, y))
+    shifted = lambda x, step: F.call_function("shiftleft", x, step)
+    doubled = lambda g, step: F.zip_with(_later(g, step), g, lambda x, y: shifted(x, step).bitwiseXOR(y))
+    return _folded(pairs, [1 << s for s in range(1, k.bit_length() - 1)], doubled, use)
 
 
-def hash_of(points: Column, half: Column, i: Column, k: int) -> Column:
-    """The whole hash of the gram at place i."""
-    return F.when(F.size(points) < k, F.xxhash64(points)).otherwise(_merged(half, i, k // 2))
+def _key(h: Column, rank: Column) -> Column:
+    """A number in the order of hashes and, where they are equal, of ranks."""
+    return h.bitwiseAND(F.lit(~LAST)).bitwiseOR(rank)
 
 
-def places(chosen: Column) -> Column:
-    """The places of keys, each once."""
-    last = (1 << PLACE) - 1
-    return F.transform(F.array_distinct(chosen), lambda x: (F.lit(last) - x.bitwiseAND(F.lit(last))).cast("int"))
+def keys(points: Column, hashes: Column, first: Column, k: int) -> Column:
+    """The key of the gram that ends at each place, null where none does; `first` is the place of the first gram.
 
+    Ranks fall with the place, so that the later of equal hashes has the lesser key.
+    """
+    top = F.lit(LAST) - first.cast("long")
+    ranks = F.when(F.size(points) >= k, F.sequence(top, top - F.size(points) + k, F.lit(-1).cast("long"))).otherwise(F.expr(_NONE))
+    return F.zip_with(hashes, _later(ranks, F.lit(k - 1)), _key)
 
-def windows(held: Column, w: int) -> Column:
-    """The least key of each w in a row; none of fewer."""
-
-    def lesser(step: int):
-        return lambda g: F.transform(g, lambda x, i: F.least(x, F.get(g, i + step)))
 
-    out, reach = held, 1
+def _windows(points: Column, held: Column, k: int, w: int, use, few: bool = False) -> Column:
+    """use(least): the least of each w keys in a row; of fewer none, or with `few` the least of all."""
+    steps, reach = [], 1
     while reach < w:  # the last step may overlap
-        step = min(reach, w - reach)
-        out, reach = _let(out, lesser(step)), reach + step
-    return _first(out, F.size(held) - (w - 1))  # the last w - 1 are of fewer
+        steps, reach = [*steps, min(reach, w - reach)], min(2 * reach, w)
+    lesser = lambda m, step: F.zip_with(_later(m, step), m, lambda x, y: F.least(x, y))
+    n = F.size(points) - (k + w - 2)
 
+    def of_least(m: Column) -> Column:
+        every = F.slice(m, F.lit(k + w - 1), F.greatest(n, F.lit(0)))
+        return use(F.when(n < 1, F.array(F.array_min(m))).otherwise(every) if few else every)
 
-def _winnowed(held: Column, w: int) -> Column:
-    """windows(), and the least of all keys where they are fewer than w but some."""
-    return F.when(F.size(held).between(1, w - 1), F.array(F.array_min(held))).otherwise(windows(held, w))
+    return _folded(held, steps, lesser, of_least)
 
 
 def _chosen(least: Column, hash_at) -> Column:
-    """(hashes, positions) of the keys that winnowing chose."""
-    return _let(places(least), lambda at: F.struct(F.transform(at, hash_at).alias("hashes"), at.alias("positions")))
+    """(hashes, positions) of the keys that winnowing chose, each once."""
+    at = F.transform(F.array_distinct(least), lambda x: (F.lit(LAST) - x.bitwiseAND(F.lit(LAST))).cast("int"))
+    return _let(at, lambda p: F.struct(F.transform(p, hash_at).alias("hashes"), p.alias("positions")))
 
 
-def _parts(text: Column, k: int, w: int, use) -> Column:
-    """use(points, hashes of half grams, keys, least keys) of a text."""
+def _print_of(points: Column, k: int, w: int, use) -> Column:
+    """use(print, hashes, least): (hashes, positions) of points, and what _rolled() and _windows() give.
 
-    def of_points(c: Column) -> Column:
-        def of_halves(g: Column) -> Column:
-            return _let(all_keys(c, g, k), lambda h: _let(_winnowed(h, w), lambda m: use(c, g, h, m)))
+    Fewer points than k have one hash, of all of them, and neither of the others.
+    """
 
-        return _let(halves(c, k), of_halves)
+    def of_hashes(g: Column) -> Column:
+        of_least = lambda m: use(_chosen(m, lambda i: F.get(g, i + (k - 1))), g, m)
+        return _windows(points, keys(points, g, F.lit(0), k), k, w, lambda m: _let(m, of_least), few=True)
 
-    return _let(points_of(text), of_points)
+    none = F.size(points) == 0
+    hashes = F.when(none, F.expr(_NONE)).otherwise(F.array(F.xxhash64(points)))
+    places = F.when(none, F.expr("cast(array() as array<int>)")).otherwise(F.array(F.lit(0)))
+    whole = F.struct(hashes.alias("hashes"), places.alias("positions"))
+    return F.when(F.size(points) < k, use(whole, None, None)).otherwise(_rolled(points, k, of_hashes))
 
 
 def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
     """(hashes, positions) of a text, in two arrays of equal length. Null counts as empty."""
-    return _parts(utf8(text), k, w, lambda c, g, h, m: _chosen(m, lambda i: hash_of(c, g, i, k)))
+    return _let(points_of(utf8(text)), lambda c: _print_of(c, k, w, lambda own, g, m: own))
 
 
 def fingerprints_of(text: Column, tail: Column, kept: Column, k: int = K, w: int = W) -> Column:
     """(own, edited): fingerprint() of a text, and that of its first `kept` code points followed by `tail`.
 
-    Grams and windows that lie within the kept part are those of the text itself, so only the others are computed.
+    Windows that lie within the kept part are those of the text itself, so only the others are computed.
     """
-    p = F.greatest(kept - (k - 1), F.lit(0))  # grams that stay
-    q = F.greatest(p - (w - 1), F.lit(0))  # windows that stay
 
-    def use(c: Column, g: Column, h: Column, m: Column) -> Column:
+    def edited(c: Column, g: Column, m: Column, stay: Column) -> Column:
+        """Of a text some of whose windows stay, of the points from the first gram of the first that does not."""
+
         def of_ends(e: Column) -> Column:
-            def of_halves(half: Column) -> Column:
-                new = F.when(p > 0, keys(e, half, p, k)).otherwise(all_keys(e, half, k))
-                rest = F.concat(F.slice(h, q + 1, p - q), new)  # from the first window that doesn't stay on
-                least = lambda r: F.when(q > 0, F.concat(_first(m, q), windows(r, w))).otherwise(_winnowed(r, w))
-                at = lambda i: F.when(i < p, hash_of(c, g, i, k)).otherwise(hash_of(e, half, i - p, k))
-                return _chosen(_let(rest, least), at)
+            def of_hashes(ends: Column) -> Column:
+                at = lambda i: F.when(i < stay, F.get(g, i + (k - 1))).otherwise(F.get(ends, i - stay + (k - 1)))
+                rest = lambda r: _chosen(F.concat(_first(m, stay), r), at)
+                return _windows(e, keys(e, ends, stay, k), k, w, rest)
+
+            return _rolled(e, k, of_hashes)
+
+        return _let(F.concat(F.slice(c, stay + 1, kept - stay), points_of(tail)), of_ends)
 
-            return _let(halves(e, k), of_halves)
+    def use(c: Column) -> Column:
+        def both(own: Column, g: Column | None, m: Column | None) -> Column:
+            new = _let(F.concat(_first(c, kept), points_of(tail)), lambda e: _print_of(e, k, w, lambda found, g, m: found))
+            if m is not None:
+                staying = lambda stay: F.when(stay > 0, edited(c, g, m, stay)).otherwise(new)
+                new = _let(F.greatest(kept - (k + w - 2), F.lit(0)), staying)
+            return F.struct(own.alias("own"), new.alias("edited"))
 
-        ends = F.concat(F.slice(c, p + 1, F.greatest(kept - p, F.lit(0))), points_of(tail))
-        return F.struct(_chosen(m, lambda i: hash_of(c, g, i, k)).alias("own"), _let(ends, of_ends).alias("edited"))
+        return _print_of(c, k, w, both)
 
-    return _parts(text, k, w, use)
+    return _let(points_of(text), use)
 
 
 def with_fingerprint(df: DataFrame, text: str, hashes: str, positions: str, k: int = K, w: int = W) -> DataFrame:
@@ -221,7 +225,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     The edited text has the last third of its code points replaced by as many from the start of the next document (by
     descending id; after the last comes the first, so a lone document follows itself). Null texts count as empty; an
     empty text has an empty fingerprint, like another such text (1.0) and unlike all others (0.0); one of fewer than k
-    code points has one hash, of all of them. Texts of any length are fingerprinted whole, in memory: about 100 bytes a
+    code points has one hash, of all of them. Texts of any length are fingerprinted whole, in memory: about 250 bytes a
     character in one task. Rows of equal id follow each other in some order fixed by their texts; null ids come last. An
     empty table gives no rows; other columns of df, whatever their names, are ignored.
     """

@@ -241,3 +241,39 @@ def test_fingerprints_of_nothing_and_nulls(spark):
     assert lone.edited_sha256 == hashlib.sha256(b"abc dab").hexdigest() and lone.near_next == 1.0
     got = fingerprints.fingerprints(frame(spark, [(None, "a b c"), (None, None), (4, "xyz abc"), (4, "xyz abc")])).collect()
     assert len(got) == 4
+
+
+def test_fingerprints_at_every_length(spark):
+    """Around k, w and w + k - 1 code points, with followers that lend none, few or all of what the edited text takes."""
+    k, w = fingerprints.K, fingerprints.W
+    r = random.Random(11)
+    texts = [t for n in range(2 * (k + w)) for t in ("".join(r.choice("ab é😀") for _ in range(n)), "z" * (n % 7))]
+    got = {x.doc_id: x for x in fingerprints.fingerprints(frame(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        m = len(t) // 3
+        edited = t[: len(t) - m] + texts[i - 1][:m]
+        for have, of in ((got[i].fingerprint, t), (got[i].edited_fingerprint, edited)):
+            have = shown(have)
+            assert have == winnowed(of, k, w) if len(of) >= k else [p for p, _ in have] == [0] * bool(of), (i, of)
+
+
+def test_passes_over_a_text_are_small(spark):
+    """Spark interprets lambdas node by node: CPU time follows the nodes that are evaluated at each place of a text."""
+    plan = spark.range(1).select(fingerprints.fingerprint(F.col("id").cast("string")))._jdf.queryExecution().analyzed()
+    name = lambda e: e.getClass().getSimpleName()
+
+    def children(e):
+        return [e.children().apply(i) for i in range(e.children().size())]
+
+    def size(e):
+        return 1 + sum(size(c) for c in children(e))
+
+    def passes(e):
+        own = children(e)
+        if name(e) in ("ArrayTransform", "ZipWith") and name(own[0]) != "CreateArray":  # of one value: a name for it
+            yield size(children(own[-1])[0])
+        for c in own:
+            yield from passes(c)
+
+    found = [n for i in range(plan.expressions().size()) for n in passes(plan.expressions().apply(i))]
+    assert len(found) >= 5 and max(found) <= 8, found
