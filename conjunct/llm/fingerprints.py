@@ -57,7 +57,7 @@ def _folded(value: Column, steps: list[int], step_of, use) -> Column:
 
 
 def _later(values: Column, n, kind: str = "bigint") -> Column:
-    """values n places further on, with nulls before them. Joining arrays is a plain copy; slice() is not."""
+    """values n places further on, with nulls before them."""
     return F.concat(F.array_repeat(F.lit(None).cast(kind), n), values)
 
 
