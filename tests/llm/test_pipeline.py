@@ -106,3 +106,13 @@ def test_clashing_names(spark, sf_dir, stage):
     assert sorted(str((r.doc_id, r[key])) for r in got) == sorted(str((r.doc_id, r[key])) for r in want.collect())
     if stage != "packing":
         assert out.columns == more.columns and all(r[n] == i for r in got for i, n in enumerate(names))
+
+
+def test_stages_collect_the_executors_garbage(spark, sf_dir):
+    """Heaps stay in executors from stage to stage; a stage begins with a full collection, which lets them shrink."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).localCheckpoint()
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = sum(b.getCollectionCount() for b in beans)
+        stage(spark, docs, sf_dir)
+        assert sum(b.getCollectionCount() for b in beans) > before, name
