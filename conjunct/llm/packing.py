@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conjunct.llm.shared import materialize, whole_text_batches
-from conjunct.llm.units import CACHE_ENTRIES, cache, held, opened, slices, trim
+from conjunct.llm.units import CACHE_ENTRIES, CACHED_LENGTH, cache, held, opened, slices, trim
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long, ids binary"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -38,14 +38,22 @@ def _word_ids(path: str):
 
 #: A split where a run of letters is one word, whatever stands beside it, and a run of marks another.
 _LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Latin letters, which stay letters when normalised (the dotted capital I doesn't), with marks after them or none.
-_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
-#: Ids of words and of runs of marks, in lower case, by tokenizer; units share them. About 60 MB at most.
+#: Characters of plain texts, which composing leaves as they are and whose lower case is one character: Latin letters (IN_LOWER
+#: with those that are their lower case), digits, and marks of ASCII, Latin-1 and general punctuation.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+IN_LOWER = LATIN + "\u0250-\u02af\u2c65\u2c66"
+MARKS = "!-/:-@\\[-`{-~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u205e\u20ac"
+PLAIN = re.compile(f"[\t-\r 0-9{LATIN}{MARKS}]*+")
+#: _LETTERS for plain texts in lower case.
+PLAIN_WORD = re.compile(f"[{IN_LOWER}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[{MARKS}]+")
+#: Ids of words and of runs of marks, in lower case, by tokenizer; texts and units share them. About 85 MB at most.
 _WORDS: dict[str, dict[str, bytes]] = {}
 WORD_ENTRIES = 450_000
 #: Units, and words with runs of marks, that a worker remembers before it starts afresh.
 REMEMBERED = CACHE_ENTRIES, WORD_ENTRIES
 held("units", _WORDS)
+#: A unit of LATIN letters with marks after them or none.
+_WORD = re.compile(f"([{LATIN}]+)([!-&(-/:-@\\[-`{{-~]*)")
 
 
 def _ends(path: str) -> np.ndarray | None:
@@ -57,6 +65,7 @@ def _ends(path: str) -> np.ndarray | None:
     plain = plain and [(o["type"], o.get("add_prefix_space"), o.get("use_regex")) for o in others] == [("ByteLevel", False, False)]
     steps = [(x["type"], x.get("pattern")) for x in (told["normalizer"] or {}).get("normalizers", [])]
     plain = plain and steps == [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)]
+    plain = plain and not any(t["normalized"] for t in told["added_tokens"])
     if not (plain and model.get("type") == "BPE" and (suffix := model.get("end_of_word_suffix")) and not model.get("dropout")):
         return None
     out = np.zeros(max(model["vocab"].values()) + 1, bool)
@@ -64,13 +73,14 @@ def _ends(path: str) -> np.ndarray | None:
     return out
 
 
-def _unit_ids(path: str, at_once: int = 1000, entries: int = WORD_ENTRIES):
-    """_word_ids() for units: words of letters, with marks at the end or none, are looked up without case and marks. Those
-    not known are encoded in rows of `at_once`, a blank between them, and the ids cut after each that ends a word; where these
-    aren't as many as the words, each is encoded alone."""
-    alone, ends, tok = _word_ids(path), _ends(path), opened("tokenizers", path)
-    if ends is None:
-        return alone
+def _row_ids(path: str, ends: np.ndarray):
+    """_word_ids() for words in lower case, runs of marks among them, each of which the tokenizer leaves whole: encoded in one row,
+    a blank between them, and the ids cut after each that ends a word; where these aren't as many as the words, each alone.
+    A row goes to the tokenizer's model without the steps before it, which would change nothing but cut at the blanks."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    alone, tok = _word_ids(path), Tokenizer(opened("tokenizers", path).model)
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def words(row: list[str]) -> list[bytes]:
         ids = np.asarray(tok.encode_batch_fast([" ".join(row)], add_special_tokens=False)[0].ids, "<u4")
@@ -82,13 +92,29 @@ def _unit_ids(path: str, at_once: int = 1000, entries: int = WORD_ENTRIES):
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
 
+    return words
+
+
+def _known(path: str, entries: int) -> dict[str, bytes]:
+    known = _WORDS.setdefault(path, {})
+    if len(known) > entries:
+        known.clear()
+    return known
+
+
+def _unit_ids(path: str, at_once: int = 1000, entries: int = WORD_ENTRIES):
+    """_word_ids() for units: words of letters, with marks at the end or none, are looked up without case and marks. Those
+    not known are encoded in rows of `at_once`."""
+    alone, ends = _word_ids(path), _ends(path)
+    if ends is None:
+        return alone
+    words = _row_ids(path, ends)
+
     def encode(units: list[str]) -> list[bytes]:
         if len(units) < 2:
             return alone(units)
         cut = [m.groups() if (m := _WORD.fullmatch(u)) else None for u in units]
-        known = _WORDS.setdefault(path, {})
-        if len(known) > entries:
-            known.clear()
+        known = _known(path, entries)
         wanted = [c[0].lower() if c else "" for c in cut]
         fresh = list({w for w in wanted if w and w not in known})
         for i in range(0, len(fresh), at_once):
@@ -101,11 +127,40 @@ def _unit_ids(path: str, at_once: int = 1000, entries: int = WORD_ENTRIES):
     return encode
 
 
+def _plain_ids(path: str, at_once: int = 1000, entries: int = WORD_ENTRIES):
+    """Ids of whole plain texts in lower case, from the ids of their words; None where words can't be told by their ids."""
+    if (ends := _ends(path)) is None:
+        return None
+    words = _row_ids(path, ends)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        known = _known(path, entries)
+        cut = [PLAIN_WORD.findall(x) for x in texts]
+        got = [list(map(known.get, c)) for c in cut]
+        gaps = [_gaps(x) for x in got]
+        fresh = list({c[k] for c, gap in zip(cut, gaps, strict=True) for k in gap})
+        short = [w for w in fresh if len(w) <= CACHED_LENGTH]
+        for i in range(0, len(short), at_once):
+            known.update(zip(short[i : i + at_once], words(short[i : i + at_once]), strict=True))
+        long = {w: words([w])[0] for w in fresh if len(w) > CACHED_LENGTH}
+        for c, x, gap in zip(cut, got, gaps, strict=True):
+            for k in gap:
+                x[k] = known[c[k]] if len(c[k]) <= CACHED_LENGTH else long[c[k]]
+        return list(map(b"".join, got))
+
+    return encode
+
+
 @functools.cache
 def _opened_ids(path: str, entries: int):
     return _unit_ids(path, entries=entries)
 
 
+@functools.cache
+def _opened_plain(path: str, entries: int):
+    return _plain_ids(path, entries=entries)
+
+
 @functools.cache
 def _blank_ends_tokens(path: str) -> bool:
     """Whether white space is normalised to one blank and dropped, so that texts can be cut at blanks."""
@@ -130,25 +185,33 @@ def token_ids(texts: list[str | None], path: str, remembered: tuple[int, int] =
     if not _blank_ends_tokens(path):
         return _word_ids(path)([x or "" for x in texts])
     units, words = remembered
-    known, out = cache(("ids", path, remembered), _opened_ids(path, words), entries=units), []
+    known, plain, out = cache(("ids", path, remembered), _opened_ids(path, words), entries=units), _opened_plain(path, words), []
+    added = [t.content for t in opened("tokenizers", path).get_added_tokens_decoder().values()]
     collecting = gc.isenabled()
     gc.disable()  # lists and caches of strings have no cycles, and looking for these takes as long as splitting the texts
     try:
         for i, j in slices(texts):
-            cut = [x.replace("\n", " ").split(" ") if x else [] for x in texts[i:j]]  # an empty unit has no ids
-            got = [list(map(known.get, c)) for c in cut]
-            gaps = [_gaps(x) for x in got]
-            known.learn({c[k] for c, gap in zip(cut, gaps, strict=True) for k in gap})
-            for c, x, gap in zip(cut, got, gaps, strict=True):
-                for k in gap:
-                    x[k] = known[c[k]]
-                out.append(b"".join(x))
+            whole = [bool(plain and x and PLAIN.fullmatch(x) and not any(t in x for t in added)) for x in texts[i:j]]
+            of_plain = iter(plain([x.lower() for x, w in zip(texts[i:j], whole, strict=True) if w]) if plain else [])
+            of_others = iter(_by_units([x for x, w in zip(texts[i:j], whole, strict=True) if not w], known))
+            out.extend(next(of_plain if w else of_others) for w in whole)
     finally:
         if collecting:
             gc.enable()
     return out
 
 
+def _by_units(texts: list[str | None], known) -> list[bytes]:
+    cut = [x.replace("\n", " ").split(" ") if x else [] for x in texts]  # an empty unit has no ids
+    got = [list(map(known.get, c)) for c in cut]
+    gaps = [_gaps(x) for x in got]
+    known.learn({c[k] for c, gap in zip(cut, gaps, strict=True) for k in gap})
+    for c, x, gap in zip(cut, got, gaps, strict=True):
+        for k in gap:
+            x[k] = known[c[k]]
+    return list(map(b"".join, got))
+
+
 class Window:
     """Pieces (doc_id, start, ids, doc_tokens) laid end to end."""
 

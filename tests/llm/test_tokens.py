@@ -277,3 +277,21 @@ def test_words_of_letters_are_encoded_in_rows(monkeypatch):
     words = ["some", "Wörds", "of.", "letters,", "x9", "OF"]
     assert packing._unit_ids(path)(words) == alone(words) and set(sent) <= {"x9", ".", ","}
     assert packing._ends(public_tokenizers.path("byte_bpe_50k.json")) is None
+
+
+def test_plain_texts_are_cut_into_words(monkeypatch):
+    """Ids of plain texts, of every plain character, are the library's; words are looked up without case and marks, not by unit."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, r = Tokenizer.from_file(path), random.Random(8)
+    chars = [chr(c) for c in range(0x2100) if packing.PLAIN.fullmatch(chr(c))]
+    some = ["", "ab", "don't", "'s", "'S", "12", " ", "\n", "x'salad", ").", "'", "Ⱥ", "ŉ", "<|", "</w>"]
+    texts = [f"{a}{c}{b} {c}{c}" for c in chars for a, b in [("", ""), ("a", "b"), ("1", "'s"), (".", " ")]]
+    texts += ["".join(r.choice(some if r.random() < 0.5 else chars) for _ in range(r.randrange(1, 40))) for _ in range(6000)]
+    want = [np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    packing._WORDS.clear()
+    monkeypatch.setattr(packing, "_by_units", lambda texts, known: [pytest.fail("by units") if t else b"" for t in texts])
+    assert len(chars) > 500 and packing.token_ids(texts, path) == want
+    assert {"ab", "."} <= set(packing._WORDS[path]) and not any(w != w.lower() or " " in w for w in packing._WORDS[path])
+    monkeypatch.undo()
+    odd = ["a <|endoftext|> b", "x<|endoftext|>y", "İ a", "é́ x", "日本 a", "w" * 200 + " a " + "!" * 200, "ª ² a"]
+    assert packing.token_ids(odd, path) == [np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
