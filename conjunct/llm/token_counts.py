@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 from collections import Counter
 
 import numpy as np
@@ -28,11 +29,29 @@ from conjunct.llm.units import CACHED_LENGTH, cache, opened, slices
 #: Fixed value: the pattern of pre-tokens of byte-level tokenizers.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters of settled classes: ASCII, Latin, Greek, Cyrillic, punctuation, kana, ideographs, Hangul syllables.
-PLAIN = regex.compile(r"[\t-\r -~\xa0-\u024f\u0388-\u038a\u038e-\u03a1\u03a3-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*+")
+PLAIN = re.compile(r"[\t-\r -~\xa0-\u024f\u0388-\u038a\u038e-\u03a1\u03a3-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*+")
+#: All characters of PLAIN.
+_CHARS = "".join(c for c in map(chr, range(0xD800)) if PLAIN.fullmatch(c))
 #: Entries that a task may always report.
 FEW = 8
 
 
+def _ranges(kind: str) -> str:
+    """The characters of PLAIN that are of a kind, as the inside of a set in a pattern."""
+    runs: list[list[int]] = []
+    for c in map(ord, regex.findall(kind, _CHARS)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+
+
+_L, _N, _S, _O = map(_ranges, (r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]"))
+#: PRETOKEN for texts of PLAIN characters, whose kinds are spelt out: the same pre-tokens in less than half the time.
+PLAIN_PRETOKEN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]++| ?[{_N}]++| ?[{_O}]++|[{_S}]+(?![^{_S}])|[{_S}]++")
+
+
 def _lengths(path: str):
     tok = opened("tokenizers", path)
     return lambda units: [len(e.ids) for e in tok.encode_batch_fast(units, add_special_tokens=False)]
@@ -51,10 +70,11 @@ def _byte_level(path: str) -> bool:
 
 def pretokens(text: str, chars: int = 1_000_000):
     """Lists of a text's pre-tokens in order: one list, or for a long text several."""
+    pattern = PLAIN_PRETOKEN if PLAIN.fullmatch(text) else PRETOKEN
     if len(text) <= chars:
-        yield PRETOKEN.findall(text)
+        yield pattern.findall(text)
         return
-    found = PRETOKEN.finditer(text)
+    found = pattern.finditer(text)
     while part := [m.group() for m in itertools.islice(found, chars // 10)]:
         yield part
 
@@ -121,7 +141,7 @@ def token_counts(df: DataFrame, text: str, tokenizer: str, limit: int = 512, ent
             return n
 
         def counts(texts):
-            cut = [None if not x or not cuttable or len(x) > 1_000_000 or not PLAIN.fullmatch(x) or any(s in x for s in specials) else PRETOKEN.findall(x) for x in texts]
+            cut = [None if not x or not cuttable or len(x) > 1_000_000 or not PLAIN.fullmatch(x) or any(s in x for s in specials) else PLAIN_PRETOKEN.findall(x) for x in texts]
             lengths.learn({u for c in cut if c for u in c})
             out = []
             for x, c in zip(texts, cut, strict=True):

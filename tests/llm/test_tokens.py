@@ -212,6 +212,20 @@ def test_long_texts_in_pieces():
     assert [u for part in token_counts.pretokens(text, 100) for u in part] == token_counts.PRETOKEN.findall(text)
 
 
+def test_plain_texts_are_cut_by_their_own_pattern():
+    """PLAIN_PRETOKEN finds what PRETOKEN finds, for every plain character beside every kind of neighbour; plain texts go by it."""
+    r = random.Random(4)
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and token_counts.PLAIN.fullmatch(chr(c))]
+    some = ["a", "B", "é", "日", "1", "²", ".", "'", "'s", "'re", "'S", " ", "  ", "\n", "\t", "\xa0", "\r\n"]
+    texts = [f"{a}{c}{b}{c}{c} {c}" for c in chars for a, b in [("", ""), ("a", "'ll"), ("1", " "), (" ", "."), ("\n", "\xa0")]]
+    texts += ["".join(r.choice(some if r.random() < 0.7 else chars) for _ in range(r.randrange(1, 30))) for _ in range(6000)]
+    for x in texts:
+        assert token_counts.PLAIN_PRETOKEN.findall(x) == token_counts.PRETOKEN.findall(x), repr(x)
+    assert len(chars) > 30_000 and all(map(token_counts.PLAIN.fullmatch, texts))
+    odd = ["é́ x", "a\x1cb", "क़ क", "x\u2028 y"]
+    assert [list(token_counts.pretokens(x)) for x in odd] == [[token_counts.PRETOKEN.findall(x)] for x in odd]
+
+
 def odd_units(n: int) -> list[str]:
     r, letters = random.Random(3), "abzAZȺǄéßﬁÀİıΣςक़한文ªʰ9٣'’.,;!?:-\u0301\u0307\ufffd😀"
     found = ["".join(r.choice(letters) for _ in range(r.randrange(1, 9))) for _ in range(n)]
